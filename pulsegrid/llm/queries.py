@@ -9,6 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from .storage import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import held_out, identify, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out())
+    return identify(docs, train(docs.where("not held_out")), keep=("doc_id", "held_out"))
+
+
+def op4_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import decode_column, encode_column
+
+    return decode_column(encode_column(table(spark, sf_dir, "documents")))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_table, read_back, with_probe
+
+    return read_back(format_table(with_probe(table(spark, sf_dir, "conversations"))))
+
+
 def op5_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -18,7 +37,10 @@ def op5_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op4_png_media": op4_png_media,
     "op5_token_blocks": op5_token_blocks,
+    "op10_chat_format": op10_chat_format,
 }
 
 ORACLE_SQL: dict[str, str] = {}

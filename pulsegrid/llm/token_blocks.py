@@ -14,6 +14,7 @@ Segments are binary values of a Parquet table, so they are committed by Spark's
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,8 +31,9 @@ from .storage import new_path
 MAGIC = b"PGTB"
 BLOCK = 512
 PERCENTILE = 90
-SEGMENT_IDS = 1 << 19
-CACHE_WORDS = 1 << 20
+SEGMENT_IDS = 1 << 17
+CACHE_WORDS = 1 << 18
+JOINED_WORDS = 2000
 HEADER = "<4sBHIQQ"
 BLOCK_HEADER = np.dtype([("base", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
 
@@ -173,6 +175,7 @@ class WordEncoder:
     PUNCT[0x80:] = False
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the executor's cores are Spark's
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -188,6 +191,14 @@ class WordEncoder:
         self.starts = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.uses = np.zeros(0, np.int32)
+
+    def trim(self) -> None:
+        """Keep the half of the cache that the most chunks used."""
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[: CACHE_WORDS // 2])
+        sizes = self.sizes[keep]
+        self.ids = self.ids[bk.ragged(self.starts[keep], sizes)]
+        self.keys, self.starts, self.sizes, self.uses = self.keys[keep], np.cumsum(sizes) - sizes, sizes, self.uses[keep] // 2
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
         """True at i if the pre-tokenizer is sure to cut before byte i."""
@@ -209,11 +220,11 @@ class WordEncoder:
         joins = [visible[p[-1]] and (visible[p[0]] or len(p) > 1 and p[0] == 0x20 and visible[p[1]]) for p in parts]
         order = np.argsort(~np.array(joins, bool), kind="stable")
         n_joined = int(np.count_nonzero(joins))
-        groups = [order[i : min(i + 4000, n_joined)] for i in range(0, n_joined, 4000)] + [order[i : i + 1] for i in range(n_joined, len(order))]
-        texts = [b"\n".join([parts[i] for i in g.tolist()]).decode() for g in groups]
+        groups = [order[i : min(i + JOINED_WORDS, n_joined)] for i in range(0, n_joined, JOINED_WORDS)] + [order[i : i + 1] for i in range(n_joined, len(order))]
         keys_in, starts, sizes, found, base = [], [], [], [], len(self.ids)
-        for g, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(e.ids, np.uint32)
+        for g in groups:
+            text = b"\n".join([parts[i] for i in g.tolist()]).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             token_ends = np.cumsum(self.lengths[ids])
             size = np.array([len(parts[i]) for i in g.tolist()], np.int64)
             end = np.cumsum(size + 1) - 1
@@ -228,6 +239,7 @@ class WordEncoder:
         keys = np.concatenate((self.keys, *keys_in))
         by = np.argsort(keys, kind="stable")
         self.keys, self.starts, self.sizes = keys[by], np.concatenate((self.starts, *starts))[by], np.concatenate((self.sizes, *sizes))[by]
+        self.uses = np.concatenate((self.uses, np.zeros(len(keys) - len(self.uses), np.int32)))[by]
         self.ids = np.concatenate((self.ids, *found))
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +256,7 @@ class WordEncoder:
         codes, keys = pd.factorize(bk.span_hashes(data, starts, ends))
         keys = np.asarray(keys, np.uint64)
         if len(self.keys) > CACHE_WORDS:
-            self.forget()
+            self.trim()
         at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
         missing = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
         if len(missing):
@@ -253,6 +265,7 @@ class WordEncoder:
             raw = data.tobytes()
             self.learn(keys[missing], [raw[starts[i] : ends[i]] for i in first[missing]])
             at = np.searchsorted(self.keys, keys)
+        self.uses[at] += 1
         word = at[codes]
         sizes = self.sizes[word]
         ids = self.ids[bk.ragged(self.starts[word], sizes)]
