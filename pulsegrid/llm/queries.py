@@ -16,6 +16,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs.where("not held_out")), keep=("doc_id", "held_out"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import decode_column, encode_column
 
@@ -38,6 +44,7 @@ def op5_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_png_media": op4_png_media,
     "op5_token_blocks": op5_token_blocks,
     "op10_chat_format": op10_chat_format,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -43,3 +44,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's context cleaner delete shuffle files that no live DataFrame refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
