@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import reputation
 from .storage import table
 
 
@@ -28,6 +29,25 @@ def op4_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_column(encode_column(table(spark, sf_dir, "documents")))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digests, scan
+
+    return digests(scan(table(spark, sf_dir, "documents")))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import matches
+
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .reputation import judge, page_outcomes
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge(pages, page_outcomes(pages, table(spark, sf_dir, "labels"))).drop("bad_rate")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_table, read_back, with_probe
 
@@ -47,7 +67,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_png_media": op4_png_media,
     "op5_token_blocks": op5_token_blocks,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_url_reputation": op9_url_reputation,
     "op10_chat_format": op10_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_url_reputation": reputation.oracle_sql(),
+}
