@@ -29,6 +29,12 @@ def op4_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_column(encode_column(table(spark, sf_dir, "documents")))
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix, taken
+
+    return taken(mix(table(spark, sf_dir, "documents")))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import digests, scan
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_png_media": op4_png_media,
     "op5_token_blocks": op5_token_blocks,
+    "op6_mix_sources": op6_mix_sources,
     "op7_secret_scan": op7_secret_scan,
     "op8_decontaminate": op8_decontaminate,
     "op9_url_reputation": op9_url_reputation,
