@@ -27,7 +27,7 @@ from .storage import release_shuffles, written
 
 U = np.uint64
 #: Shingles gathered in a map task before their signatures are sorted and linked.
-FLUSH_SHINGLES = 1 << 20
+FLUSH_SHINGLES = 1 << 18
 #: Bytes of signatures that a bucket is meant to hold.
 BUCKET_BYTES = 32 << 20
 
