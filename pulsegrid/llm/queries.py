@@ -17,6 +17,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs.where("not held_out")), keep=("doc_id", "held_out"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .linededup import dedup_report
+
+    report = dedup_report(table(spark, sf_dir, "documents"))
+    return report.withColumn("kept_lines", F.array_join(F.transform("kept_lines", lambda x: x.cast("string")), ","))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_components
 
@@ -70,6 +79,7 @@ def op5_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_line_dedup": op2_line_dedup,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_png_media": op4_png_media,
     "op5_token_blocks": op5_token_blocks,
