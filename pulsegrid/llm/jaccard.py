@@ -1,18 +1,25 @@
 """Exact Jaccard self-join on word shingles, as components.
 
-1. Texts become sets of shingle hashes; equal sets are one node (class) from there on.
-2. Pigeonhole classes: two sets that link differ in at most k shingles. Shingles fall by hash into
-   k + 1 + e segments, so at least e + 1 segments are equal in both; sets that share a segment's
-   signature are candidates of each other. Sizes are grouped so that partners lie in the same or
-   the next group; every set is entered for both pairs of groups it belongs to.
-3. Candidates' connected components are searched exactly: T-occurrence search over an inverted
+1. Texts become sets of shingle hashes; equal sets are one class from there on.
+2. Counts of all documents' shingles in hashed counters mark common shingles. Any fixed set of marked
+   shingles keeps the result exact; marking those that many documents share keeps candidates few.
+3. Pigeonhole classes: two sets that link differ in at most k shingles, so in at most k unmarked ones.
+   Shingles fall by hash into k + 1 + e segments, of which e + 1 at least have the same unmarked
+   shingles in both sets; sets that share such a segment's signature are candidates of each other. A
+   set with more than e segments without unmarked shingles also enters signatures of its whole
+   segments: if all equal segments of a pair are of that kind, both sets do. Sizes are grouped so that
+   partners lie in the same or the next group; a set is one node for each pair of groups it is in.
+4. Candidate nodes' connected components are searched exactly: T-occurrence search over an inverted
    index of the component (DivideSkip: the short lists are merged by a heap that skips ahead, the
-   long ones are probed by binary search), from every document to those not reached yet.
+   long ones are probed by binary search), from every document to those not reached yet. Components
+   of over MAX_GROUP nodes are cut into blocks, and pairs of blocks are searched.
+5. Links found are joined into components once more.
 """
 
 from __future__ import annotations
 
 import heapq
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -28,6 +35,10 @@ from .storage import release_shuffles, written
 U = np.uint64
 #: Shingles gathered in a map task before their signatures are sorted and linked.
 FLUSH_SHINGLES = 1 << 18
+#: Nodes of a candidate component that one search holds.
+MAX_GROUP = 4096
+#: Ranges in which the counters of common shingles are summed, and their largest number as a power of two.
+COUNTER_RANGES, COUNTER_BITS = 64, 22
 #: Bytes of signatures that a bucket is meant to hold.
 BUCKET_BYTES = 32 << 20
 
@@ -44,10 +55,10 @@ def linked(a: int, b: int, both: int, percent: int) -> bool:
 class Segments:
     """Size groups and numbers of segments for one threshold."""
 
-    def __init__(self, percent: int, largest: int):
+    def __init__(self, percent: int, largest: int = 1 << 32):
         self.percent = percent
         bounds = [1]
-        while bounds[-2:-1] == [] or bounds[-3:-2] == [] or bounds[-3] <= largest:
+        while len(bounds) < 3 or bounds[-3] <= largest:
             bounds.append(100 * bounds[-1] // percent + 1)
         self.bounds = np.array(bounds, np.int64)
         top = self.bounds[2:] - 1
@@ -58,30 +69,40 @@ class Segments:
     def group(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, sizes, "right") - 1
 
-    def signatures(self, shingles: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(signature, index of the set) for sets of distinct shingles that lie one behind the other."""
+    def nodes(self, sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two nodes of every set: for the pair of size groups that starts with its own, and the one before."""
+        group = self.group(sizes).astype(np.uint64)
+        return tuple(bk.mix(sets ^ bk.mix(group + U(2 - back))) for back in (0, 1))
+
+    def signatures(self, shingles: np.ndarray, sizes: np.ndarray, nodes: tuple[np.ndarray, np.ndarray], common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(signature, node) for sets of distinct shingles that lie one behind the other; ``common`` marks shingles."""
         out, owner = [], []
-        scrambled = bk.mix(shingles ^ U(0x5851F42D4C957F2D))
+        scrambled = bk.mix(shingles ^ U(0x5851F42D4C957F2D)) >> U(32)
         group = self.group(sizes)
         for back in (0, 1):
             inst = group - back
             ok = (inst >= 0) & (sizes > 0)
-            m = np.where(ok, self.count[np.maximum(inst, 0)], 0)
-            base = np.cumsum(m) - m
-            rows = np.repeat(ok, sizes)
-            per = np.repeat(m, sizes)[rows].astype(np.uint64)
-            seg = ((scrambled[rows] >> U(32)) * per >> U(32)).astype(np.int64) + np.repeat(base, sizes)[rows]
-            total = int(m.sum())
-            content = np.zeros(total, np.uint64)
-            np.add.at(content, seg, shingles[rows])
-            filled = np.bincount(seg, minlength=total) > 0
-            who = np.repeat(np.arange(len(sizes)), m)
-            empty = np.bincount(who[~filled], minlength=len(sizes))
-            # With at most `spare` empty segments one of the equal ones has shingles; else all are entered.
-            keep = filled | (empty > self.spare[np.maximum(inst, 0)])[who]
-            place = ((np.arange(total) - np.repeat(base, m)) * 4096 + np.repeat(inst, m)).astype(np.uint64)
-            out.append(bk.mix(content + bk.mix(place + U(0x632BE59BD9B4E019)))[keep])
-            owner.append(who[keep])
+            for family in (0, 1):  # unmarked shingles, then whole segments
+                m = np.where(ok, self.count[np.maximum(inst, 0)], 0)
+                base = np.cumsum(m) - m
+                rows = np.repeat(ok, sizes) & (~common if family == 0 else True)
+                per = np.repeat(m, sizes)[rows].astype(np.uint64)
+                seg = (scrambled[rows] * per >> U(32)).astype(np.int64) + np.repeat(base, sizes)[rows]
+                total = int(m.sum())
+                content = np.zeros(total, np.uint64)
+                np.add.at(content, seg, shingles[rows])
+                filled = np.bincount(seg, minlength=total) > 0
+                who = np.repeat(np.arange(len(sizes)), m)
+                over = np.bincount(who[~filled], minlength=len(sizes)) > self.spare[np.maximum(inst, 0)]
+                # With at most `spare` empty segments one of the equal ones is filled; else the next family is
+                # entered too, and in the last one the empty segments.
+                keep = filled if family == 0 else filled | over[who]
+                place = (((np.arange(total) - np.repeat(base, m)) * 4096 + np.repeat(inst, m)) * 2 + family).astype(np.uint64)
+                out.append(bk.mix(content + bk.mix(place + U(0x632BE59BD9B4E019)))[keep])
+                owner.append(nodes[back][who[keep]])
+                ok = ok & over
+                if not ok.any():
+                    break
         return np.concatenate(out), np.concatenate(owner)
 
 
@@ -218,34 +239,79 @@ def link_groups(sets: list[np.ndarray], percent: int) -> list[int]:
     return group
 
 
-def document_sets(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and set_id (hash of the shingle set) of every row."""
+def document_sets(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, set_id (hash of the shingle set) and its two nodes for every row."""
+    segments = Segments(percent)
+    names = ["n_shingles", "set_id", "node0", "node1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = bk.buffers(batch.column(1))
-            sizes, sets = [], []
+            made = []
             for _, _, chunk, o in bk.chunks(data, off):
                 _, n, s = distinct_sets(chunk, o, width)
-                sizes.append(n)
-                sets.append(s.view(np.int64))
-            yield pa.record_batch([batch.column(0), pa.array(np.concatenate(sizes or [np.zeros(0, np.int64)])), pa.array(np.concatenate(sets or [np.zeros(0, np.int64)]))], names=["doc_id", "n_shingles", "set_id"])
+                made.append((n, s.view(np.int64), *(x.view(np.int64) for x in segments.nodes(s, n))))
+            columns = [np.concatenate(c) for c in zip(*made)] if made else [np.zeros(0, np.int64)] * 4
+            yield pa.record_batch([batch.column(0), *map(pa.array, columns)], names=["doc_id", *names])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")).mapInArrow(run, "doc_id long, n_shingles long, set_id long, node0 long, node1 long")
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")).mapInArrow(run, "doc_id long, n_shingles long, set_id long")
 
+def slots(shingles: np.ndarray, bits: int) -> np.ndarray:
+    return (bk.mix(shingles + U(0x94D049BB133111EB)) >> U(64 - bits)).astype(np.int64)
 
-def candidate_edges(docs: DataFrame, width: int, percent: int, largest: int, total: int, text_col: str = "text") -> DataFrame:
-    """a, b: set_ids that share a segment, as stars around the smallest one.
+
+def common_shingles(docs: DataFrame, width: int, total: int, text_col: str = "text") -> np.ndarray:
+    """Marks, by counter, of shingles that many documents hold: counters over all documents (about 128 shingles
+    each, at most 2 ** COUNTER_BITS, so the result is bounded) that lie 8 standard deviations over the mean."""
+    bits = max(12, min(COUNTER_BITS, (int(total) // 128).bit_length()))
+    per = (1 << bits) // COUNTER_RANGES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, held, n = np.zeros(1 << bits, np.int64), [], 0
+        for batch in batches:
+            data, off = bk.buffers(batch.column(0))
+            for _, _, chunk, o in bk.chunks(data, off):
+                held.append(slots(distinct_sets(chunk, o, width)[0], bits).astype(np.int32))
+                n += len(held[-1])
+                if n > 1 << 20:
+                    counts += np.bincount(np.concatenate(held), minlength=1 << bits)
+                    held, n = [], 0
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=1 << bits)
+        packed = [zlib.compress(c.astype("<u4").tobytes(), 1) for c in counts.reshape(COUNTER_RANGES, per)]
+        yield pa.record_batch([pa.array(np.arange(COUNTER_RANGES)), pa.array(packed, pa.binary())], names=["part", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        counts = np.zeros(per, np.int64)
+        for x in table.column(1):
+            counts += np.frombuffer(zlib.decompress(x.as_py()), "<u4")
+        return pa.table({"part": table.column(0).slice(0, 1), "sum": pa.array([int(counts.sum())]), "counts": pa.array([zlib.compress(counts.astype("<u4").tobytes(), 1)], pa.binary())})
+
+    sums = docs.select(F.col(text_col).alias("_text")).mapInArrow(run, "part long, counts binary").groupBy("part").applyInArrow(add, "part long, sum long, counts binary")
+    counts = np.zeros((COUNTER_RANGES, per), np.int64)
+    for row in sums.collect():  # 2 ** bits counters
+        counts[row["part"]] = np.frombuffer(zlib.decompress(row["counts"]), "<u4")
+    mean = counts.mean()
+    return (counts > mean + np.maximum(64, 8 * np.sqrt(mean))).ravel()
+
+
+def candidate_edges(docs: DataFrame, width: int, percent: int, total: int, text_col: str = "text") -> DataFrame:
+    """a, b: nodes that share a segment, as stars around the smallest one.
 
     Map tasks link what they hold and send one entry for each signature and flush, so a signature that
     very many sets share costs its bucket one entry a flush. Entries travel as packed sorted runs.
     """
-    segments = Segments(percent, largest)
+    segments = Segments(percent)
     bits = max(6, (int(total) * 4 // BUCKET_BYTES).bit_length())
     entry = np.dtype([("low", "<u4"), ("mid", "<u2"), ("owner", "<u2")])
+    marks = common_shingles(docs, width, total, text_col)
+    mark_bits = len(marks).bit_length() - 1
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))  # at most 2 ** COUNTER_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        marked = np.unpackbits(shared.value).astype(bool)
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held
@@ -253,11 +319,12 @@ def candidate_edges(docs: DataFrame, width: int, percent: int, largest: int, tot
             held = []
             ids, once = np.unique(ids, return_index=True)
             flat = flat[bk.ragged((np.cumsum(sizes) - sizes)[once], sizes[once])]
-            sig, owner = segments.signatures(flat, sizes[once])
+            sig, node = segments.signatures(flat, sizes[once], segments.nodes(ids, sizes[once]), marked[slots(flat, mark_bits)])
             order = np.argsort(sig)
-            sig, owner = sig[order], owner[order]
-            at, a, b = stars(sig, owner)
-            sig, owner = sig[at], owner[at]
+            sig, node = sig[order], node[order]
+            at, a, b = stars(sig, node)
+            sig = sig[at]
+            names, owner = np.unique(node[at], return_inverse=True)
             bucket = (sig >> U(64 - bits)).astype(np.int64)
             packed = np.empty(len(sig), entry)
             packed["low"], packed["mid"], packed["owner"] = sig & U(0xFFFFFFFF), (sig >> U(32)) & U(0xFFFF), owner
@@ -267,12 +334,12 @@ def candidate_edges(docs: DataFrame, width: int, percent: int, largest: int, tot
                 part = packed[lo:hi].copy()
                 who, part["owner"] = np.unique(part["owner"], return_inverse=True)
                 rows[0].append(int(bucket[lo]))
-                rows[1].append(ids[who].astype("<u8").tobytes())
+                rows[1].append(names[who].astype("<u8").tobytes())
                 rows[2].append(part.tobytes())
             if len(a):
-                rows[0].append(-1 - int(ids[a[0]] % U(64)))
-                rows[1].append(ids[a].astype("<u8").tobytes())
-                rows[2].append(ids[b].astype("<u8").tobytes())
+                rows[0].append(-1 - int(a[0] % U(64)))
+                rows[1].append(a.astype("<u8").tobytes())
+                rows[2].append(b.astype("<u8").tobytes())
             yield pa.record_batch([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], names=["bucket", "ids", "entries"])
 
         n = docs_held = 0
@@ -283,7 +350,7 @@ def candidate_edges(docs: DataFrame, width: int, percent: int, largest: int, tot
                 some = found[1] > 0
                 held.append((found[0], found[1][some], found[2][some]))
                 n, docs_held = n + len(found[0]), docs_held + hi - lo
-                if n >= FLUSH_SHINGLES or docs_held >= 1 << 15:
+                if n >= FLUSH_SHINGLES or docs_held >= 1 << 14:
                     yield from flush()
                     n = docs_held = 0
         if held and n:
@@ -313,20 +380,22 @@ def candidate_edges(docs: DataFrame, width: int, percent: int, largest: int, tot
     return packed.groupBy("bucket").applyInArrow(reduce, "a long, b long")
 
 
-def verified_groups(candidates: DataFrame, width: int, percent: int) -> DataFrame:
-    """set_id, n_shingles, group_id (smallest doc_id) for the sets of (comp, doc_id, set_id, text), comp by comp."""
+def verified_links(candidates: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: doc_id of every set of (cell, doc_id, set_id, text) and the smallest one that links reach in its cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        comp, sets, names, sizes = None, [], [], []
+        comp, sets, names = None, [], []
 
         def close() -> Iterator[pa.RecordBatch]:
-            if not names:
+            if len(names) < 2:
                 return
             group = link_groups(sets, percent)
             low: dict[int, int] = {}
-            for g, (doc, _) in zip(group, names):
+            for g, doc in zip(group, names):
                 low[g] = min(low.get(g, doc), doc)
-            yield pa.record_batch([pa.array([s for _, s in names], pa.int64()), pa.array(sizes, pa.int64()), pa.array([low[g] for g in group], pa.int64())], names=["set_id", "n_shingles", "group_id"])
+            pairs = [(doc, low[g]) for g, doc in zip(group, names) if doc != low[g]]
+            if pairs:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*pairs)], names=["a", "b"])
 
         for batch in batches:
             data, off = bk.buffers(batch.column(3))
@@ -337,15 +406,26 @@ def verified_groups(candidates: DataFrame, width: int, percent: int) -> DataFram
                 for k, i in enumerate(range(lo, hi)):
                     if comps[i] != comp:
                         yield from close()
-                        comp, sets, names, sizes = comps[i], [], [], []
+                        comp, sets, names = comps[i], [], []
                     if int(found[k]) == ids[i]:  # an id may come with several texts
                         sets.append(flat[ends[k] - n[k] : ends[k]].copy())
-                        names.append((docs[i], ids[i]))
-                        sizes.append(int(n[k]))
+                        names.append(docs[i])
         yield from close()
 
-    dealt = candidates.select("comp", "doc_id", "set_id", "text").repartition("comp").sortWithinPartitions("comp", "doc_id")
-    return dealt.mapInArrow(run, "set_id long, n_shingles long, group_id long")
+    dealt = candidates.select("cell", "doc_id", "set_id", "text").repartition("cell").sortWithinPartitions("cell", "doc_id")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def search_cells(members: DataFrame) -> DataFrame:
+    """cell, doc_id and set_id of (comp, doc_id, set_id): one cell for each component, or one for each pair of its
+    blocks if it is larger than MAX_GROUP."""
+    sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    blocks = F.ceil(F.col("k") / MAX_GROUP).cast("int")
+    at = members.join(sizes, "comp").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    other = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # With several blocks a block is searched together with every other one.
+    useful = other.where("blocks = 1 or mine != other")
+    return useful.select(F.xxhash64("comp", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "doc_id", "set_id")
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -357,18 +437,23 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = written(document_sets(docs, width), "jaccard-sets")
+    sets = written(document_sets(docs, width, percent), "jaccard-sets")
     some = sets.where("n_shingles > 0")
-    top = some.agg(F.max("n_shingles").alias("largest"), F.sum("n_shingles").alias("total")).first()
-    if top["largest"] is None:
-        return sets.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    edges = written(candidate_edges(docs, width, percent, top["largest"], top["total"]), "jaccard-edges")
+    total = some.agg(F.sum("n_shingles")).first()[0]
+    alone = sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    if total is None:
+        return alone
+    edges = written(candidate_edges(docs, width, percent, total), "jaccard-edges")
     release_shuffles(spark)
-    comps = components(edges, "jaccard-components").withColumnRenamed("node", "set_id").withColumnRenamed("label", "comp")
-    classes = written(some.groupBy("n_shingles", "set_id").agg(F.min("doc_id").alias("first_id")), "jaccard-classes")
-    wanted = classes.join(comps, "set_id").where("first_id is not null").select(F.col("first_id").alias("doc_id"), "set_id", "comp")
-    groups = written(verified_groups(wanted.join(docs, "doc_id"), width, percent), "jaccard-groups")
+    comps = components(edges, "jaccard-components").withColumnRenamed("label", "comp")
+    classes = written(some.groupBy("n_shingles", "set_id", "node0", "node1").agg(F.min("doc_id").alias("first_id")), "jaccard-classes")
+    nodes = classes.where("first_id is not null").select(F.explode(F.array("node0", "node1")).alias("node"), F.col("first_id").alias("doc_id"), "set_id")
+    cells = written(search_cells(nodes.join(comps, "node").select("comp", "doc_id", "set_id")), "jaccard-cells")
+    # Each wanted text is fetched once and travels with the list of its cells.
+    wanted = cells.groupBy("doc_id", "set_id").agg(F.collect_set("cell").alias("cells"))
+    texts = docs.join(wanted, "doc_id").select(F.explode("cells").alias("cell"), "doc_id", "set_id", "text")
+    links = written(verified_links(texts, width, percent), "jaccard-links")
     release_shuffles(spark)
-    labels = classes.join(groups.dropDuplicates(["set_id", "n_shingles"]), ["set_id", "n_shingles"], "left").select("set_id", "n_shingles", F.coalesce("group_id", "first_id").alias("component_id"))
-    linked_rows = some.join(labels, ["set_id", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
-    return linked_rows.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    labels = components(links, "jaccard-labels")
+    groups = classes.join(labels.withColumnRenamed("node", "first_id"), "first_id", "left").select("set_id", "n_shingles", F.coalesce("label", "first_id").alias("component_id"))
+    return some.join(groups, ["set_id", "n_shingles"]).select("doc_id", "n_shingles", "component_id").unionByName(alone)
