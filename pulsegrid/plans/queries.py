@@ -117,7 +117,7 @@ def frame_arrays(spark, sf_dir):
 
 @query
 def band_covariance(spark, sf_dir):
-    return aggregates.covariance(band_frames(spark, sf_dir)).select("stream_id", "i", "j", r6("cov").alias("cov"))
+    return aggregates.covariance(band_frames(spark, sf_dir)).select("stream_id", "i", "j", (r6("cov") + 0.0).alias("cov"))
 
 
 @query
