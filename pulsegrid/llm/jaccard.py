@@ -35,6 +35,8 @@ from .storage import release_shuffles, written
 U = np.uint64
 #: Shingles gathered in a map task before their signatures are sorted and linked.
 FLUSH_SHINGLES = 1 << 18
+#: Entries of short lists up to which a heap merges them.
+HEAP_ENTRIES = 256
 #: Nodes of a candidate component that one search holds.
 MAX_GROUP = 4096
 #: Ranges in which the counters of common shingles are summed, and their largest number as a power of two.
@@ -138,7 +140,7 @@ class DivideSkipIndex:
     """Inverted index of sets for overlap queries. Shingles with the same list of sets are one weighted list."""
 
     def __init__(self, sets: list[np.ndarray], names: list[int]):
-        self.names = names
+        self.names = np.array(names, np.int64)
         sizes = np.array([len(s) for s in sets], np.int64)
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(sets)), sizes)
@@ -152,37 +154,49 @@ class DivideSkipIndex:
         kinds = np.add.reduceat(codes[owner], first)
         lengths = np.diff(np.append(first, len(flat)))
         _, pick, self.list_of = np.unique(kinds, return_index=True, return_inverse=True)
-        self.lists = [owner[first[i] : first[i] + lengths[i]].tolist() for i in pick.tolist()]
+        self.lists = [owner[first[i] : first[i] + lengths[i]] for i in pick.tolist()]
+        self.sizes = lengths[pick]
 
-    def query(self, shingles: np.ndarray, least: int) -> list[tuple[int, int]]:
-        """(name, overlap) of every set that shares at least ``least`` (> 0) shingles."""
+    def query(self, shingles: np.ndarray, least: int, wanted: np.ndarray) -> list[tuple[int, int]]:
+        """(name, overlap) of every ``wanted`` set (a mask by name) that shares at least ``least`` (> 0) shingles."""
         if not len(self.shingles):
             return []
         at = np.minimum(np.searchsorted(self.shingles, shingles), len(self.shingles) - 1)
         weights = np.bincount(self.list_of[at[self.shingles[at] == shingles]], minlength=len(self.lists))
-        used = np.flatnonzero(weights).tolist()
-        if int(weights.sum()) < least:
+        used = np.flatnonzero(weights)
+        used = used[np.argsort(-self.sizes[used], kind="stable")]
+        upto = np.cumsum(weights[used])
+        if not len(used) or upto[-1] < least:
             return []
-        used.sort(key=lambda i: -len(self.lists[i]))
-        longest = len(self.lists[used[0]])
-        budget, long_weight, n_long = least / (0.01 * max(longest, 2).bit_length() + 1), 0, 0
-        while n_long < len(used) - 1 and long_weight + weights[used[n_long]] < min(least, budget):
-            long_weight += int(weights[used[n_long]])
-            n_long += 1
-        long = [(self.lists[i], int(weights[i])) for i in used[:n_long]]
-        found = []
-        for who, count in self._merge([(self.lists[i], int(weights[i])) for i in used[n_long:]], least - long_weight):
-            left = long_weight
-            for entries, weight in long:
-                if count + left < least:
-                    break
-                left -= weight
-                k = bisect_left(entries, who)
-                if k < len(entries) and entries[k] == who:
-                    count += weight
-            if count >= least:
-                found.append((self.names[who], count))
-        return found
+        # Long lists: as many as leave a threshold of at least 1 to the short ones, by DivideSkip's rule.
+        longest = int(self.sizes[used[0]])
+        n_long = int(np.searchsorted(upto, min(least - 1, least / (0.01 * max(longest, 2).bit_length() + 1)), "right"))
+        n_long = min(n_long, len(used) - 1)
+        long_weight = int(upto[n_long - 1]) if n_long else 0
+        short = used[n_long:]
+        who, count = self._merged([self.lists[i] for i in short.tolist()], weights[short], least - long_weight)
+        keep = wanted[self.names[who]]
+        who, count, left = who[keep], count[keep], long_weight
+        for i in used[:n_long].tolist():
+            if not len(who):
+                return []
+            entries, weight = self.lists[i], int(weights[i])
+            count = count + weight * (entries[np.minimum(np.searchsorted(entries, who), len(entries) - 1)] == who)
+            left -= weight
+            keep = count + left >= least
+            if not keep.all():
+                who, count = who[keep], count[keep]
+        return list(zip(self.names[who].tolist(), count.tolist()))
+
+    def _merged(self, lists: list[np.ndarray], weights: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sets whose weight over the short lists reaches ``least``: few entries by the heap, many by merging the
+        sorted runs at once."""
+        if sum(map(len, lists)) <= HEAP_ENTRIES:
+            found = list(self._merge([(x.tolist(), w) for x, w in zip(lists, weights.tolist())], least))
+            return np.array([w for w, _ in found], np.int64), np.array([c for _, c in found], np.int64)
+        count = np.bincount(np.concatenate(lists), np.repeat(weights, [len(x) for x in lists]), minlength=len(self.names)).astype(np.int64)
+        who = np.flatnonzero(count >= least)
+        return who, count[who]
 
     @staticmethod
     def _merge(lists: list[tuple[list[int], int]], least: int) -> Iterator[tuple[int, int]]:
@@ -216,25 +230,24 @@ class DivideSkipIndex:
 def link_groups(sets: list[np.ndarray], percent: int) -> list[int]:
     """Number of the group (its smallest index) of every set, by links of at least ``percent``."""
     n = len(sets)
-    group, waiting = [-1] * n, set(range(n))
-    index = DivideSkipIndex(sets, list(range(n)))
-    live = n
+    group, waiting, n_waiting = [-1] * n, np.ones(n, bool), n
+    index, live = DivideSkipIndex(sets, list(range(n))), n
     for seed in range(n):
-        if seed not in waiting:
+        if not waiting[seed]:
             continue
-        waiting.discard(seed)
+        waiting[seed], n_waiting = False, n_waiting - 1
         group[seed], queue = seed, [seed]
-        while queue and waiting:
+        while queue and n_waiting:
             q = queue.pop()
             if not len(sets[q]):
                 continue
-            for other, both in index.query(sets[q], need(len(sets[q]), percent)):
-                if other in waiting and linked(len(sets[q]), len(sets[other]), both, percent):
-                    waiting.discard(other)
+            for other, both in index.query(sets[q], need(len(sets[q]), percent), waiting):
+                if linked(len(sets[q]), len(sets[other]), both, percent):
+                    waiting[other], n_waiting = False, n_waiting - 1
                     group[other] = seed
                     queue.append(other)
-            if waiting and len(waiting) * 2 <= live:
-                names = sorted(waiting)
+            if n_waiting and n_waiting * 2 <= live:
+                names = np.flatnonzero(waiting).tolist()
                 index, live = DivideSkipIndex([sets[i] for i in names], names), len(names)
     return group
 
