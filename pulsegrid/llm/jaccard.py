@@ -462,9 +462,9 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     classes = written(some.groupBy("n_shingles", "set_id", "node0", "node1").agg(F.min("doc_id").alias("first_id")), "jaccard-classes")
     nodes = classes.where("first_id is not null").select(F.explode(F.array("node0", "node1")).alias("node"), F.col("first_id").alias("doc_id"), "set_id")
     cells = written(search_cells(nodes.join(comps, "node").select("comp", "doc_id", "set_id")), "jaccard-cells")
-    # Each wanted text is fetched once and travels with the list of its cells.
+    # Each wanted text is fetched once and travels with the list of its cells. The hint keeps one plan at every size.
     wanted = cells.groupBy("doc_id", "set_id").agg(F.collect_set("cell").alias("cells"))
-    texts = docs.join(wanted, "doc_id").select(F.explode("cells").alias("cell"), "doc_id", "set_id", "text")
+    texts = docs.join(wanted.hint("shuffle_merge"), "doc_id").select(F.explode("cells").alias("cell"), "doc_id", "set_id", "text")
     links = written(verified_links(texts, width, percent), "jaccard-links")
     release_shuffles(spark)
     labels = components(links, "jaccard-labels")

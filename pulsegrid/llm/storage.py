@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's context cleaner delete shuffle files that no live DataFrame refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark's context cleaner delete shuffle files that no live DataFrame refers to any more.
+
+    The first round frees what Python held, the second what that held in the JVM; cleaning follows within a moment.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
