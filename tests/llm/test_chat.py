@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from pulsegrid.llm import chat as C
 
-TEXT = st.text(alphabet=st.sampled_from(list("<|\\>ai\né") + ["<|im_end|>", "<|im_start|>", "<\\|"]), max_size=40)
+TEXT = st.lists(st.sampled_from([*"<|\\>ai\né", "<|im_end|>", "<|im_start|>", "<\\|", "<|nl|>"]), max_size=12).map("".join)
 
 
 @given(TEXT)
