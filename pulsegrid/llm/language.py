@@ -39,7 +39,7 @@ class LanguageParams:
     epochs: int = 300
     learning_rate: float = 0.5
     l2: float = 1e-5
-    ambiguity: float = 0.01
+    ambiguity: float = 0.002
     seed: int = 7
 
     def __post_init__(self):
