@@ -67,7 +67,7 @@ def _level(counts: DataFrame, key: str, parents: DataFrame, parent: str) -> Data
     """Posterior (key, rate, weight) of every group of ``counts`` (key, parent, n, bad) under its parent's rate.
 
     The intraclass correlation r solves sum of n (bad/n - p)^2 / (p (1 - p)) = K + r (N - K) over K groups
-    with N pages; the prior's weight is 1/r - 1.
+    with N pages; the prior weighs 1/r - 1 pages, and one at least.
     """
     both = counts.join(parents.select(parent, F.col("rate").alias("p")), parent)
     spread = both.agg(
@@ -76,7 +76,7 @@ def _level(counts: DataFrame, key: str, parents: DataFrame, parent: str) -> Data
         F.count(F.lit(1)).alias("k"),
     )
     r = F.when(F.col("total") > F.col("k"), (F.col("s") - F.col("k")) / (F.col("total") - F.col("k"))).otherwise(F.lit(0.5))
-    weight = spread.select((1 / F.least(F.lit(0.99), F.greatest(F.lit(0.001), r)) - 1).alias("m"))
+    weight = spread.select((1 / F.least(F.lit(0.5), F.greatest(F.lit(0.001), r)) - 1).alias("m"))
     # one row; the join has no key but also no product
     out = both.join(F.broadcast(weight))
     return out.select(key, ((F.col("p") * F.col("m") + F.col("bad")) / (F.col("m") + F.col("n"))).alias("rate"), (F.col("m") + F.col("n")).alias("weight"))
@@ -136,7 +136,7 @@ def oracle_sql(params: ReputationParams | None = None, rules=RULES) -> str:
     def level(key: str, counts: str, parents: str, parent: str) -> str:
         return f"""select b.{key}, (b.p * w.m + b.bad) / (w.m + b.n) as rate, w.m + b.n as weight from
         (select c.*, q.rate as p from {counts} c join {parents} q using ({parent})) b,
-        (select 1 / least(0.99, greatest(0.001, case when sum(c.n) > count(*) then (sum(c.n * pow(c.bad / c.n - q.rate, 2) / (q.rate * (1 - q.rate))) - count(*)) / (sum(c.n) - count(*)) else 0.5 end)) - 1 as m
+        (select 1 / least(0.5, greatest(0.001, case when sum(c.n) > count(*) then (sum(c.n * pow(c.bad / c.n - q.rate, 2) / (q.rate * (1 - q.rate))) - count(*)) / (sum(c.n) - count(*)) else 0.5 end)) - 1 as m
          from {counts} c join {parents} q using ({parent})) w"""
 
     return f"""

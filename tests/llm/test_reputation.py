@@ -21,7 +21,7 @@ URLS = [
     ("https://com/en/5", "com", "/en/5", "com/en/", "block"),
     ("https://telecom/en/5", "telecom", "/en/5", None, None),
     ("ftp://n.example.net/de/8#a", "n.example.net", "/de/8", "example.net/de/8", "block"),
-    ("ftp://n.example.net/de/9", "n.example.net", "/de/9", "net/de/", "allow"),
+    ("ftp://n.example.net/de/9", "n.example.net", "/de/9", "net/de/", "block"),
     ("//no.scheme/en/", "", "", None, None),
     ("http://", "", "", None, None),
     ("http://h.org?x=/es/", "h.org", "", None, None),
