@@ -201,3 +201,20 @@ def test_empty_stream(spark):
 def test_predictor_over_table(spark, sf):
     out = tracking.instrument_predictor(gate_frames(spark, sf), PredictorParams(sample_rate=40960.0, hop_size=4096))
     assert out.count() == 1000 and run_key is not None and math.isfinite(out.agg(F.max("timestamp_sec")).first()[0])
+
+
+def test_spectral_peak(spark, sf):
+    from pulsegrid.plans.queries import QUERIES
+
+    rows = QUERIES["spectral_peak"](spark, sf).collect()
+    assert len(rows) == 13 and {r["peak_bin"] for r in rows} == {10} and {r["n_mfcc"] for r in rows} == {13}
+
+
+def test_inverse_covariance(spark):
+    v = np.random.default_rng(1).normal(size=(50, 3))
+    df = spark.createDataFrame([(1, i, [float(x) for x in row]) for i, row in enumerate(v)], "stream_id long, frame_idx long, bands array<double>")
+    out = aggregates.inverse_covariance(df).collect()
+    inv = np.zeros((3, 3))
+    for r in out:
+        inv[r["i"], r["j"]] = r["icov"]
+    assert np.allclose(inv @ np.cov(v.T, bias=True), np.eye(3))
