@@ -64,12 +64,14 @@ def domain_of(host: Column) -> Column:
 
 
 def _level(counts: DataFrame, key: str, parents: DataFrame, parent: str) -> DataFrame:
-    """Posterior (key, rate, weight) of every group of ``counts`` (key, parent, n, bad) under its parent's rate.
+    """Posterior (key, rate, weight) of every group of ``counts`` (key, parent, n, bad) under its parent's rate, from which
+    the group's own pages are taken out.
 
     The intraclass correlation r solves sum of n (bad/n - p)^2 / (p (1 - p)) = K + r (N - K) over K groups
     with N pages; the prior weighs 1/r - 1 pages, and one at least.
     """
-    both = counts.join(parents.select(parent, F.col("rate").alias("p")), parent)
+    above = parents.select(parent, (F.col("rate") * F.col("weight")).alias("_bad"), F.col("weight").alias("_n"))
+    both = counts.join(above, parent).withColumn("p", (F.col("_bad") - F.col("bad")) / (F.col("_n") - F.col("n"))).drop("_bad", "_n")
     spread = both.agg(
         F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col("p"), 2) / (F.col("p") * (1 - F.col("p")))).alias("s"),
         F.sum("n").alias("total"),
@@ -134,9 +136,10 @@ def oracle_sql(params: ReputationParams | None = None, rules=RULES) -> str:
     verdict = "case " + " ".join(f"when {fits(h, p)} then '{v}'" for v, h, p in ordered) + " end"
 
     def level(key: str, counts: str, parents: str, parent: str) -> str:
+        p = "((q.rate * q.weight - c.bad) / (q.weight - c.n))"
         return f"""select b.{key}, (b.p * w.m + b.bad) / (w.m + b.n) as rate, w.m + b.n as weight from
-        (select c.*, q.rate as p from {counts} c join {parents} q using ({parent})) b,
-        (select 1 / least(0.5, greatest(0.001, case when sum(c.n) > count(*) then (sum(c.n * pow(c.bad / c.n - q.rate, 2) / (q.rate * (1 - q.rate))) - count(*)) / (sum(c.n) - count(*)) else 0.5 end)) - 1 as m
+        (select c.*, {p} as p from {counts} c join {parents} q using ({parent})) b,
+        (select 1 / least(0.5, greatest(0.001, case when sum(c.n) > count(*) then (sum(c.n * pow(c.bad / c.n - {p}, 2) / ({p} * (1 - {p}))) - count(*)) / (sum(c.n) - count(*)) else 0.5 end)) - 1 as m
          from {counts} c join {parents} q using ({parent})) w"""
 
     return f"""
