@@ -27,7 +27,10 @@ def covariance(vectors: DataFrame, column: str = "bands") -> DataFrame:
 
 
 def inverse_covariance(vectors: DataFrame, column: str = "bands") -> DataFrame:
-    """Pseudo-inverse of each stream's covariance, as rows (i, j, icov); the matrix has a vector's width."""
+    """Pseudo-inverse of each stream's covariance, as rows (i, j, icov); the matrix has a vector's width.
+
+    Streams of fewer frames than values have a singular covariance; eigenvalues below 1e-10 of the largest are
+    rounding errors of its sums and count as 0."""
     import numpy as np
     import pandas as pd
 
@@ -36,7 +39,7 @@ def inverse_covariance(vectors: DataFrame, column: str = "bands") -> DataFrame:
         m = np.zeros((n, n))
         m[rows["i"], rows["j"]] = rows["cov"]
         m[rows["j"], rows["i"]] = rows["cov"]
-        inv = np.linalg.pinv(m)
+        inv = np.linalg.pinv(m, rcond=1e-10, hermitian=True)
         i, j = np.indices((n, n)).reshape(2, -1)
         return pd.DataFrame({"stream_id": rows["stream_id"].iloc[0], "i": i, "j": j, "icov": inv.ravel()})
 

@@ -122,8 +122,7 @@ def band_covariance(spark, sf_dir):
 
 @query
 def inverse_covariance(spark, sf_dir):
-    first = band_frames(spark, sf_dir).withColumn("bands", F.slice("bands", 1, 4))
-    return aggregates.inverse_covariance(first).select("stream_id", "i", "j", r6("icov").alias("icov"))
+    return aggregates.inverse_covariance(band_frames(spark, sf_dir)).select("stream_id", "i", "j", r6("icov").alias("icov"))
 
 
 @query

@@ -218,3 +218,18 @@ def test_inverse_covariance(spark):
     for r in out:
         inv[r["i"], r["j"]] = r["icov"]
     assert np.allclose(inv @ np.cov(v.T, bias=True), np.eye(3))
+
+
+def test_inverse_covariance_of_whole_embeddings(spark, sf):
+    """All 64 x 64 entries of each stream, of singular matrices as well, against numpy."""
+    from pulsegrid.plans.queries import QUERIES
+
+    streams = {}
+    for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect():
+        streams.setdefault(r["label"], []).append(r["embedding"])
+    got = {s: np.full((64, 64), np.nan) for s in streams}
+    for r in QUERIES["inverse_covariance"](spark, sf).collect():
+        got[r["stream_id"]][r["i"], r["j"]] = r["icov"]
+    for s, rows in streams.items():
+        want = np.linalg.pinv(np.cov(np.array(rows, float).T, bias=True), rcond=1e-10, hermitian=True)
+        assert np.allclose(got[s], want, rtol=1e-5, atol=2e-6)
