@@ -12,16 +12,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK_BYTES = (1 << 19) - 2
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _random = np.random.default_rng(20240229)
-_BYTE_CODES = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _SHINGLE_FACTORS = _random.integers(1, 1 << 63, 64, dtype=np.uint64) * _U(2) + _U(1)
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
+_LENGTH_CODES = _random.integers(1, 1 << 63, 65, dtype=np.uint64)
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
+#: Spans of more bytes are hashed one by one in C, shorter ones eight bytes at a time over all spans.
+LONG_SPAN = 64
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -62,24 +63,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _grow(n: int) -> None:
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = 1 << (n - 1).bit_length()
-        for base, name in ((_BASE, "_powers"), (_INVERSE, "_inverses")):
-            factors = np.full(size, base, np.uint64)
-            factors[0] = 1
-            globals()[name] = np.multiply.accumulate(factors)
-
-
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span, equal for equal contents wherever they lie."""
-    n = len(data)
-    _grow(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_CODES[data] * _powers[:n], out=sums[1:])
-    out = (sums[ends] - sums[starts]) * _inverses[starts]
-    return mix(out + (ends - starts).astype(np.uint64) * _U(_BASE))
+    """64-bit hash of the bytes of each span, equal for equal contents wherever they lie.
+
+    Eight bytes at a time are mixed into a state that is scrambled in between, so that no arithmetic relation
+    between bytes carries over to the hash; spans of up to eight bytes and one length never share a hash.
+    """
+    sizes = ends - starts
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the 8 bytes from every position
+    out = mix(eights[starts] & _KEEP[np.minimum(sizes, 8)] ^ _LENGTH_CODES[np.minimum(sizes, LONG_SPAN)])
+    more = np.flatnonzero((sizes > 8) & (sizes <= LONG_SPAN))
+    for k in range(8, LONG_SPAN, 8):
+        if not len(more):
+            break
+        part = eights[starts[more] + k] & _KEEP[np.minimum(sizes[more] - k, 8)]
+        out[more] = mix((out[more] ^ part) * _U(_BASE) + _U(k))
+        more = more[sizes[more] > k + 8]
+    for i in np.flatnonzero(sizes > LONG_SPAN).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), 20240229)
+    return out
 
 
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

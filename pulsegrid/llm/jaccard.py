@@ -25,20 +25,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytekernel as bk
 from .components import components
-from .storage import release_shuffles, written
+from .storage import drop, written
 
 U = np.uint64
 #: Shingles gathered in a map task before their signatures are sorted and linked.
 FLUSH_SHINGLES = 1 << 18
 #: Entries of short lists up to which a heap merges them.
 HEAP_ENTRIES = 256
-#: Nodes of a candidate component that one search holds.
-MAX_GROUP = 4096
+#: Nodes of a candidate component, and shingles of them, that one search is meant to hold.
+MAX_GROUP, CELL_SHINGLES = 4096, 1 << 21
+#: Parts over which rows of one key are spread before they meet a value of that key.
+SALTS = 64
 #: Ranges in which the counters of common shingles are summed, and their largest number as a power of two.
 COUNTER_RANGES, COUNTER_BITS = 64, 22
 #: Bytes of signatures that a bucket is meant to hold.
@@ -72,7 +74,7 @@ class Segments:
         return np.searchsorted(self.bounds, sizes, "right") - 1
 
     def nodes(self, sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The two nodes of every set: for the pair of size groups that starts with its own, and the one before."""
+        """The two nodes of every set (by its hash): for the pair of size groups that starts with its own, and the one before."""
         group = self.group(sizes).astype(np.uint64)
         return tuple(bk.mix(sets ^ bk.mix(group + U(2 - back))) for back in (0, 1))
 
@@ -108,8 +110,8 @@ class Segments:
         return np.concatenate(out), np.concatenate(owner)
 
 
-def distinct_sets(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct shingles of each text one behind the other, how many each has, and a hash of each set."""
+def distinct_sets(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct shingles of each text one behind the other, how many each has, and two independent hashes of each set."""
     flat, counts = bk.word_shingles(data, off, width)
     parts, at = [], 0
     for n in counts.tolist():
@@ -118,9 +120,12 @@ def distinct_sets(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.nda
         at += n
     sizes = np.array([len(p) for p in parts], np.int64)
     flat = np.concatenate(parts) if parts else flat
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(bk.mix(flat + U(0x2545F4914F6CDD1D)))))
     ends = np.cumsum(sizes)
-    return flat, sizes, bk.mix(sums[ends] - sums[ends - sizes] + sizes.astype(np.uint64))
+    hashes = []
+    for salt in (U(0x2545F4914F6CDD1D), U(0x9FB21C651E98DF25)):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(bk.mix(bk.mix(flat + salt) ^ salt))))
+        hashes.append(bk.mix(sums[ends] - sums[ends - sizes] + sizes.astype(np.uint64)))
+    return flat, sizes, *hashes
 
 
 def stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,21 +258,27 @@ def link_groups(sets: list[np.ndarray], percent: int) -> list[int]:
 
 
 def document_sets(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_id (hash of the shingle set) and its two nodes for every row."""
+    """doc_id, text_hash, n_shingles, set_id and set_check (two hashes of the shingle set) and its two nodes for every row."""
     segments = Segments(percent)
-    names = ["n_shingles", "set_id", "node0", "node1"]
+    names = ["n_shingles", "set_id", "set_check", "node0", "node1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = bk.buffers(batch.column(1))
+            data, off = bk.buffers(batch.column(2))
             made = []
             for _, _, chunk, o in bk.chunks(data, off):
-                _, n, s = distinct_sets(chunk, o, width)
-                made.append((n, s.view(np.int64), *(x.view(np.int64) for x in segments.nodes(s, n))))
-            columns = [np.concatenate(c) for c in zip(*made)] if made else [np.zeros(0, np.int64)] * 4
-            yield pa.record_batch([batch.column(0), *map(pa.array, columns)], names=["doc_id", *names])
+                _, n, s, check = distinct_sets(chunk, o, width)
+                made.append((n, *(x.view(np.int64) for x in (s, check, *segments.nodes(s, n)))))
+            columns = [np.concatenate(c) for c in zip(*made)] if made else [np.zeros(0, np.int64)] * 5
+            yield pa.record_batch([batch.column(0), batch.column(1), *map(pa.array, columns)], names=["doc_id", "text_hash", *names])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")).mapInArrow(run, "doc_id long, n_shingles long, set_id long, node0 long, node1 long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("_text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, " + ", ".join(f"{n} long" for n in names))
+
+
+def text_hash(text: Column) -> Column:
+    """Hash by which rows of one id are told apart."""
+    return F.xxhash64(text.isNull(), text)
 
 
 def slots(shingles: np.ndarray, bits: int) -> np.ndarray:
@@ -295,13 +306,17 @@ def common_shingles(docs: DataFrame, width: int, total: int, text_col: str = "te
         packed = [zlib.compress(c.astype("<u4").tobytes(), 1) for c in counts.reshape(COUNTER_RANGES, per)]
         yield pa.record_batch([pa.array(np.arange(COUNTER_RANGES)), pa.array(packed, pa.binary())], names=["part", "counts"])
 
-    def add(table: pa.Table) -> pa.Table:
-        counts = np.zeros(per, np.int64)
-        for x in table.column(1):
-            counts += np.frombuffer(zlib.decompress(x.as_py()), "<u4")
-        return pa.table({"part": table.column(0).slice(0, 1), "sum": pa.array([int(counts.sum())]), "counts": pa.array([zlib.compress(counts.astype("<u4").tobytes(), 1)], pa.binary())})
-
-    sums = docs.select(F.col(text_col).alias("_text")).mapInArrow(run, "part long, counts binary").groupBy("part").applyInArrow(add, "part long, sum long, counts binary")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}  # of the ranges dealt to this task
+        for batch in batches:
+            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                got = np.frombuffer(zlib.decompress(packed.as_py()), "<u4")
+                sums[part] = sums[part] + got if part in sums else got.astype(np.int64)
+        packed = [zlib.compress(c.astype("<u4").tobytes(), 1) for c in sums.values()]
+        yield pa.record_batch([pa.array(list(sums), pa.int64()), pa.array(packed, pa.binary())], names=["part", "counts"])
+
+    # Partial counters stream through the task of their range, so one counter range is held however many tasks counted.
+    sums = docs.select(F.col(text_col).alias("_text")).mapInArrow(run, "part long, counts binary").repartition("part").mapInArrow(add, "part long, counts binary")
     counts = np.zeros((COUNTER_RANGES, per), np.int64)
     for row in sums.collect():  # 2 ** bits counters
         counts[row["part"]] = np.frombuffer(zlib.decompress(row["counts"]), "<u4")
@@ -350,7 +365,7 @@ def candidate_edges(docs: DataFrame, width: int, percent: int, total: int, text_
                 rows[1].append(names[who].astype("<u8").tobytes())
                 rows[2].append(part.tobytes())
             if len(a):
-                rows[0].append(-1 - int(a[0] % U(64)))
+                rows[0].append(-1 - int(bk.mix(a[:1])[0] >> U(64 - bits)))
                 rows[1].append(a.astype("<u8").tobytes())
                 rows[2].append(b.astype("<u8").tobytes())
             yield pa.record_batch([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], names=["bucket", "ids", "entries"])
@@ -414,7 +429,7 @@ def verified_links(candidates: DataFrame, width: int, percent: int) -> DataFrame
             data, off = bk.buffers(batch.column(3))
             comps, docs, ids = (batch.column(i).to_pylist() for i in range(3))
             for lo, hi, chunk, o in bk.chunks(data, off):
-                flat, n, found = distinct_sets(chunk, o, width)
+                flat, n, found, _ = distinct_sets(chunk, o, width)
                 ends, found = np.cumsum(n), found.view(np.int64)
                 for k, i in enumerate(range(lo, hi)):
                     if comps[i] != comp:
@@ -429,44 +444,75 @@ def verified_links(candidates: DataFrame, width: int, percent: int) -> DataFrame
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def spread_join(rows: DataFrame, key: str, by: str, value: Column, name: str) -> DataFrame:
+    """``rows`` with ``value`` aggregated over all rows of one ``key`` as a column ``name``.
+
+    A key may hold any share of the rows: they are dealt by the key and a salt from ``by``, and only the aggregates
+    of the salts, SALTS a key at most, meet by the key alone.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    parts = salted.groupBy(key, "_salt").agg(value.alias(name))
+    whole = parts.groupBy(key).agg(F.sum(name).alias(name))
+    return salted.join(parts.select(key, "_salt").join(whole, key).hint("shuffle_merge"), [key, "_salt"]).drop("_salt")
+
+
 def search_cells(members: DataFrame) -> DataFrame:
-    """cell, doc_id and set_id of (comp, doc_id, set_id): one cell for each component, or one for each pair of its
-    blocks if it is larger than MAX_GROUP."""
-    sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    blocks = F.ceil(F.col("k") / MAX_GROUP).cast("int")
-    at = members.join(sizes, "comp").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    """cell, doc_id and set_id of (comp, doc_id, set_id, n_shingles): one cell for each component, or one for each pair of
+    its blocks if it has more nodes or shingles than one search holds."""
+    weight = F.greatest(F.lit(1.0 / MAX_GROUP), F.col("n_shingles") / F.lit(float(CELL_SHINGLES)))
+    sized = spread_join(members, "comp", "set_id", F.sum(weight), "load")
+    at = sized.withColumn("blocks", F.ceil("load").cast("int")).withColumn("mine", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     other = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # With several blocks a block is searched together with every other one.
     useful = other.where("blocks = 1 or mine != other")
     return useful.select(F.xxhash64("comp", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "doc_id", "set_id")
 
 
-def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row.
-
-    Null texts and texts without words have no shingles and link with nothing: component_id is their
-    own id. Rows of one id count as documents of their own that share it; rows without an id take part
-    only as copies of others. Other columns are ignored. An empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def labelled_rows(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, text_hash, n_shingles and component_id of every row of (doc_id, text); see ``jaccard_components``."""
     sets = written(document_sets(docs, width, percent), "jaccard-sets")
     some = sets.where("n_shingles > 0")
     total = some.agg(F.sum("n_shingles")).first()[0]
-    alone = sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    alone = sets.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
     if total is None:
         return alone
     edges = written(candidate_edges(docs, width, percent, total), "jaccard-edges")
-    release_shuffles(spark)
-    comps = components(edges, "jaccard-components").withColumnRenamed("label", "comp")
-    classes = written(some.groupBy("n_shingles", "set_id", "node0", "node1").agg(F.min("doc_id").alias("first_id")), "jaccard-classes")
-    nodes = classes.where("first_id is not null").select(F.explode(F.array("node0", "node1")).alias("node"), F.col("first_id").alias("doc_id"), "set_id")
-    cells = written(search_cells(nodes.join(comps, "node").select("comp", "doc_id", "set_id")), "jaccard-cells")
+    comps = components(edges, "jaccard-components")
+    classes = written(some.groupBy("n_shingles", "set_id", "set_check", "node0", "node1").agg(F.min("doc_id").alias("first_id")), "jaccard-classes")
+    nodes = classes.where("first_id is not null").select(F.explode(F.array("node0", "node1")).alias("node"), F.col("first_id").alias("doc_id"), "set_id", "n_shingles")
+    cells = written(search_cells(nodes.join(comps.withColumnRenamed("label", "comp"), "node").select("comp", "doc_id", "set_id", "n_shingles")), "jaccard-cells")
+    drop(edges, comps)
     # Each wanted text is fetched once and travels with the list of its cells. The hint keeps one plan at every size.
     wanted = cells.groupBy("doc_id", "set_id").agg(F.collect_set("cell").alias("cells"))
     texts = docs.join(wanted.hint("shuffle_merge"), "doc_id").select(F.explode("cells").alias("cell"), "doc_id", "set_id", "text")
     links = written(verified_links(texts, width, percent), "jaccard-links")
-    release_shuffles(spark)
     labels = components(links, "jaccard-labels")
-    groups = classes.join(labels.withColumnRenamed("node", "first_id"), "first_id", "left").select("set_id", "n_shingles", F.coalesce("label", "first_id").alias("component_id"))
-    return some.join(groups, ["set_id", "n_shingles"]).select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    drop(cells, links)
+    groups = classes.join(labels.withColumnRenamed("node", "first_id"), "first_id", "left").select("set_id", "set_check", "n_shingles", F.coalesce("label", "first_id").alias("component_id"))
+    # A class of equal sets may hold any share of the rows: AQE splits its rows' side, a class has one row on the other.
+    return some.join(groups, ["set_id", "set_check", "n_shingles"]).select("doc_id", "text_hash", "n_shingles", "component_id").unionByName(alone)
+
+
+def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row.
+
+    Null texts and texts without words have no shingles and link with nothing: component_id is their
+    own id. Rows of one id count as documents of their own that share it; rows without an id take part
+    only as copies of others. Sets are known by their sizes and two independent 64-bit hashes, shingles
+    by one. Other columns are ignored. An empty table gives no rows.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return labelled_rows(docs, width, percent).drop("text_hash")
+
+
+def one_of_each_group(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that lead their group of ``jaccard_components``.
+
+    Rows are judged one by one: of an id that comes with several texts only those go that follow another id. A row
+    without an id goes if a row with one has the same set. Rows of one id and text count as one, which stays once.
+    """
+    rows = labelled_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), width, percent)
+    keys = {"_id": F.coalesce(F.col("doc_id"), F.lit(0).cast("long")), "_hash": F.xxhash64(F.col("doc_id").isNull(), "text_hash")}
+    others = rows.where("not (doc_id <=> component_id)").select(*[c.alias(k) for k, c in keys.items()]).distinct()
+    known = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long"))).withColumn("_hash", F.xxhash64(F.col(id_col).isNull(), text_hash(F.col(text_col))))
+    return known.join(others.hint("shuffle_merge"), ["_id", "_hash"], "left_anti").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
