@@ -153,14 +153,20 @@ def unpack_segment(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
     return [int(x) if p else None for x, p in zip(doc_ids, present)], counts, unpack_blocks(raw, offsets, n_ids), before
 
 
+class _Odd(Exception):
+    """A chunk whose words can't be known by themselves."""
+
+
 class WordEncoder:
-    """Encodes texts by their distinct words.
+    """Encodes texts by their distinct words, with the ids that the tokenizer gives the whole texts.
 
     The byte-level pre-tokenizer always cuts before a space that a visible character follows, between
     a letter and ASCII punctuation, and around a line break between visible characters, so the ids of
     a text are those of the words between such places, one behind the other. Each distinct word goes
     through the tokenizer once, many of them joined by line breaks into one text whose ids are cut
-    again by the known byte length of every id.
+    again by the known byte length of every id. Words are found by a hash and compared byte by byte.
+    Texts that hold one of the tokenizer's added tokens, and chunks in which anything of this fails,
+    go through the tokenizer whole.
     """
 
     #: Bytes that begin a visible character: no space, control, or white space outside ASCII.
@@ -179,7 +185,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab()
         self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
@@ -192,18 +198,24 @@ class WordEncoder:
         self.sizes = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
         self.uses = np.zeros(0, np.int32)
+        self.text = np.zeros(0, np.uint8)
+        self.text_starts = np.zeros(0, np.int64)
+        self.text_sizes = np.zeros(0, np.int64)
 
     def trim(self) -> None:
         """Keep the half of the cache that the most chunks used."""
         keep = np.sort(np.argsort(-self.uses, kind="stable")[: CACHE_WORDS // 2])
-        sizes = self.sizes[keep]
+        sizes, lengths = self.sizes[keep], self.text_sizes[keep]
         self.ids = self.ids[bk.ragged(self.starts[keep], sizes)]
+        self.text = self.text[bk.ragged(self.text_starts[keep], lengths)]
         self.keys, self.starts, self.sizes, self.uses = self.keys[keep], np.cumsum(sizes) - sizes, sizes, self.uses[keep] // 2
+        self.text_starts, self.text_sizes = np.cumsum(lengths) - lengths, lengths
 
-    def cuts(self, data: np.ndarray) -> np.ndarray:
-        """True at i if the pre-tokenizer is sure to cut before byte i."""
+    def cuts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """True at i if the pre-tokenizer is sure to cut before byte i, or a text begins or ends there."""
         cut = np.zeros(len(data) + 1, bool)
         if len(data) < 3:
+            cut[off] = True
             return cut
         visible = self.VISIBLE[data]
         cut[: len(data) - 1] = (data[:-1] == 0x20) & visible[1:]
@@ -212,6 +224,8 @@ class WordEncoder:
         lone = (data[1:-1] == 0x0A) & visible[2:] & visible[:-2] & (data[:-2] < 0x80)
         cut[1 : len(data) - 1] |= lone
         cut[2 : len(data)] |= lone
+        cut[np.maximum(off[1:] - 1, 0)] = False  # what follows a text's last byte is another text's
+        cut[off] = True
         return cut
 
     def learn(self, keys: np.ndarray, parts: list[bytes]) -> None:
@@ -230,7 +244,7 @@ class WordEncoder:
             end = np.cumsum(size + 1) - 1
             first, last = np.searchsorted(token_ends, end - size, "right"), np.searchsorted(token_ends, end, "right")
             if len(ids) and not (np.array_equal(token_ends[last - 1], end) and token_ends[-1] == end[-1]):
-                raise ValueError("ids do not end where words do")
+                raise _Odd
             keys_in.append(keys[g])
             starts.append(base + first)
             sizes.append(last - first)
@@ -241,27 +255,71 @@ class WordEncoder:
         self.keys, self.starts, self.sizes = keys[by], np.concatenate((self.starts, *starts))[by], np.concatenate((self.sizes, *sizes))[by]
         self.uses = np.concatenate((self.uses, np.zeros(len(keys) - len(self.uses), np.int32)))[by]
         self.ids = np.concatenate((self.ids, *found))
+        lengths = np.array([len(parts[i]) for g in groups for i in g.tolist()], np.int64)
+        text = np.frombuffer(b"".join([parts[i] for g in groups for i in g.tolist()]), np.uint8)
+        self.text_starts = np.concatenate((self.text_starts, len(self.text) + np.cumsum(lengths) - lengths))[by]
+        self.text_sizes, self.text = np.concatenate((self.text_sizes, lengths))[by], np.concatenate((self.text, text))
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one behind the other, and how many each has."""
+        special = self._with_added(data, off)
+        edges = np.unique(np.concatenate(([0], special, special + 1, [len(off) - 1])))
+        ids, counts = [], []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            part, o = data[off[a] : off[b]], off[a : b + 1] - off[a]
+            try:
+                got = self._plain(part, o) if a in special else self._by_words(part, o)
+            except _Odd:
+                got = self._plain(part, o)
+            ids.append(got[0])
+            counts.append(got[1])
+        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.concatenate(counts) if counts else np.zeros(0, np.int64)
+
+    def _with_added(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Rows of the texts that hold an added token's string."""
+        rows, raw = set(), data.tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(off, at, "right")) - 1
+                if at + len(token) <= off[row + 1]:
+                    rows.add(row)
+                    at = raw.find(token, int(off[row + 1]))
+                else:
+                    at = raw.find(token, at + 1)
+        return np.array(sorted(rows), np.int64)
+
+    def _plain(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw, ids, counts = data.tobytes(), [], []
+        for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
+            ids.append(np.array(self.tokenizer.encode_batch_fast([raw[a:b].decode()], add_special_tokens=False)[0].ids, np.uint32))
+            counts.append(len(ids[-1]))
+        return np.concatenate(ids), np.array(counts, np.int64)
+
+    def _by_words(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         import pandas as pd
 
         n = len(data)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
-        cut = self.cuts(data)
-        cut[off] = True
-        bounds = np.flatnonzero(cut)
+        bounds = np.flatnonzero(self.cuts(data, off))
         starts, ends = bounds[:-1], bounds[1:]
         codes, keys = pd.factorize(bk.span_hashes(data, starts, ends))
         keys = np.asarray(keys, np.uint64)
+        first = np.empty(len(keys), np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        lengths = ends - starts
+        if not np.array_equal(lengths[first][codes], lengths) or not np.array_equal(data[bk.ragged(starts[first][codes], lengths)], data):
+            raise _Odd  # two words of this chunk share a hash
         if len(self.keys) > CACHE_WORDS:
             self.trim()
         at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        missing = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
+        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        old, here = at[known], first[known]
+        if not np.array_equal(self.text_sizes[old], lengths[here]) or not np.array_equal(self.text[bk.ragged(self.text_starts[old], self.text_sizes[old])], data[bk.ragged(starts[here], lengths[here])]):
+            raise _Odd  # a word shares its hash with another one in the cache
+        missing = np.flatnonzero(~known)
         if len(missing):
-            first = np.empty(len(keys), np.int64)
-            first[codes[::-1]] = np.arange(len(codes))[::-1]
             raw = data.tobytes()
             self.learn(keys[missing], [raw[starts[i] : ends[i]] for i in first[missing]])
             at = np.searchsorted(self.keys, keys)
@@ -271,9 +329,9 @@ class WordEncoder:
         ids = self.ids[bk.ragged(self.starts[word], sizes)]
         upto = np.concatenate(([0], np.cumsum(sizes)))
         counts = np.diff(upto[np.searchsorted(starts, off)])
-        lengths = np.concatenate(([0], np.cumsum(self.lengths[ids])))
-        if not np.array_equal(lengths[np.concatenate(([0], np.cumsum(counts)))], off):
-            raise ValueError("ids do not cover the text's bytes")
+        covered = np.concatenate(([0], np.cumsum(self.lengths[ids])))
+        if not np.array_equal(covered[np.concatenate(([0], np.cumsum(counts)))], off):
+            raise _Odd
         return ids, counts
 
 
