@@ -7,14 +7,16 @@ Two codewords at nearly the same distance flag the text as ambiguous.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bytekernel as bk
 
@@ -22,29 +24,33 @@ UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 
 # Bytes that n-grams see: lower-cased ASCII letters and bytes of other characters; all else is one gap.
-_SEEN = np.zeros(256, np.uint32)
+_SEEN = np.zeros(256, np.uint8)
 _SEEN[97:123] = np.arange(1, 27)
 _SEEN[65:91] = np.arange(1, 27)
 _SEEN[128:] = np.arange(27, 155)
 
 
+#: Grams whose hashes are held at once; longer texts are counted run by run, with the same result.
+GRAM_RUN = 1 << 20
+
+
 @dataclass(frozen=True)
 class LanguageParams:
-    """``docs_per_language`` and ``max_languages`` bound the labelled sample that is fitted: at most
-    their product of texts' features (``features`` float32 each) reaches the driver."""
+    """``docs_per_language`` and ``examples`` bound the labelled sample that is fitted: at most ``examples`` texts in all
+    (one a language at least), whose ``features`` float32 numbers meet in one task. Every language is learned."""
 
     features: int = 1 << 13
-    docs_per_language: int = 300
-    max_languages: int = 64
+    docs_per_language: int = 400
+    examples: int = 4096
     epochs: int = 300
     learning_rate: float = 0.5
     l2: float = 1e-5
-    ambiguity: float = 0.002
+    odds: float = 2.0
     seed: int = 7
 
     def __post_init__(self):
-        if self.features & (self.features - 1) or self.docs_per_language < 1 or not 0 <= self.ambiguity < 1:
-            raise ValueError("features must be a power of two, docs_per_language positive, ambiguity in [0, 1)")
+        if self.features & (self.features - 1) or self.docs_per_language < 1 or self.examples < 1 or self.odds < 1:
+            raise ValueError("features must be a power of two, docs_per_language and examples positive, odds at least 1")
 
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:
@@ -65,26 +71,35 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
     return best
 
 
-def _grams(data: np.ndarray, size: int) -> np.ndarray:
-    """Hashed 1-, 2-, 3- and 4-grams of seen bytes (gaps collapsed into one) of one text."""
+def _collapsed(data: np.ndarray) -> np.ndarray:
+    """Codes of the seen bytes of one text, each gap as one 0, and a gap before and after."""
     seen = _SEEN[data]
     seen = seen[(seen != 0) | np.concatenate(([True], seen[:-1] != 0))]
-    seen = np.concatenate((np.zeros(1, np.uint32), seen, np.zeros(1, np.uint32)))
-    shift = np.uint32(32 - (size.bit_length() - 1))
-    out, code = [], seen
-    for n in range(1, 5):
-        if n > 1:
-            code = code[:-1] * np.uint32(155) + seen[n - 1 :]
-        out.append((code * np.uint32(2654435761) + np.uint32(n) * np.uint32(0x9E3779B9)) * np.uint32(0x85EBCA6B) >> shift)
-    return np.concatenate(out)
+    return np.concatenate((np.zeros(1, np.uint8), seen, np.zeros(1, np.uint8)))
+
+
+def _grams(seen: np.ndarray, n: int, size: int) -> Iterator[np.ndarray]:
+    """Hashed n-grams of a collapsed text, in runs of at most GRAM_RUN."""
+    shift, salt = np.uint32(32 - (size.bit_length() - 1)), np.uint32(n * 0x9E3779B9 & 0xFFFFFFFF)
+    for a in range(0, len(seen) - n + 1, GRAM_RUN):
+        part = seen[a : a + GRAM_RUN + n - 1].astype(np.uint32)
+        code = part[: len(part) - n + 1]
+        for k in range(1, n):
+            code = code * np.uint32(155) + part[k : len(part) - n + 1 + k]
+        yield (code * np.uint32(2654435761) + salt) * np.uint32(0x85EBCA6B) >> shift
 
 
 def features(data: np.ndarray, size: int) -> np.ndarray:
-    """Square roots of gram counts, of length 1; long texts are counted in pieces that overlap by a gram."""
-    counts, step = np.zeros(size, np.float32), 1 << 20
-    for a in range(0, max(1, len(data)), step):
-        counts += np.bincount(_grams(data[max(0, a - 3) : a + step], size), minlength=size)
-    root = np.sqrt(counts)
+    """Square roots of the counts of all 1-, 2-, 3- and 4-grams of one text, scaled to length 1."""
+    seen = _collapsed(data)
+    counts = np.zeros(size, np.int64)
+    if len(seen) <= GRAM_RUN:
+        counts += np.bincount(np.concatenate([g for n in range(1, 5) for g in _grams(seen, n, size)]), minlength=size)
+    else:
+        for n in range(1, 5):
+            for g in _grams(seen, n, size):
+                counts += np.bincount(g, minlength=size)
+    root = np.sqrt(counts).astype(np.float32)
     return root / max(float(np.sqrt((root * root).sum())), 1e-9)
 
 
@@ -95,108 +110,139 @@ class LanguageModel:
     weights: np.ndarray
     bias: np.ndarray
     bit_weights: np.ndarray
+    sharpness: float
     params: LanguageParams
 
     def losses(self, margins: np.ndarray) -> np.ndarray:
-        """(texts, languages): mean logistic loss of each codeword's bits, weighted by the bits' training accuracy."""
+        """(texts, languages): mean logistic loss of each codeword's bits, weighted by the bits' accuracy in training."""
         return (np.logaddexp(0, -self.code[None] * margins[:, None]) * self.bit_weights).sum(2) / self.bit_weights.sum()
 
-    def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Index of the nearest codeword, its score (softmax of -bits * loss) and whether the runner-up is about as near."""
+    def chances(self, margins: np.ndarray, sharpness: float | None = None) -> np.ndarray:
+        """(texts, languages): softmax of -sharpness * bits * loss; the sharpness is calibrated on rows held back from the fit."""
         loss = self.losses(margins)
-        chance = np.exp(-self.code.shape[1] * (loss - loss.min(1, keepdims=True)))
-        chance /= chance.sum(1, keepdims=True)
-        order = np.argsort(loss, axis=1, kind="stable")
-        first = order[:, 0]
-        score = chance[np.arange(len(first)), first]
-        if loss.shape[1] > 1:
-            second = loss[np.arange(len(first)), order[:, 1]]
-            near = second - loss[np.arange(len(first)), first] < self.params.ambiguity * np.maximum(second, 1e-9)
-        else:
-            near = np.zeros(len(first), bool)
+        chance = np.exp(-(sharpness or self.sharpness) * self.code.shape[1] * (loss - loss.min(1, keepdims=True)))
+        return chance / chance.sum(1, keepdims=True)
+
+    def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the nearest codeword (equally near ones: the first by name), its chance, and whether its odds
+        against the runner-up are below ``odds``, which makes the answer ambiguous."""
+        chance = self.chances(margins)
+        order = np.argsort(-chance, axis=1, kind="stable")
+        rows = np.arange(len(chance))
+        first, score = order[:, 0], chance[rows, order[:, 0]]
+        near = score < self.params.odds * chance[rows, order[:, 1]] if chance.shape[1] > 1 else np.zeros(len(chance), bool)
         return first, score, near
 
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, code=self.code, weights=self.weights, bias=self.bias, bit_weights=self.bit_weights, sharpness=self.sharpness)
+        return out.getvalue()
+
+    @staticmethod
+    def from_bytes(raw: bytes, languages: list[str], params: LanguageParams) -> LanguageModel:
+        with np.load(io.BytesIO(raw)) as found:
+            return LanguageModel(languages, found["code"], found["weights"], found["bias"], found["bit_weights"], float(found["sharpness"]), params)
+
 
 def fit(x: np.ndarray, labels: np.ndarray, languages: list[str], params: LanguageParams) -> LanguageModel:
-    """Full-batch logistic regression of every bit with momentum; same rows, same model."""
+    """Full-batch logistic regression of every bit with momentum; same rows, same model.
+
+    Every fourth row of a language is held back (where it has four) to calibrate the sharpness of the scores.
+    """
+    order = np.argsort(labels, kind="stable")
+    nth = np.empty(len(labels), np.int64)
+    nth[order] = np.arange(len(labels)) - np.searchsorted(labels[order], labels[order])
+    held = nth % 4 == 3
     code = codewords(len(languages), params.seed)
-    target = code[labels].astype(np.float32)
+    xf, yf = (x[~held], labels[~held]) if held.any() else (x, labels)
+    target = code[yf].astype(np.float32)
     # every language weighs the same
-    share = (1 / np.maximum(np.bincount(labels, minlength=len(languages)), 1))[labels].astype(np.float32)
+    share = (1 / np.maximum(np.bincount(yf, minlength=len(languages)), 1))[yf].astype(np.float32)
     share /= share.sum()
     w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     vw, vb = np.zeros_like(w), np.zeros_like(b)
     for _ in range(params.epochs):
-        margin = x @ w + b
+        margin = xf @ w + b
         pull = share[:, None] * target / (1 + np.exp(np.clip(target * margin, -30, 30)))
-        vw = 0.9 * vw + params.learning_rate * (len(languages) * x.T @ pull - params.l2 * w)
+        vw = 0.9 * vw + params.learning_rate * (len(languages) * (xf.T @ pull) - params.l2 * w)
         vb = 0.9 * vb + params.learning_rate * pull.sum(0)
         w, b = w + vw, b + vb
-    right = (share[:, None] * (target * (x @ w + b) > 0)).sum(0)
-    return LanguageModel(languages, code.astype(np.float32), w, b, np.clip(right, 0.5, 1) ** 2, params)
+    right = (share[:, None] * (target * (xf @ w + b) > 0)).sum(0)
+    model = LanguageModel(languages, code.astype(np.float32), w, b, np.clip(right, 0.5, 1) ** 2, 1.0, params)
+    if held.any():
+        margins, rows = x[held] @ w + b, np.arange(int(held.sum()))
+        likely = [(float(np.log(np.maximum(model.chances(margins, s)[rows, labels[held]], 1e-12)).mean()), s) for s in (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0)]
+        model.sharpness = max(likely)[1]
+    return model
 
 
 def train(docs: DataFrame, params: LanguageParams | None = None, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id") -> LanguageModel:
-    """Fit on the ``docs_per_language`` rows of smallest id hash of each language (null or empty labels and
-    texts without letters are left out). Too many languages: the ``max_languages`` with the most rows.
+    """Fit on the ``docs_per_language`` rows of smallest id hash of each language (fewer if ``examples`` forces it). Null
+    texts and null or empty labels are left out; a text without letters counts as one gap.
 
+    The sample's features meet in one task, which fits and returns the weights alone; the driver holds no row.
     No labelled row at all gives a model without languages, which answers ``und``.
     """
     params = params or LanguageParams()
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("label is not null and label != '' and text is not null")
-    found = named.groupBy("label").count().orderBy(F.desc("count"), "label").limit(params.max_languages).collect()
+    found = named.groupBy("label").count().orderBy("label").collect()  # one row a language
+    languages = [r["label"] for r in found]
     if not found:
-        return LanguageModel([], np.zeros((0, 1)), np.zeros((params.features, 1)), np.zeros(1), np.ones(1), params)
+        return LanguageModel([], np.zeros((0, 1)), np.zeros((params.features, 1)), np.zeros(1), np.ones(1), 1.0, params)
+    each = max(1, min(params.docs_per_language, params.examples // len(languages)))
     # A hash bound per language keeps about twice the rows wanted, so that few rows are ranked.
     spread = 1 << 30
     place = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(params.seed)), F.lit(spread))
-    bound = F.create_map(*[F.lit(v) for r in found for v in (r["label"], min(spread, -(-spread * 2 * (params.docs_per_language + 20) // r["count"])))])
+    bound = F.create_map(*[F.lit(v) for r in found for v in (r["label"], min(spread, -(-spread * 2 * (each + 20) // r["count"])))])
     chosen = named.withColumn("place", place).where(F.col("place") < bound[F.col("label")])
-    from pyspark.sql import Window
-
-    ranked = chosen.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("place", "id", "text"))).where(F.col("rank") <= params.docs_per_language)
+    ranked = chosen.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("place", "id", "text"))).where(F.col("rank") <= each)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = bk.buffers(batch.column("text"))
+            data, off = bk.buffers(batch.column(2))
             rows = [features(data[a:b], params.features).astype("<f4").tobytes() for a, b in zip(off[:-1], off[1:])]
-            yield pa.record_batch([batch.column("label"), batch.column("id"), pa.array(rows, pa.binary())], names=["label", "id", "x"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["label", "rank", "x"])
 
-    sample = ranked.select("label", F.col("id").cast("string").alias("id"), "text").mapInArrow(extract, "label string, id string, x binary").orderBy("label", "id", "x").collect()
-    languages = sorted({r["label"] for r in found})
-    x = np.stack([np.frombuffer(r["x"], "<f4") for r in sample])
-    return fit(x, np.array([languages.index(r["label"]) for r in sample]), languages, params)
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, x = [], []
+        for batch in batches:
+            labels += [languages.index(v) for v in batch.column(0).to_pylist()]
+            x += [np.frombuffer(v.as_py(), "<f4") for v in batch.column(2)]
+        if x:
+            model = fit(np.stack(x), np.array(labels, np.int64), languages, params)
+            yield pa.record_batch([pa.array([model.to_bytes()], pa.binary())], names=["model"])
+
+    sample = ranked.select("label", "rank", "text").mapInArrow(extract, "label string, rank int, x binary")
+    one = sample.repartition(1).sortWithinPartitions("label", "rank")  # at most ``examples`` rows
+    return LanguageModel.from_bytes(one.mapInArrow(fitted, "model binary").first()["model"], languages, params)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, lang_pred, score and ambiguous of every row, from the whole text alone.
 
     Null texts and texts without letters are ``und`` with score 0; so is everything if the model has
-    no languages. The model (features x bits numbers) travels with the task.
+    no languages. Repeated rows give equal rows. The model (features x bits numbers) travels with the task.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by features x bits
-    fields = [docs.schema[c] for c in keep]
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         size = m.params.features
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            data, off = bk.buffers(texts)
-            n = len(off) - 1
-            letters = np.array([t is not None and _LETTER.search(t) is not None for t in texts.to_pylist()], bool)
-            lang, score, near = np.full(n, UNDETERMINED, object), np.zeros(n), np.zeros(n, bool)
-            rows = np.flatnonzero(letters) if m.languages else []
-            for at in range(0, len(rows), 256):
-                part = rows[at : at + 256]
-                x = np.stack([features(data[off[i] : off[i + 1]], size) for i in part])
-                first, s, a = m.decode(x @ m.weights + m.bias)
-                lang[part], score[part], near[part] = np.array(m.languages, object)[first], s, a
-            yield pa.record_batch([*(batch.column(i) for i in range(len(keep))), pa.array(lang, pa.string()), pa.array(score), pa.array(near)], names=[*keep, "lang_pred", "score", "ambiguous"])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
+        names = np.array([*m.languages, UNDETERMINED], object)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                texts = batch.column(batch.num_columns - 1)
+                data, off = bk.buffers(texts)
+                n = len(off) - 1
+                lang, score, near = np.full(n, len(m.languages)), np.zeros(n), np.zeros(n, bool)
+                letters = [i for i, t in enumerate(texts) if m.languages and t.is_valid and _LETTER.search(t.as_py())]
+                if letters:
+                    x = np.stack([features(data[off[i] : off[i + 1]], size) for i in letters])
+                    lang[letters], score[letters], near[letters] = m.decode(x @ m.weights + m.bias)
+                yield pa.record_batch([*(batch.column(i) for i in range(len(keep))), pa.array(names[lang], pa.string()), pa.array(score), pa.array(near)], names=[*keep, "lang_pred", "score", "ambiguous"])
+
     return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
