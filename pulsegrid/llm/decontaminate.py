@@ -3,8 +3,9 @@
 Texts and items are normalised (lower case; runs of ASCII characters that are no letter or digit
 become one space). An item of m bytes may differ in up to k = ``error_rate`` * m edits, so of its
 k + 1 pieces at least one occurs unchanged. Every position of every text is looked up for a piece's
-first 8 bytes, then compared with the rest of it; windows around hits that hold enough of the item's
-4-grams for k edits (an edit spoils at most four) are verified with Myers' bit-parallel distance.
+first bytes (8, or all of a shorter piece), then compared with the rest of it; windows around hits that
+hold enough of the item's 4-grams for k edits (an edit spoils at most four) are verified with Myers'
+bit-parallel distance.
 """
 
 from __future__ import annotations
@@ -24,8 +25,11 @@ from . import bytekernel as bk
 U = np.uint64
 PIECE = 8
 GRAM_BITS = 12
-#: Normalised bytes of items that one scan carries; larger benchmarks are scanned in several blocks.
-BLOCK_BYTES = 32 << 20
+#: Bytes that one scan carries, with what an item takes beside its text; larger benchmarks are scanned in several blocks.
+BLOCK_BYTES, ITEM_BYTES = 64 << 20, 1 << 10
+#: Bytes of windows whose 4-grams are looked up at once.
+FILTER_BYTES = 1 << 21
+_HEAD = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[65:91] = _WORD[128:] = True
 _MAP = np.full(256, 0x20, np.uint8)
@@ -97,41 +101,90 @@ def edit_distance(pattern: bytes, text: bytes, limit: int) -> tuple[int, int] |
 
 
 class PieceIndex:
-    """Pieces of items by their first 8 bytes."""
-
-    def __init__(self, items: list[tuple[int, bytes]], params: MatchParams):
-        self.items, keys, item_of, start_of, more = items, [], [], [], []
-        self.budget = []
-        self.short = [i for i, (_, text) in enumerate(items) if len(text) < PIECE and text.strip()]
-        for i, (_, text) in enumerate(items):
-            m = len(text)
-            k = max(0, min(int(params.error_rate * m + 1e-9), m // PIECE - 1))
-            self.budget.append(k)
-            if m < PIECE:
-                continue
+    """Pieces of items (id, text, repeats) by their first bytes."""
+
+    def __init__(self, items: list[tuple[int | None, bytes, int]], params: MatchParams):
+        self.items = items
+        self.sizes = np.array([len(text) for _, text, _ in items], np.int64)
+        self.budget = np.array([min(int(params.error_rate * len(text) + 1e-9), len(text) - 1) for _, text, _ in items], np.int64)
+        heads: dict[int, list[tuple[int, int, int]]] = {}
+        more: dict[int, list[list[tuple[int, int]]]] = {}
+        for i, (_, text, _) in enumerate(items):
+            m, k = len(text), int(self.budget[i])
             for p in range(k + 1):
-                start = p * m // (k + 1)
-                keys.append(int.from_bytes(text[start : start + PIECE], "little"))
-                item_of.append(i)
-                start_of.append(start)
-                size = (p + 1) * m // (k + 1) - start
-                more.append([(at, int.from_bytes(text[start + at : start + at + PIECE], "little")) for at in (*range(PIECE, size - PIECE, PIECE), size - PIECE) if at > 0])
-        keys = np.array(keys, np.uint64)
+                start, size = p * m // (k + 1), (p + 1) * m // (k + 1) - p * m // (k + 1)
+                head = min(size, PIECE)
+                heads.setdefault(head, []).append((int.from_bytes(text[start : start + head], "little"), i, start))
+                more.setdefault(head, []).append([(at, int.from_bytes(text[start + at : start + at + PIECE], "little")) for at in (*range(PIECE, size - PIECE, PIECE), size - PIECE) if at > 0])
+        self.heads = [HeadIndex(size, rows, more[size]) for size, rows in sorted(heads.items())]
+        grams = np.zeros((len(items), (1 << GRAM_BITS) // 8), np.uint8)
+        for i, (_, text, _) in enumerate(items):
+            mine = np.zeros(1 << GRAM_BITS, bool)
+            mine[gram_codes(np.frombuffer(text, np.uint8))[: max(0, len(text) - 3)]] = True
+            grams[i] = np.packbits(mine, bitorder="little")
+        self.grams = grams
+        self.least = self.sizes - 3 - 4 * self.budget
+
+    def _gram_filter(self, codes: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Indices of the windows that hold as many of their item's 4-grams as any match must."""
+        out, ends = [], np.cumsum(np.maximum(high - low - 3, 0))
+        at = 0
+        while at < len(item):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + FILTER_BYTES, "right")))
+            i, n = item[at:upto], np.maximum((high - low)[at:upto] - 3, 0)
+            code = codes[bk.ragged(low[at:upto], n)]
+            held = self.grams[np.repeat(i, n), code >> 3] >> (code & 7).astype(np.uint8) & 1
+            total = np.concatenate(([0], np.cumsum(held, dtype=np.int64)))
+            stop = np.cumsum(n)
+            out.append(at + np.flatnonzero(total[stop] - total[stop - n] >= self.least[i]))
+            at = upto
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+    def search(self, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(row, item index, distance, end, window start) of every item found in every text: the best match of each pair,
+        the first of equally good ones."""
+        found: dict[tuple[int, int], tuple[int, int, int]] = {}
+        raw = data.tobytes()
+        if not self.heads or not len(data):
+            return []
+        keys = windows(data)
+        row, item, begin = (np.concatenate(x) for x in zip(*(h.hits(keys, off) for h in self.heads)))
+        order = np.lexsort((begin, item, row))
+        row, item, begin = row[order], item[order], begin[order]
+        budget = self.budget[item]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > budget[1:])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(row)) - 1 if len(first) else first
+        row, item, low, high = row[first], item[first], begin[first], begin[last]
+        low = np.maximum(off[row], low - self.budget[item])
+        high = np.minimum(off[row + 1], high + self.sizes[item] + self.budget[item])
+        likely = self._gram_filter(gram_codes(data), item, low, high)
+        for r, i, lo, hi in zip(row[likely].tolist(), item[likely].tolist(), low[likely].tolist(), high[likely].tolist()):
+            text, k = self.items[i][1], int(self.budget[i])
+            if found.get((r, i), (1,))[0] == 0:
+                continue
+            limit = min(k, found[r, i][0] - 1) if (r, i) in found else k
+            if hit := edit_distance(text, raw[lo:hi], limit):
+                found[r, i] = (hit[0], lo + hit[1] - int(off[r]), lo - int(off[r]))
+        return [(r, i, *v) for (r, i), v in sorted(found.items())]
+
+
+class HeadIndex:
+    """Pieces whose first ``size`` bytes (at most 8) are looked up, as (key, item, start in the item), and further places
+    of each piece that must agree: (offset, 8 bytes), in as many rounds as the longest piece needs."""
+
+    def __init__(self, size: int, rows: list[tuple[int, int, int]], more: list[list[tuple[int, int]]]):
+        self.size = size
+        keys = np.array([key for key, _, _ in rows], np.uint64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.first, self.count = np.unique(keys[order], return_index=True, return_counts=True)
-        self.item, self.start = np.array(item_of, np.int64)[order], np.array(start_of, np.int64)[order]
-        # Further places of a piece that must agree: (offset, 8 bytes), in as many rounds as the longest piece needs.
+        self.item, self.start = (np.array([r[k] for r in rows], np.int64)[order] for k in (1, 2))
         self.rounds = []
         for n in range(max(map(len, more), default=0)):
             at = np.array([x[n][0] if len(x) > n else 0 for x in more], np.int64)[order]
             key = np.array([x[n][1] if len(x) > n else 0 for x in more], np.uint64)[order]
             self.rounds.append((at, key))
-        self.grams = np.zeros((len(items), 1 << GRAM_BITS), bool)
-        self.least = np.zeros(len(items), np.int64)
-        for i, (_, text) in enumerate(items):
-            if len(text) >= PIECE:
-                self.grams[i, gram_codes(np.frombuffer(text, np.uint8))[: len(text) - 3]] = True
-                self.least[i] = len(text) - 3 - 4 * self.budget[i]
         self.bits = max(16, min(24, int(len(keys) * 32).bit_length()))
         self.table = np.zeros(1 << self.bits, bool)
         self.table[self._slot(self.keys)] = True
@@ -139,81 +192,40 @@ class PieceIndex:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys * U(0x9E3779B97F4A7C15) >> U(64 - self.bits)).astype(np.int64)
 
-    def _gram_filter(self, codes: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Indices of the windows that hold as many of their item's 4-grams as any match must."""
-        out = []
-        for at in range(0, len(item), 4096):
-            i, a, n = item[at : at + 4096], low[at : at + 4096], np.maximum((high - low)[at : at + 4096] - 3, 0)
-            held = self.grams[np.repeat(i, n), codes[bk.ragged(a, n)]]
-            upto = np.concatenate(([0], np.cumsum(held)))
-            ends = np.cumsum(n)
-            out.append(at + np.flatnonzero(upto[ends] - upto[ends - n] >= self.least[i]))
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
-
-    def search(self, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(row, item index, distance, end, window start) of every item found in every text: the best match of each pair."""
-        found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        raw = data.tobytes()
-        for i in self.short:
-            text = self.items[i][1]
-            for row in range(len(off) - 1):
-                at = raw.find(text, off[row], off[row + 1])
-                if at >= 0:
-                    found[row, i] = (0, at + len(text) - int(off[row]), at - int(off[row]))
-        if len(self.keys) and len(data) >= PIECE:
-            keys = windows(data)
-            at = np.flatnonzero(self.table[self._slot(keys)])
-            k = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
-            real = self.keys[k] == keys[at]
-            at, k = at[real], k[real]
-            row = np.searchsorted(off, at, "right") - 1
-            inside = at + PIECE <= off[row + 1]
-            at, k, row = at[inside], k[inside], row[inside]
-            piece = bk.ragged(self.first[k], self.count[k])
-            at, row = np.repeat(at, self.count[k]), np.repeat(row, self.count[k])
-            for more_at, more_key in self.rounds:
-                offset = more_at[piece]
-                end = at + offset + PIECE
-                same = (offset == 0) | ((end <= off[row + 1]) & (keys[np.minimum(end - PIECE, len(keys) - 1)] == more_key[piece]))
-                at, row, piece = at[same], row[same], piece[same]
-            item, begin = self.item[piece], at - self.start[piece]
-            order = np.lexsort((begin, item, row))
-            row, item, begin = row[order], item[order], begin[order]
-            budget = np.array(self.budget, np.int64)[item]
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > budget[1:])
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(row)) - 1 if len(first) else first
-            size = np.array([len(t) for _, t in self.items], np.int64)
-            row, item, low, high = row[first], item[first], begin[first], begin[last]
-            low = np.maximum(off[row], low - budget[first])
-            high = np.minimum(off[row + 1], high + size[item] + budget[first])
-            likely = self._gram_filter(gram_codes(data), item, low, high)
-            for r, i, lo, hi in zip(row[likely].tolist(), item[likely].tolist(), low[likely].tolist(), high[likely].tolist()):
-                text, k = self.items[i][1], self.budget[i]
-                if found.get((r, i), (1,))[0] == 0:
-                    continue
-                limit = min(k, found[r, i][0] - 1) if (r, i) in found else k
-                if hit := edit_distance(text, raw[lo:hi], limit):
-                    found[r, i] = (hit[0], lo + hit[1] - int(off[r]), lo - int(off[r]))
-        return [(r, i, *v) for (r, i), v in sorted(found.items())]
-
-
-def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, bytes]]]:
-    """Normalised items in blocks of bounded size; null and empty items are left out."""
-    named = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    def hits(self, windows: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """row, item and where the item would begin for every place at which a whole piece occurs."""
+        heads = windows & _HEAD[self.size] if self.size < PIECE else windows
+        at = np.flatnonzero(self.table[self._slot(heads)])
+        k = np.minimum(np.searchsorted(self.keys, heads[at]), len(self.keys) - 1)
+        real = self.keys[k] == heads[at]
+        at, k = at[real], k[real]
+        row = np.searchsorted(off, at, "right") - 1
+        inside = at + self.size <= off[row + 1]
+        at, k, row = at[inside], k[inside], row[inside]
+        piece = bk.ragged(self.first[k], self.count[k])
+        at, row = np.repeat(at, self.count[k]), np.repeat(row, self.count[k])
+        for more_at, more_key in self.rounds:
+            offset = more_at[piece]
+            end = at + offset + PIECE
+            same = (offset == 0) | ((end <= off[row + 1]) & (windows[np.minimum(end - PIECE, len(windows) - 1)] == more_key[piece]))
+            at, row, piece = at[same], row[same], piece[same]
+        return row, self.item[piece], at - self.start[piece]
+
+
+def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int | None, bytes, int]]]:
+    """(id, normalised text, repeats) of all items in blocks of bounded size; items whose normal form is empty are left out."""
+    named = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").groupBy("id", "text").agg(F.count(F.lit(1)).alias("n"))
+    total = named.agg(F.sum(F.octet_length("text") + ITEM_BYTES)).first()[0] or 0
     n = -(-int(total) // block_bytes)
     for b in range(n):
-        block = named if n == 1 else named.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b)
-        rows = block.distinct().collect()
+        rows = (named if n == 1 else named.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b)).collect()
         data, off = normalised(pa.array([r["text"] for r in rows], pa.string()))
         raw = data.tobytes()
-        items = sorted((r["id"], raw[a:z].strip()) for r, a, z in zip(rows, off[:-1], off[1:]) if r["id"] is not None)
-        yield [x for x in items if x[1]]
+        items = [(r["id"], raw[a:z].strip(), r["n"]) for r, a, z in zip(rows, off[:-1], off[1:])]
+        yield sorted((x for x in items if x[1]), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
-def _scan(index: PieceIndex, texts: pa.Array) -> Iterator[tuple[int, int, int, int]]:
+def _scan(index: PieceIndex, texts: pa.Array) -> Iterator[tuple[int, int | None, int, int]]:
     """(row, item_id, distance, end) of a string column's texts, in bounded chunks."""
     n = len(texts)
     lengths = np.diff(bk.buffers(texts)[1])
@@ -222,7 +234,8 @@ def _scan(index: PieceIndex, texts: pa.Array) -> Iterator[tuple[int, int, int, i
         upto = at + max(1, int(np.searchsorted(np.cumsum(lengths[at:]), bk.CHUNK_BYTES, "right")))
         data, off = normalised(texts.slice(at, min(upto, n) - at))
         for row, item, distance, end, _ in index.search(data, off):
-            yield at + row, index.items[item][0], distance, end
+            for _ in range(index.items[item][2]):
+                yield at + row, index.items[item][0], distance, end
         at = upto
 
 
@@ -230,8 +243,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, params: MatchParams | None =
     """doc_id, item_id, distance (edits of the best match) and match_end (byte in the normalised text) of every
     document that holds an item within its error budget.
 
-    Null and empty texts and items match nothing; repeated documents and items each give their row; an
-    item shorter than 8 bytes must occur unchanged. Other columns are ignored.
+    Null and empty texts and items match nothing; repeated documents and items each give their row, those
+    without an id a row with null. Of equally good matches the first counts. Other columns are ignored.
     """
     params = params or MatchParams()
     spark, out = docs.sparkSession, None

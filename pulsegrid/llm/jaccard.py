@@ -516,3 +516,19 @@ def one_of_each_group(docs: DataFrame, width: int = 4, percent: int = 85, id_col
     others = rows.where("not (doc_id <=> component_id)").select(*[c.alias(k) for k, c in keys.items()]).distinct()
     known = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long"))).withColumn("_hash", F.xxhash64(F.col(id_col).isNull(), text_hash(F.col(text_col))))
     return known.join(others.hint("shuffle_merge"), ["_id", "_hash"], "left_anti").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+
+
+def oracle_sql(width: int = 4, percent: int = 85) -> str:
+    """DuckDB SQL for ``jaccard_components`` over documents: all pairs that share a shingle, and the links' closure."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+    with recursive split_words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+    sets as (select doc_id, case when len(w) = 0 then [] else list_distinct(list_transform(range(1, greatest(len(w) - {width - 1}, 1) + 1), lambda i: array_to_string(w[i:i + {width - 1}], ' '))) end as s from split_words),
+    sized as (select doc_id, len(s)::bigint as n from sets),
+    held as (select doc_id, unnest(s) as x from sets),
+    shared as (select a.doc_id as a, b.doc_id as b, count(*) as k from held a join held b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
+    links as (select a, b from shared join sized p on p.doc_id = a join sized q on q.doc_id = b where 100 * k >= {percent} * (p.n + q.n - k)),
+    edges as (select a, b from links union select b, a from links),
+    reach(node, seen) as (select doc_id, doc_id from sized union select reach.node, edges.b from reach join edges on edges.a = reach.seen)
+    select z.doc_id, z.n as n_shingles, c.component_id from sized z join (select node, min(seen) as component_id from reach group by 1) c on c.node = z.doc_id
+    """

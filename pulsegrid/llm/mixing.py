@@ -5,7 +5,8 @@ in whole epochs plus, in one more, its first blocks up to its target; the block
 falls is filled greedily. A multivariate-hypergeometric splitting tree divides the exact numbers of
 blocks taken from each source among the output shards: every node deals half of its blocks to each
 child, source by source with hypergeometric draws. Shards then take disjoint runs of each source's
-permuted blocks, and within a shard documents are shuffled by a hash.
+permuted blocks, and within a shard documents are shuffled by a hash. Where a block goes is looked up
+by source and block, so no row carries anything that grows with the number of shards.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import drop, written
 
 #: Fixed value: weights of the sources in the order of their names, repeating.
 WEIGHTS = (1, 2, 3)
@@ -95,28 +96,35 @@ def splitting_tree(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
     return node.select(F.col("node").alias("shard"), F.posexplode("q").alias("source_no", "blocks"))
 
 
-def mix(docs: DataFrame, params: MixParams | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source, source_size, target and draws of every row.
+def _row_hash(id_col: str, text_col: str, source_col: str, seed: int) -> Column:
+    """Place of a row in its source's permutation: rows of one id, source and text have one."""
+    return F.xxhash64(F.lit(seed), F.col(id_col).isNull(), F.col(id_col).cast("string"), source_col, F.col(text_col).isNull(), text_col)
 
-    ``draws`` has a struct (epoch, shard, place) for each copy that the mix takes; a shard's documents
-    in the order of ``place`` are the output. Sizes are words; null texts, like texts without words,
-    have size 0 and are taken in whole epochs only. Null is a source of its own, after all others.
-    Equal rows (same id, source and size) are taken together; nothing depends on other columns or on
-    the order of rows, so reruns agree. An empty table gives no rows.
-    """
-    params = params or MixParams()
+
+@dataclass(frozen=True)
+class MixPlan:
+    """Tables of a mix: ``sized`` has the rows, ``sources`` one row a source, ``placement`` one a block that is taken
+    (with a struct of epoch and shard for each time), ``chosen`` the rows taken of the blocks that targets cut."""
+
+    sized: DataFrame
+    sources: DataFrame
+    placement: DataFrame
+    chosen: DataFrame
+
+
+# The block of a row: equal ranges of the upper 31 bits of its hash.
+_BLOCK = "shiftright(shiftrightunsigned(u, 33) * n_blocks, 31)"
+
+
+def plan_mix(docs: DataFrame, params: MixParams, id_col: str, text_col: str, source_col: str) -> MixPlan:
     seed = params.seed
-    sized = written(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("u", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "source", "size")),
-        "mix-sizes",
-    )
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _row_hash(id_col, text_col, source_col, seed).alias("u"))
+    sized = written(rows, "mix-sizes")
     targets = source_targets(sized).withColumn("source_no", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1).cast("int"))
     n_blocks = F.ceil(F.col("n_docs") / params.block_docs).cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = written(targets.withColumn("n_blocks", n_blocks).withColumn("whole", whole).withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
-    # The block of a document: equal ranges of the upper 31 bits of its hash.
-    block = F.expr("shiftright(shiftrightunsigned(u, 33) * n_blocks, 31)")
-    placed = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).drop(targets["source"]).withColumn("block", block)
+    placed = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).drop(targets["source"]).withColumn("block", F.expr(_BLOCK))
     sums = placed.groupBy("source_no", "block").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(Window.partitionBy("source_no").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("words")
     cut = sums.withColumn("before", before).join(targets.select("source_no", "extra"), "source_no").where("before <= extra and before + words > extra")
@@ -126,28 +134,58 @@ def mix(docs: DataFrame, params: MixParams | None = None, id_col: str = "doc_id"
     members = placed.join(cut, "source_no").where("block = cut_block").groupBy("source_no", "room", "u").agg(F.sum("size").alias("size"))
     listed = members.groupBy("source_no", "room").agg(F.sort_array(F.collect_list(F.struct("u", "size"))).alias("m"))
     fitted = listed.select("source_no", "m", F.expr("aggregate(m, named_struct('room', room, 'us', cast(array() as array<bigint>)), (s, x) -> if(x.size <= s.room, named_struct('room', s.room - x.size, 'us', array_append(s.us, x.u)), s))").alias("fit"))
-    chosen = fitted.withColumn("last", F.try_element_at(F.expr("sort_array(transform(filter(m, x -> not array_contains(fit.us, x.u)), x -> struct(x.size as size, x.u as u)))"), F.lit(1)))
-    chosen = chosen.select("source_no", F.explode(F.expr("if(last is not null and last.size - fit.room < fit.room, array_append(fit.us, last.u), fit.us)")).alias("u")).withColumn("chosen", F.lit(True))
+    last = F.expr("sort_array(transform(filter(m, x -> not array_contains(fit.us, x.u)), x -> struct(x.size as size, x.u as u)))")
+    fitted = fitted.withColumn("last", F.try_element_at(last, F.lit(1)))
+    chosen = written(fitted.select("source_no", F.explode(F.expr("if(last is not null and last.size - fit.room < fit.room, array_append(fit.us, last.u), fit.us)")).alias("u")).withColumn("chosen", F.lit(True)), "mix-chosen")
     # Exact numbers of blocks: every epoch's, and those up to the cut in the last.
     quotas = targets.join(cut, "source_no", "left").withColumn("cut_block", F.coalesce("cut_block", F.lit(-1).cast("long"))).withColumn("blocks", F.col("whole") * F.col("n_blocks") + F.col("cut_block") + 1)
+    sources = written(quotas.select("source", "source_no", "source_size", "target", "n_blocks", "whole", "cut_block", "blocks"), "mix-sources")
     total = sized.agg(F.sum("size")).first()[0] or 0
     depth = max(0, math.ceil(math.log2(max(1, total / params.shard_words))))
-    leaves = splitting_tree(quotas.select("source_no", "blocks"), depth, seed)
-    bounds = leaves.groupBy("source_no").agg(F.sort_array(F.collect_list(F.struct("shard", "blocks"))).alias("b")).select("source_no", F.expr("slice(aggregate(b, array(0L), (a, x) -> array_append(a, element_at(a, -1) + x.blocks)), 2, size(b))").alias("ends"))
-    per_source = written(quotas.join(bounds, "source_no").select("source", "source_no", "source_size", "target", "n_blocks", "whole", "cut_block", "ends"), "mix-sources")
-    rows = sized.join(per_source, sized["source"].eqNullSafe(per_source["source"])).drop(per_source["source"]).withColumn("block", block)
-    rows = rows.join(chosen, ["source_no", "u"], "left")
-    copies = F.expr("whole + if(block < cut_block or (block = cut_block and chosen), 1, 0)").cast("int")
-    draw = f"""named_struct('epoch', e, 'shard', size(filter(ends, c -> c <= e * n_blocks + if(e < whole, pmod(block + xxhash64({seed}, source_no, e), n_blocks), block))), 'place', xxhash64({seed}, e, u))"""
-    rows = rows.withColumn("copies", copies)
-    return rows.select("doc_id", "size", "source", "source_size", "target", F.expr(f"transform(slice(sequence(0, copies), 1, copies), e -> {draw})").alias("draws"))
-
-
-def mixed_documents(docs: DataFrame, params: MixParams | None = None, id_col: str = "doc_id") -> DataFrame:
+    leaves = splitting_tree(sources.select("source_no", "blocks"), depth, seed).where("blocks > 0")
+    ends = F.sum("blocks").over(Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    runs = leaves.withColumn("end", ends).select("source_no", "shard", F.explode(F.expr("sequence(end - blocks, end - 1)")).alias("at"))
+    moved = f"if(epoch < whole, pmod(at % n_blocks - pmod(xxhash64({seed}, source_no, epoch), n_blocks), n_blocks), at % n_blocks)"
+    each = runs.join(sources.select("source_no", "n_blocks", "whole"), "source_no").withColumn("epoch", F.expr("at div n_blocks")).withColumn("block", F.expr(moved))
+    placement = written(each.groupBy("source_no", "block").agg(F.sort_array(F.collect_list(F.struct("epoch", "shard"))).alias("at")), "mix-placement")
+    drop(targets, cut)
+    return MixPlan(sized, sources, placement, chosen)
+
+
+def with_draws(rows: DataFrame, plan: MixPlan, seed: int) -> DataFrame:
+    """``rows`` (with source and u) and source_size, target and draws (epoch, shard, place)."""
+    of_source = plan.sources.select(F.col("source").alias("_source"), "source_no", "source_size", "target", "n_blocks", "whole", "cut_block")
+    found = rows.join(of_source, rows["source"].eqNullSafe(of_source["_source"])).withColumn("block", F.expr(_BLOCK))
+    found = found.join(plan.placement, ["source_no", "block"], "left").join(plan.chosen, ["source_no", "u"], "left")
+    taken = "filter(coalesce(at, array()), x -> x.epoch < whole or block < cut_block or chosen is not null)"
+    draws = F.expr(f"transform({taken}, x -> named_struct('epoch', x.epoch, 'shard', x.shard, 'place', xxhash64({seed}, x.epoch, u)))")
+    return found.select(*[rows[c] for c in rows.columns], "source_size", "target", draws.alias("draws"))
+
+
+def mix(docs: DataFrame, params: MixParams | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, size, source, source_size, target and draws of every row.
+
+    ``draws`` has a struct (epoch, shard, place) for each copy that the mix takes; a shard's documents
+    in the order of ``place`` are the output. Sizes are words; null texts, like texts without words,
+    have size 0 and are taken in whole epochs only. Null is a source of its own, after all others.
+    Rows with the same id, source and text are taken together, each as often as the other, null ids like any id; nothing
+    depends on other columns or on the order of rows, so reruns agree. An empty table gives no rows. Targets
+    are found over one row a source in one task.
+    """
+    params = params or MixParams()
+    plan = plan_mix(docs, params, id_col, text_col, source_col)
+    return with_draws(plan.sized, plan, params.seed).drop("u")
+
+
+def mixed_documents(docs: DataFrame, params: MixParams | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, all columns, once for each copy the mix takes, shard by shard and shuffled within
-    (columns _shard and _place lead). Ids must be unique; rows without an id are left out."""
-    drawn = mix(docs, params, id_col).where(F.size("draws") > 0).select(F.col("doc_id").alias(id_col), F.explode("draws").alias("_draw"))
-    out = docs.join(drawn, id_col).select(F.col("_draw.shard").alias("_shard"), F.col("_draw.place").alias("_place"), *docs.columns)
+    (columns _shard and _place lead). Rows are judged one by one, with repeated and with null ids too."""
+    params = params or MixParams()
+    plan = plan_mix(docs, params, id_col, text_col, source_col)
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all")
+    rows = docs.select(every, F.col(source_col).alias("source"), _row_hash(id_col, text_col, source_col, params.seed).alias("u"))
+    out = with_draws(rows, plan, params.seed).select("_all", F.explode("draws").alias("_draw"))
+    out = out.select(F.col("_draw.shard").alias("_shard"), F.col("_draw.place").alias("_place"), *[F.col("_all")[c].alias(c) for c in docs.columns])
     return out.repartitionByRange("_shard", "_place").sortWithinPartitions("_shard", "_place")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import reputation
+from . import chat, jaccard, reputation
 from .storage import table
 
 
@@ -27,9 +27,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .jaccard import jaccard_components
-
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def op4_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,9 +62,7 @@ def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat import format_table, read_back, with_probe
-
-    return read_back(format_table(with_probe(table(spark, sf_dir, "conversations"))))
+    return chat.read_back(chat.format_table(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
 
 def op5_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,5 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_jaccard_join": jaccard.oracle_sql(),
     "op9_url_reputation": reputation.oracle_sql(),
+    "op10_chat_format": chat.oracle_sql(),
 }

@@ -1,7 +1,7 @@
 import hashlib
 import json
 
-import pytest
+import duckdb
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -27,8 +27,35 @@ def test_parts():
     formatted, spans, found = C.format_conversation([("user", "hi"), ("assistant", parts)])
     assert formatted[slice(*spans[0])] == "see <\\|x|> <|image:0|><|audio:1|><|document:2|><|image:3|>"
     assert [(a.kind, a.reference, a.tokens, a.turn) for a in found] == [("image", "a.png", 4, 1), ("audio", "b.wav", 38, 1), ("document", "c", 2, 1), ("image", None, 1, 1)]
-    with pytest.raises(ValueError):
-        C.format_conversation([("user", [{"type": "video"}])])
+    odd = [{"type": "video", "ref": "<|v|>"}, {"type": "image", "width": "wide", "height": float("nan")}, {"type": "text", "text": 5}, "bare", {"type": "document", "tokens": -3}]
+    formatted, spans, found = C.format_conversation([("assistant", odd)])
+    assert formatted[slice(*spans[0])] == '{"ref": "<\\\\|v|>", "type": "video"}<|image:0|>5"bare"<|document:1|>' and [a.tokens for a in found] == [1, 1]
+
+
+MARKED = "look ![a cat](http://x/c.png), hear [it](s.mp3)\n<|image:0|> and [read](d.pdf)![](i) [no](page.html) ![<|x|>](y)"
+
+
+def test_parts_of_text():
+    parts = C.parts_of(MARKED)
+    assert [(p["type"], p.get("ref")) for p in parts if p["type"] != "text"] == [("image", "http://x/c.png"), ("audio", "s.mp3"), ("document", "d.pdf"), ("image", "i")]
+    assert "".join(p.get("source") or p["text"] for p in parts) == MARKED and C.parts_of(None) == C.parts_of("") == []
+    formatted, spans, found = C.format_conversation([("assistant", MARKED), ("user", "![x](z)")])
+    sources = [a.source for a in found]
+    assert C.parse(formatted, sources) == [("assistant", MARKED), ("user", "![x](z)")] and C.restored(formatted[slice(*spans[0])], sources) == MARKED
+    assert "<|image:0|>, hear <|audio:1|>\n<\\|image:0|> and <|document:2|><|image:3|>" in formatted
+
+
+def test_sql(spark, sf, tmp_path):
+    from pulsegrid.llm.queries import QUERIES
+
+    rows = [(1, 1, "assistant", MARKED), (1, 0, "user", None), (1, 1, "assistant", MARKED), (2, None, None, "é<\\|" * 9), (None, 0, "a\nb", ""), (4, 0, "assistant", "![](p)" * 12), (-1, 5, "user", "more")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    for folder, files in ((sf, f"{sf}/conversations.parquet"), (str(tmp_path), f"{tmp_path}/conversations.parquet/*.parquet")):
+        con.sql(f"create or replace view conversations as select * from '{files}'")
+        want = con.sql(C.oracle_sql())
+        got = QUERIES["op10_chat_format"](spark, folder)
+        assert sorted(map(str, got.select(*want.columns).toPandas().values.tolist())) == sorted(map(str, [list(r) for r in want.fetchall()]))
 
 
 def test_table(spark):

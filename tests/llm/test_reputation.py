@@ -54,3 +54,34 @@ def test_shrinking(spark):
     with pytest.raises(ValueError):
         R.ReputationParams(max_bad_rate=1.5)
     assert F is not None
+
+
+def test_outcomes_of_every_url_form(spark):
+    """A document's number may end a path, stand before a slash, or before a file ending; counts by hand."""
+    urls = ["http://a.com/en/7", "http://a.com/en/7/", "http://a.com/en/7.html", "http://a.com/en/7.html?x=1", "http://a.com/en/8#top", "http://a.com/en/8x", "http://a.com/8/en", "http://a.com/en/9.html", None]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    labels = spark.createDataFrame([(7, 1, 1), (8, 1, 0), (9, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = sorted(tuple(r) for r in R.page_outcomes(pages, labels).collect())
+    assert got == [("a.com", 0)] + [("a.com", 1)] * 4
+
+
+def test_sites(spark):
+    hosts = ["a.b.co.uk", "co.uk", "x.com:8080", "u@y.x.com", "10.0.0.1:80", "[::1]:80", "localhost", ""]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", *R.site(F.col("host")))
+    got = {r[0]: tuple(r)[1:] for r in df.collect()}
+    assert got == {
+        "a.b.co.uk": ("a.b.co.uk", "b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk", "co.uk"), "x.com:8080": ("x.com", "x.com", "com"), "u@y.x.com": ("y.x.com", "x.com", "com"),
+        "10.0.0.1:80": ("10.0.0.1", "10.0.0.1", ""), "[::1]:80": ("[::1]", "[::1]", ""), "localhost": ("localhost", "localhost", "localhost"), "": ("", "", ""),
+    }
+
+
+def test_sql_on_odd_hosts(spark, tmp_path):
+    rows = [(i, u[0]) for i, u in enumerate(URLS)] + [(100 + i, f"http://{h}/en/{i}{e}") for i, (h, e) in enumerate([("a.co.uk", ""), ("b.co.uk:80", "/"), ("10.1.2.3", ".html"), ("u@c.org", ""), ("c.org", ".txt"), ("[::1]:9", "")] * 5)]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(map(str, con.sql(f"select page_id, host, path, rule, verdict from ({R.oracle_sql()})").fetchall()))
+    got = sorted(str(tuple(r)) for r in QUERIES["op9_url_reputation"](spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict").collect())
+    assert got == want and {r[-1] for r in con.sql(R.oracle_sql()).fetchall()} == {"allow", "block"}
