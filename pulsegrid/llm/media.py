@@ -27,41 +27,48 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
-def to_png(image: np.ndarray, filter_type: int | None = None, level: int = ZLIB_LEVEL) -> bytes:
+def _guesses(flat: np.ndarray, bpp: int, kind: int) -> np.ndarray:
+    """What row filter ``kind`` subtracts from every sample."""
+    left, above, corner = (np.zeros_like(flat) for _ in range(3))
+    left[:, bpp:], above[1:], corner[1:, bpp:] = flat[:, :-bpp], flat[:-1], flat[:-1, :-bpp]
+    if kind < 3:
+        return (np.zeros_like(flat), left, above)[kind]
+    left, above, corner = (x.astype(np.int16) for x in (left, above, corner))
+    if kind == 3:
+        return ((left + above) // 2).astype(np.uint8)
+    p = left + above - corner
+    to_left, to_above, to_corner = np.abs(p - left), np.abs(p - above), np.abs(p - corner)
+    return np.where((to_left <= to_above) & (to_left <= to_corner), left, np.where(to_above <= to_corner, above, corner)).astype(np.uint8)
+
+
+def to_png(image: np.ndarray, filters: int | tuple[int, ...] = (0, 1, 2), level: int = ZLIB_LEVEL) -> bytes:
     """PNG of a uint8 image (height, width) or (height, width, 3).
 
-    ``filter_type`` 0 (none), 1 (sub) or 2 (up) is used for every row; None takes for each row the
-    one of the three with the smallest sum of absolute signed differences.
+    Every row takes of ``filters`` (0 none, 1 left, 2 above, 3 mean, 4 nearest of three) the one with the smallest sum
+    of absolute signed differences, the first of equal ones.
     """
     height, width = image.shape[:2]
     bpp = 1 if image.ndim == 2 else image.shape[2]
     flat = np.ascontiguousarray(image, np.uint8).reshape(height, width * bpp)
-    sub, up = flat.copy(), flat.copy()
-    if filter_type in (None, 1):
-        sub[:, bpp:] -= flat[:, :-bpp]
-    if filter_type in (None, 2):
-        up[1:] -= flat[:-1]
-    choices = [flat, sub, up]
-    if filter_type is None:
-        cost = np.stack([np.abs(c.view(np.int8).astype(np.int16)).sum(1) for c in choices])
-        pick = cost.argmin(0)
-    else:
-        pick = np.full(height, filter_type)
-    out = np.empty((height, width * bpp + 1), np.uint8)
-    out[:, 0] = pick
-    for k, rows in enumerate(choices):
-        if (at := pick == k).any():
-            out[at, 1:] = rows[at]
+    out, least = np.empty((height, width * bpp + 1), np.uint8), None
+    for kind in (filters,) if isinstance(filters, int) else filters:
+        rows = flat - _guesses(flat, bpp, kind)
+        cost = np.abs(rows.view(np.int8).astype(np.int16)).sum(1, dtype=np.int64)
+        at = np.ones(height, bool) if least is None else cost < least
+        out[at, 0], out[at, 1:] = kind, rows[at]
+        least = cost if least is None else np.minimum(cost, least)
     head = struct.pack(">IIBBBBB", width, height, 8, 0 if bpp == 1 else 2, 0, 0, 0)
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(out.tobytes(), level)) + _chunk(b"IEND", b"")
 
 
 def _unfilter(rows: np.ndarray, kinds: np.ndarray, bpp: int) -> np.ndarray:
-    """Undo the row filters; runs of rows with filters 0, 1 and 2 are undone together."""
+    """Undo the row filters: runs of rows with filters 0, 1 and 2 at once, runs with 3 and 4 by diagonals."""
+    if kinds.size and not (0 <= kinds.min() and kinds.max() <= 4):
+        raise ValueError("unknown row filter")
     out = np.empty_like(rows)
     height, width = rows.shape
     before = np.zeros(width, np.uint8)
-    edges = np.flatnonzero(np.diff(kinds)) + 1
+    edges = np.flatnonzero(np.diff(np.where(kinds >= 3, 3, kinds))) + 1
     for a, b in zip(np.concatenate(([0], edges)).tolist(), np.concatenate((edges, [height])).tolist()):
         kind, part = int(kinds[a]), rows[a:b]
         if kind == 0:
@@ -70,27 +77,30 @@ def _unfilter(rows: np.ndarray, kinds: np.ndarray, bpp: int) -> np.ndarray:
             out[a:b] = np.cumsum(part.reshape(b - a, -1, bpp), axis=1, dtype=np.uint8).reshape(b - a, width)
         elif kind == 2:
             out[a:b] = np.cumsum(np.concatenate((before[None], part)), axis=0, dtype=np.uint8)[1:]
-        elif kind in (3, 4):
-            for r in range(a, b):
-                above = before if r == 0 else out[r - 1]
-                row, raw = out[r], rows[r]
-                for i in range(0, width, bpp):
-                    left = row[i - bpp : i].astype(np.int16) if i else np.zeros(bpp, np.int16)
-                    over = above[i : i + bpp].astype(np.int16)
-                    if kind == 3:
-                        guess = (left + over) // 2
-                    else:
-                        corner = above[i - bpp : i].astype(np.int16) if i else np.zeros(bpp, np.int16)
-                        p = left + over - corner
-                        pa_, pb, pc_ = abs(p - left), abs(p - over), abs(p - corner)
-                        guess = np.where((pa_ <= pb) & (pa_ <= pc_), left, np.where(pb <= pc_, over, corner))
-                    row[i : i + bpp] = (raw[i : i + bpp] + guess) & 255
         else:
-            raise ValueError(f"row filter {kind}")
+            out[a:b] = _by_diagonals(part, kinds[a:b], before, bpp)
         before = out[b - 1]
     return out
 
 
+def _by_diagonals(rows: np.ndarray, kinds: np.ndarray, before: np.ndarray, bpp: int) -> np.ndarray:
+    """Rows with filters 3 (mean) and 4 (nearest of three): pixels of one diagonal need only earlier ones, so each
+    diagonal is undone at once."""
+    n, pixels = len(rows), rows.shape[1] // bpp
+    raw = rows.reshape(n, pixels, bpp).astype(np.int16)
+    out = np.zeros((n + 1, pixels + 1, bpp), np.int16)  # with a row above and a column of zeros before
+    out[0, 1:] = before.reshape(pixels, bpp)
+    for d in range(n + pixels - 1):
+        r = np.arange(max(0, d - pixels + 1), min(n, d + 1))
+        i = d - r
+        left, above, corner = out[r + 1, i], out[r, i + 1], out[r, i]
+        p = left + above - corner
+        to_left, to_above, to_corner = np.abs(p - left), np.abs(p - above), np.abs(p - corner)
+        nearest = np.where((to_left <= to_above) & (to_left <= to_corner), left, np.where(to_above <= to_corner, above, corner))
+        out[r + 1, i + 1] = raw[r, i] + np.where((kinds[r] == 3)[:, None], (left + above) // 2, nearest) & 255
+    return out[1:, 1:].reshape(n, -1).astype(np.uint8)
+
+
 def from_png(blob: bytes) -> np.ndarray:
     """Image of a PNG; ValueError if the signature, a chunk's checksum, a length or the kind is wrong."""
     if blob[:8] != SIGNATURE:
@@ -158,14 +168,14 @@ def _keyed(df: DataFrame, id_col: str) -> str:
 
 
 def encode_column(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """id, n_bytes (of the UTF-8 text, null as empty) and media (a PNG) of every row; other columns are dropped."""
+    """id, n_bytes (of the UTF-8 text, null as empty) and media (a PNG with filtered rows) of every row; other columns are dropped."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 texts = [(t or "").encode() for t in part.column(1).to_pylist()]
-                media = [to_png(payload_image(t), 0) for t in texts]
+                media = [to_png(payload_image(t)) for t in texts]
                 yield pa.record_batch([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=[id_col, "n_bytes", "media"])
 
     return df.select(id_col, F.col(text_col).alias("_text")).mapInArrow(encode, MEDIA.format(_keyed(df, id_col)))

@@ -29,7 +29,7 @@ def test_parts():
     assert [(a.kind, a.reference, a.tokens, a.turn) for a in found] == [("image", "a.png", 4, 1), ("audio", "b.wav", 38, 1), ("document", "c", 2, 1), ("image", None, 1, 1)]
     odd = [{"type": "video", "ref": "<|v|>"}, {"type": "image", "width": "wide", "height": float("nan")}, {"type": "text", "text": 5}, "bare", {"type": "document", "tokens": -3}]
     formatted, spans, found = C.format_conversation([("assistant", odd)])
-    assert formatted[slice(*spans[0])] == '{"ref": "<\\\\|v|>", "type": "video"}<|image:0|>5"bare"<|document:1|>' and [a.tokens for a in found] == [1, 1]
+    assert formatted[slice(*spans[0])] == '{"ref": "<\\|v|>", "type": "video"}<|image:0|>5"bare"<|document:1|>' and [a.tokens for a in found] == [1, 1]
 
 
 MARKED = "look ![a cat](http://x/c.png), hear [it](s.mp3)\n<|image:0|> and [read](d.pdf)![](i) [no](page.html) ![<|x|>](y)"
@@ -55,7 +55,7 @@ def test_sql(spark, sf, tmp_path):
         con.sql(f"create or replace view conversations as select * from '{files}'")
         want = con.sql(C.oracle_sql())
         got = QUERIES["op10_chat_format"](spark, folder)
-        assert sorted(map(str, got.select(*want.columns).toPandas().values.tolist())) == sorted(map(str, [list(r) for r in want.fetchall()]))
+        assert sorted(map(str, map(list, got.select(*want.columns).collect()))) == sorted(map(str, [list(r) for r in want.fetchall()]))
 
 
 def test_table(spark):
