@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -45,16 +46,24 @@ def pack5(*columns: Column) -> Column:
     return F.array(*[F.coalesce(c.cast("double"), F.lit(0.0)) for c in columns])
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _middle(ordered: Column) -> Column:
+    n = F.size(ordered)
+    return F.when(n > 0, (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2)
+
+
 def median_of(v: Column) -> Column:
-    """Middle of the sorted values, mean of the two middle ones if even; null of an empty array."""
-    s, n = F.array_sort(v), F.size(v)
-    return F.when(n > 0, (F.get(s, ((n - 1) / 2).cast("int")) + F.get(s, (n / 2).cast("int"))) / 2)
+    """Middle of the sorted values (without nulls), mean of the two middle ones if even; null of an empty array."""
+    return bound(F.sort_array(v), _middle)
 
 
 def mad_of(v: Column, centre: Column | None = None) -> Column:
     """Median absolute deviation, unscaled."""
-    centre = median_of(v) if centre is None else centre
-    return median_of(F.transform(v, lambda x: F.abs(x - centre)))
+    return bound(median_of(v) if centre is None else centre, lambda c: median_of(F.transform(v, lambda x: F.abs(x - c))))
 
 
 def hit_ratio(values: Column, at_least: float = 0.5, strict: bool = True) -> Column:

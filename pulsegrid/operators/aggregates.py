@@ -20,10 +20,32 @@ def frame_arrays(values: DataFrame) -> DataFrame:
 
 
 def covariance(vectors: DataFrame, column: str = "bands") -> DataFrame:
-    """Population covariance of every pair (i <= j) of positions, over all rows of a stream."""
-    left = vectors.select("stream_id", "frame_idx", F.posexplode(column).alias("i", "x"), F.col(column).alias("_v"))
-    both = left.select("stream_id", "i", "x", F.posexplode("_v").alias("j", "y")).where("i <= j")
-    return both.groupBy("stream_id", "i", "j").agg(F.covar_pop("x", "y").alias("cov"))
+    """Population covariance of every pair (i <= j) of positions, over all rows of a stream.
+
+    Every task sums the products of its own rows as one matrix a stream, so a shuffle carries one row a pair, stream and
+    task. A task's vectors of one stream count up to the shortest of them.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def sums(batches):
+        state: dict = {}
+        for batch in batches:
+            for stream, part in batch.groupby("stream_id", sort=False, dropna=False)[column]:
+                rows = [np.asarray(v, float) for v in part if v is not None and len(v)]
+                if not rows:
+                    continue
+                width = min(map(len, rows)) if stream not in state else min(len(state[stream][1]), *map(len, rows))
+                x = np.stack([r[:width] for r in rows])
+                n, total, gram = state.get(stream, (0, np.zeros(width), np.zeros((width, width))))
+                state[stream] = (n + len(x), total[:width] + x.sum(0), gram[:width, :width] + x.T @ x)
+        for stream, (n, total, gram) in state.items():
+            i, j = np.triu_indices(len(total))
+            yield pd.DataFrame({"stream_id": stream, "i": i.astype("int32"), "j": j.astype("int32"), "n": n, "x": total[i], "y": total[j], "xy": gram[i, j]})
+
+    parts = vectors.select("stream_id", column).mapInPandas(sums, "stream_id long, i int, j int, n long, x double, y double, xy double")
+    n, x, y = F.sum("n"), F.sum("x"), F.sum("y")
+    return parts.groupBy("stream_id", "i", "j").agg((F.sum("xy") / n - x / n * (y / n)).alias("cov"))
 
 
 def inverse_covariance(vectors: DataFrame, column: str = "bands") -> DataFrame:

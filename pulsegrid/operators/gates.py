@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..params import MultiFrameParams, OnsetParams, OnsetVectorParams, QuantileParams
-from .scan import Tail, median_and_mad, ordered_scan, sliding_mean, trailing
+from .scan import Tail, ordered_scan, sliding_mean, trailing_medians
 
 KEY, FRAME = "stream_id", "frame_idx"
 LEAST_WINDOW = 8
@@ -41,6 +41,8 @@ class Refractory:
 class OnsetGate:
     """Onset strength, its trailing mean, an adaptive threshold, and rising edges through it."""
 
+    default_factor = DEFAULT_FACTOR
+
     def __init__(self, params: OnsetParams = OnsetParams()):
         self.p, self.seen = params, 0
         self.needs = 2 if params.method in ("hfc", "flux") else 1
@@ -66,18 +68,9 @@ class OnsetGate:
     def thresholds(self, smoothed: np.ndarray) -> np.ndarray:
         p = self.p
         joined, before = self.smooth_tail.extend(smoothed)
-        factor = p.threshold if p.threshold > 0 else DEFAULT_FACTOR
-
-        def full(view: np.ndarray) -> np.ndarray:
-            if view.shape[1] < LEAST_WINDOW:
-                return np.full(len(view), p.threshold)
-            out = np.empty(len(view))
-            for at in range(0, len(view), 4096):
-                m, mad = median_and_mad(view[at : at + 4096])
-                out[at : at + 4096] = m + factor * np.maximum(1e-6, mad)
-            return out
-
-        return trailing(joined, before, p.odf_window, full, lambda v: float(full(v[None])[0]))
+        factor = p.threshold if p.threshold > 0 else self.default_factor
+        m, mad, count = trailing_medians(joined, before, p.odf_window)
+        return np.where(count < LEAST_WINDOW, p.threshold, m + factor * np.maximum(1e-6, mad))
 
     def edges(self, smoothed: np.ndarray, limit: np.ndarray) -> np.ndarray:
         above = smoothed > limit
@@ -105,23 +98,12 @@ class OnsetGate:
 class OnsetBandGate(OnsetGate):
     """One band of the vector gate: histories move during warm-up too, with the raw difference strength."""
 
+    default_factor = 1.0
+
     def __init__(self, params: OnsetVectorParams = OnsetVectorParams()):
         super().__init__(params)
         self.needs = 1
 
-    def thresholds(self, smoothed: np.ndarray) -> np.ndarray:
-        p = self.p
-        joined, before = self.smooth_tail.extend(smoothed)
-        factor = p.threshold if p.threshold > 0 else 1.0
-
-        def full(view: np.ndarray) -> np.ndarray:
-            if view.shape[1] < LEAST_WINDOW:
-                return np.full(len(view), p.threshold)
-            m, mad = median_and_mad(view)
-            return m + factor * np.maximum(1e-6, mad)
-
-        return trailing(joined, before, p.odf_window, full, lambda v: float(full(v[None])[0]))
-
     def process(self, rows: pd.DataFrame) -> dict:
         x, p = rows["x"].to_numpy(float), self.p
         skip = min(len(x), max(0, p.warmup - 1 - self.seen))

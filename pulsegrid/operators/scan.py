@@ -1,9 +1,9 @@
 """Ordered scans: one state machine for batch partitions and for streaming state.
 
 A machine has ``process(columns) -> columns`` over rows in order and keeps its own state, so a long
-stream is read batch by batch in bounded memory. In a batch, streams are dealt by key and sorted; a
-task walks its partition and starts a new machine at each new key. In a stream, the machine itself
-is the state of its key.
+stream is read batch by batch in bounded memory. In a batch, a window numbers each stream's rows, so
+streams are shuffled once, or not at all where they already lie together; a task walks its partition
+and starts a new machine at each first row. In a stream, the machine itself is the state of its key.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -27,19 +28,18 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], make: Callabl
     outputs = schema.names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine, current = None, None
+        machine = None
         for batch in batches:
             if not len(batch):
                 continue
-            codes = pd.MultiIndex.from_frame(batch[keys]) if len(keys) > 1 else batch[keys[0]]
-            codes = list(codes)
-            cuts = [0] + [i for i in range(1, len(codes)) if codes[i] != codes[i - 1]] + [len(codes)]
+            starts = set(np.flatnonzero(batch.pop("_nth").to_numpy() == 1).tolist())
+            cuts = sorted({0, *starts, len(batch)})
             parts = []
             for a, b in zip(cuts, cuts[1:]):
-                if machine is None or codes[a] != current:
+                if a in starts:
                     if machine is not None and hasattr(machine, "finish"):
                         parts.append(machine.finish())
-                    machine, current = make(), codes[a]
+                    machine = make()
                 parts.append(run_key(machine, batch.iloc[a:b].reset_index(drop=True), outputs))
             out = pd.concat([p for p in parts if p is not None and len(p)] or [pd.DataFrame(columns=outputs)])
             yield out[outputs]
@@ -48,7 +48,7 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], make: Callabl
             if rest is not None and len(rest):
                 yield rest[outputs]
 
-    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    dealt = df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return dealt.mapInPandas(run, schema)
 
 
@@ -82,6 +82,22 @@ def sliding_mean(joined: np.ndarray, before: int, size: int) -> np.ndarray:
     return trailing(joined, before, size, lambda v: v.sum(1) / size, lambda v: float(v.sum()) / len(v))
 
 
-def median_and_mad(view: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    m = np.median(view, axis=1)
-    return m, np.median(np.abs(view - m[:, None]), axis=1)
+def _row_medians(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Median of the ``counts`` smallest values of each row; what pads a row is infinite."""
+    ordered, at = np.sort(rows, axis=1), np.arange(len(rows))
+    return (ordered[at, (counts - 1) // 2] + ordered[at, counts // 2]) / 2
+
+
+def trailing_medians(joined: np.ndarray, before: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Median, median absolute deviation and number of the last ``size`` values (fewer at the start) at each new value."""
+    n = len(joined) - before
+    counts = np.minimum(np.arange(before + 1, len(joined) + 1), size)
+    padded = np.concatenate((np.full(size - 1, np.inf), joined))
+    view = np.lib.stride_tricks.sliding_window_view(padded, size)[before:]
+    m, mad = np.empty(n), np.empty(n)
+    step = max(1, (1 << 20) // size)
+    for at in range(0, n, step):
+        rows, k = view[at : at + step], counts[at : at + step]
+        m[at : at + step] = _row_medians(rows, k)
+        mad[at : at + step] = _row_medians(np.abs(rows - m[at : at + step, None]), k)
+    return m, mad, counts

@@ -207,9 +207,11 @@ def hit_intervals(hits: DataFrame, low: float = 0.3, high: float = 4.0, last: in
     gap = F.col("t") - F.lag("t").over(by)
     recent = F.collect_list("t").over(by.rowsBetween(-(last - 1), 0))
     gaps = F.filter(F.zip_with(F.slice("_recent", 2, last), F.slice("_recent", 1, F.greatest(F.lit(0), F.size("_recent") - 1)), lambda b, a: F.round(b - a, 9)), lambda g: (g >= low) & (g <= high))
-    out = hits.select("stream_id", "instrument", "frame_idx", "t", gap.alias("gap"), recent.alias("_recent")).withColumn("_gaps", gaps)
-    two = F.size("_gaps") >= 2
-    return out.select("stream_id", "instrument", "frame_idx", "t", F.round("gap", 9).alias("gap"), F.size("_recent").alias("n_recent"), F.size("_gaps").alias("n_valid"), F.when(two, median_of(F.col("_gaps"))).alias("period_median"), F.when(two, MAD_SCALE * mad_of(F.col("_gaps"))).alias("period_mad"))
+    out = hits.select("stream_id", "instrument", "frame_idx", "t", gap.alias("gap"), recent.alias("_recent"))
+    # A generator of one row: filters and later columns read its results instead of sorting the gaps again.
+    stats = F.transform(F.array(gaps), lambda g: F.struct(F.size(g).alias("n_valid"), F.when(F.size(g) >= 2, median_of(g)).alias("period_median"), g.alias("_gaps")))
+    stats = F.transform(stats, lambda s: F.struct(s["n_valid"].alias("n_valid"), s["period_median"].alias("period_median"), F.when(s["n_valid"] >= 2, MAD_SCALE * mad_of(s["_gaps"], s["period_median"])).alias("period_mad")))
+    return out.select("stream_id", "instrument", "frame_idx", "t", F.round("gap", 9).alias("gap"), F.size("_recent").alias("n_recent"), F.inline(stats))
 
 
 def simple_forecast(intervals: DataFrame, k: int = 2) -> DataFrame:
