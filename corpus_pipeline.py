@@ -8,7 +8,6 @@ read their own tables from ``sf_dir``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pulsegrid.llm.storage import table, written
 
@@ -27,13 +26,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by the n-gram Jaccard join stays: the one of smallest doc_id."""
-    from pulsegrid.llm.jaccard import jaccard_components
+    from pulsegrid.llm.jaccard import one_of_each_group
 
-    docs = docs.select(*COLUMNS)
-    groups = jaccard_components(docs)
-    # An id that comes with several texts stays with those that lead a group.
-    others = groups.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(others.hint("shuffle_merge"), "doc_id", "left_anti").select(*COLUMNS)
+    return one_of_each_group(docs.select(*COLUMNS))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
