@@ -7,6 +7,7 @@ from ..operators.dsp import blackman_harris
 from ..params import INSTRUMENTS
 from ..sources.tables import EVENT_INSTRUMENT
 from . import queries as Q
+from . import state_sql
 
 _NAMES = "case event_type " + " ".join(f"when '{e}' then '{i}'" for e, i in EVENT_INSTRUMENT.items()) + " end"
 _INDEX = "case instrument " + " ".join(f"when '{n}' then {i}" for i, n in enumerate(INSTRUMENTS)) + " end"
@@ -175,6 +176,9 @@ ORACLE_SQL = {
     "due_order": f"with {F}, {_device} select stream_id, event_id, execute_time_us, cast(row_number() over (partition by stream_id order by execute_time_us, seq) as integer) as position from d",
     "led_timeline": f"""with {F}, {_device}, u as (select stream_id, execute_time_us as due, seq, 0 as off, red, green, blue from d union all select stream_id, execute_time_us + 150000, seq, 1, false, false, false from d)
     select stream_id, due as from_us, lead(due) over (partition by stream_id order by due, off, seq) as to_us, red, green, blue from u""",
+    "device_queue": f"with recursive {F}, {_device}, {state_sql.device_queue(Q.QueueParams())} select stream_id, at_us, cast(event_id as integer) as event_id, kind, red, green, blue from done",
+    "instrument_predictor": f"with recursive {F}, {state_sql.predictor(Q.PREDICTOR)} select stream_id, frame_idx, inst as instrument, cast(k as integer) as hit_index, round(now, 6) as now, round(t_pred, 6) as t_pred_sec, round(t_pred - 1.96 * sigma, 6) as ci_low_sec, round(t_pred + 1.96 * sigma, 6) as ci_high_sec, round(belief, 6) as confidence from forecast",
+    "predictor_states": f"with recursive {F}, {state_sql.predictor(Q.PREDICTOR)} select stream_id, frame_idx, inst as instrument, round(case when period > 1e-6 then 60.0::double / period else 0.0::double end, 6) as tempo_bpm, round(period, 6) as period_sec, round(phase, 6) as phase, warm as warmup_complete, cast((select count(*) from forecast c where c.stream_id = t.stream_id and c.frame_idx = t.frame_idx and c.inst = t.inst) as integer) as n_hits from told t",
     "scheduled_release": f"""with {P}, q as (select stream_id, instrument, frame_idx, hit_index, round(t_pred_sec, 6) as t_pred_sec, now from p) select stream_id, instrument, frame_idx, hit_index, t_pred_sec, round(t_pred_sec - now, 6) as wait,
         cast(row_number() over (partition by stream_id order by t_pred_sec, instrument, frame_idx, hit_index) as integer) as release_no from q where t_pred_sec > now""",
     "visual_intervals": f"with {H} select stream_id, frame_idx, instrument, t as shown_at, round(t + 0.12, 6) as gone_at from h",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import scalars as S
 from ..operators import aggregates, device, dsp, gates, lighting, tracking
-from ..params import INSTRUMENTS, BufferParams, LightingParams, MultiFrameParams, OnsetParams, OnsetVectorParams, PredictorParams, QuantileParams
+from ..params import INSTRUMENTS, BufferParams, LightingParams, MultiFrameParams, OnsetParams, OnsetVectorParams, PredictorParams, QuantileParams, QueueParams
 from ..sources import messages
 from ..sources.tables import band_frames, cut_frames, event_frames, gate_frames, read, sine
 
