@@ -73,6 +73,11 @@ def hit_ratio(values: Column, at_least: float = 0.5, strict: bool = True) -> Col
     return F.struct(hits.alias("hits"), n.alias("n"), F.when(n > 0, hits * 100.0 / n).otherwise(0.0).alias("percentage"))
 
 
+def any_hit(v: Column, at_least: float = 0.5) -> Column:
+    """Whether any value reaches ``at_least``."""
+    return F.coalesce(F.exists(v, lambda x: x >= at_least), F.lit(False))
+
+
 def mel_centres(bands: int, nyquist: float) -> np.ndarray:
     top = 2595 * np.log10(1 + nyquist / 700)
     return 700 * (10 ** ((np.arange(bands) + 0.5) * top / bands / 2595) - 1)

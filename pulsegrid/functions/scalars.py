@@ -126,6 +126,23 @@ def lane(index: Column, width: int, lanes: int = len(INSTRUMENTS)) -> Column:
     return index * F.lit(width // lanes)
 
 
+def place(index: Column, hit_index: Column, width: int, height: int, layout: str = "horizontal", lanes: int = len(INSTRUMENTS), start: float = 0.35, spacing: float = 0.1) -> Column:
+    """Struct (x, y) of a forecast on a canvas: its instrument's lane one way, and from ``start`` on one step of ``spacing`` for
+    each hit_index the other way."""
+    if layout not in ("horizontal", "vertical"):
+        raise ValueError("layout must be horizontal or vertical")
+    across, along = (height, width) if layout == "horizontal" else (width, height)
+    lane_at = (index + 1) * F.lit(across // (lanes + 1))
+    step_at = F.lit(int(along * start)) + (hit_index - 1) * F.lit(int(along * spacing))
+    x, y = (step_at, lane_at) if layout == "horizontal" else (lane_at, step_at)
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def is_gate(feature: Column, anywhere: bool = False) -> Column:
+    """Whether a feature's name begins with ``gate.`` (or holds ``gate`` at all)."""
+    return feature.contains("gate") if anywhere else feature.startswith("gate.")
+
+
 def log_file_name(prefix: str, ts: Column, suffix: str) -> Column:
     return F.concat(F.lit(prefix), F.date_format(ts, "yyyyMMdd_HHmmss"), F.lit(suffix))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import BufferParams
@@ -91,12 +91,16 @@ def trailing_rate(hits: DataFrame, seconds: int = 10) -> DataFrame:
     return hits.select("stream_id", "instrument", "t_us", total.alias("total"), recent.alias("recent"), (recent / seconds).alias("rate"))
 
 
+def passes(x: Column, params: BufferParams) -> Column:
+    """Whether a value passes the threshold in the mode of ``params``."""
+    return {"always": F.lit(True), "above": x >= params.threshold, "below": x <= params.threshold}[params.threshold_mode]
+
+
 def buffered_messages(frames: DataFrame, feature: str, params: BufferParams = BufferParams()) -> DataFrame:
     """One message for every ``buffer_size`` values that pass: values in order, and the number of frames seen at the
     last one. A trailing incomplete buffer isn't sent."""
-    passes = {"always": F.lit(True), "above": F.col("x") >= params.threshold, "below": F.col("x") <= params.threshold}[params.threshold_mode]
     seen = Window.partitionBy("stream_id").orderBy("frame_idx")
-    kept = frames.select("stream_id", "frame_idx", "x", F.row_number().over(seen).cast("long").alias("seen")).where(passes)
+    kept = frames.select("stream_id", "frame_idx", "x", F.row_number().over(seen).cast("long").alias("seen")).where(passes(F.col("x"), params))
     grouped = kept.withColumn("message_no", ((F.row_number().over(seen) - 1) / params.buffer_size).cast("long"))
     rows = grouped.groupBy("stream_id", "message_no").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "x"))).alias("v"), F.max("seen").alias("frame_count"))
     return rows.where(F.size("v") == params.buffer_size).select("stream_id", "message_no", F.lit(feature).alias("feature_name"), "frame_count", F.transform("v", lambda r: r["x"]).alias("values"))

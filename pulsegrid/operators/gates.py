@@ -5,6 +5,8 @@ All machines take a column ``x`` in frame order and give ``hit`` 0/1 (and what e
 
 from __future__ import annotations
 
+from bisect import insort
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -130,7 +132,7 @@ class QuantileGate:
     """Arms above a high threshold and fires below a low one.
 
     ``reference``: both thresholds are medians of fixed early samples, {x1, x1, x2, x2, x3} from frame 3
-    and {x3 .. x7} from frame 7. ``textbook``: exact running quantiles q_hi and q_lo.
+    and {x3 .. x7} from frame 7. ``textbook``: exact running quantiles q_hi and q_lo, for which all values are kept.
     """
 
     def __init__(self, params: QuantileParams = QuantileParams()):
@@ -139,18 +141,23 @@ class QuantileGate:
 
     def limits(self) -> tuple[float, float] | None:
         if self.p.compat == "textbook":
-            return tuple(float(np.quantile(self.sorted, q)) for q in (self.p.q_hi, self.p.q_lo)) if self.sorted else None
+            return tuple(self._quantile(q) for q in (self.p.q_hi, self.p.q_lo)) if self.sorted else None
         if len(self.early) < 7:
             return None
         a, b, c = self.early[:3]
         return sorted((a, a, b, b, c))[2], sorted(self.early[2:7])[2]
 
+    def _quantile(self, q: float) -> float:
+        at = q * (len(self.sorted) - 1)
+        low = self.sorted[int(at)]
+        return low + (at - int(at)) * (self.sorted[min(int(at) + 1, len(self.sorted) - 1)] - low)
+
     def process(self, rows: pd.DataFrame) -> dict:
         hit = np.zeros(len(rows), np.int64)
         for i, x in enumerate(rows["x"].to_numpy(float).tolist()):
             self.seen += 1
             if self.p.compat == "textbook":
-                self.sorted.append(x)
+                insort(self.sorted, x)
             elif len(self.early) < 7:
                 self.early.append(x)
             self.ref = max(0, self.ref - 1)
@@ -164,6 +171,35 @@ class QuantileGate:
         return {"hit": hit}
 
 
+class MultiFrameGate:
+    """The multi-frame votes of ``multiframe_candidates`` for a stream: the last ``window_size`` values are its state."""
+
+    def __init__(self, params: MultiFrameParams = MultiFrameParams()):
+        self.p, self.seen, self.tail = params, 0, Tail(params.window_size - 1)
+        self.refractory = Refractory(params.refractory)
+
+    def votes(self, w: np.ndarray) -> tuple[bool, bool, bool]:
+        p, n, mid = self.p, len(w), len(w) // 2
+        past, first, second = w[:-1], w[:mid], w[mid:]
+        sd = past.std(ddof=1) if n >= 3 else 0.0
+        peak = n >= 3 and sd >= 1e-6 and (w[-1] - past.mean()) / sd > p.peak_threshold
+        trend = n >= 4 and (1.0 if first.mean() < 1e-6 else second.mean() / first.mean()) > p.trend_threshold
+        var = first.var(ddof=1) if n >= 6 else 0.0
+        return bool(peak), bool(trend), bool(n >= 6 and var >= 1e-6 and second.var(ddof=1) / var > p.variance_threshold)
+
+    def process(self, rows: pd.DataFrame) -> dict:
+        x, p, n = rows["x"].to_numpy(float), self.p, self.p.window_size
+        joined, before = self.tail.extend(x)
+        fired = np.zeros(len(x), bool)
+        for i in range(len(x)):
+            end = before + i + 1
+            if end >= n and self.seen + i + 1 >= p.warmup:
+                votes = self.votes(joined[end - n : end])
+                fired[i] = {"peak": votes[0], "trend": votes[1], "variance": votes[2], "combined": sum(votes) >= 2}.get(p.detection_mode, False)
+        self.seen += len(x)
+        return {"hit": self.refractory.accept(fired)}
+
+
 def _schema(df: DataFrame, extra: list[tuple[str, T.DataType]]) -> T.StructType:
     kept = [f for f in df.schema.fields if f.name in (KEY, FRAME, "band")]
     return T.StructType(kept + [T.StructField(n, t) for n, t in extra])
@@ -177,9 +213,13 @@ def onset_gate(frames: DataFrame, params: OnsetParams = OnsetParams()) -> DataFr
 
 
 def onset_gate_vector(frames: DataFrame, params: OnsetVectorParams = OnsetVectorParams()) -> DataFrame:
-    """stream_id, frame_idx, band and hit for the ``bands`` vectors; empty vectors aren't counted."""
-    bands = frames.where(F.size("bands") > 0).select(KEY, FRAME, F.posexplode("bands").alias("band", "x"))
-    return ordered_scan(bands, [KEY, "band"], [FRAME], lambda: OnsetBandGate(params), _schema(bands, [("hit", T.LongType())]))
+    """stream_id, frame_idx, band and hit for the ``bands`` vectors; empty vectors aren't counted, and where the number of
+    bands changes all bands start anew."""
+    by = Window.partitionBy(KEY).orderBy(FRAME)
+    some = frames.where(F.size("bands") > 0).select(KEY, FRAME, "bands", (F.size("bands") != F.lag(F.size("bands")).over(by)).cast("int").alias("_new"))
+    runs = some.withColumn("_run", F.coalesce(F.sum("_new").over(by), F.lit(0)))
+    bands = runs.select(KEY, FRAME, "_run", F.posexplode("bands").alias("band", "x"))
+    return ordered_scan(bands, [KEY, "band", "_run"], [FRAME], lambda: OnsetBandGate(params), _schema(bands, [("hit", T.LongType())]))
 
 
 def refractory(frames: DataFrame, frames_apart: int) -> DataFrame:

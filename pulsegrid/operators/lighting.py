@@ -49,10 +49,11 @@ def payloads(events: DataFrame) -> DataFrame:
     return events.select("stream_id", F.to_json(F.struct("unix_time", "microseconds", "confidence", "r", "g", "b", "event_id")).alias("payload"))
 
 
-def nearest_discard(new: DataFrame, tolerance: float = 0.003) -> DataFrame:
+def nearest_discard(new: DataFrame, tolerance: float = 0.003, horizon: float | None = None) -> DataFrame:
     """Predictions without an earlier kept one of the same stream, instrument and hit index within ``tolerance``.
 
-    Whether one is kept depends on those kept before it, so rows are read in order of arrival (seq).
+    Whether one is kept depends on those kept before it, so rows are read in order of arrival (seq). With ``horizon``,
+    kept times over that many seconds before a prediction are forgotten, which bounds the state of endless streams.
     """
     import pandas as pd
     from pyspark.sql import types as T
@@ -68,6 +69,8 @@ def nearest_discard(new: DataFrame, tolerance: float = 0.003) -> DataFrame:
 
             keep = []
             for t in rows["t_pred_sec"].tolist():
+                if horizon is not None:
+                    del self.times[: bisect_left(self.times, t - horizon)]
                 k = bisect_left(self.times, t)
                 near = min((abs(t - self.times[j]) for j in (k - 1, k) if 0 <= j < len(self.times)), default=1e18)
                 keep.append(near > tolerance)

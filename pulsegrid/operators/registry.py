@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .. import params as P
-from . import device, gates, lighting, tracking
+from ..functions import arrays
+from ..sources import messages, tables
+from . import aggregates, device, dsp, gates, lighting, tracking
 
 REGISTRY: dict[str, tuple[type, Callable[..., DataFrame]]] = {
     "HitGateOnset": (P.OnsetParams, gates.onset_gate),
@@ -18,6 +21,19 @@ REGISTRY: dict[str, tuple[type, Callable[..., DataFrame]]] = {
     "LightingEngine": (P.LightingParams, lighting.commands),
     "BeatPredictorKF": (P.BeatParams, tracking.beat_kalman),
     "DeviceQueue": (P.QueueParams, device.device_queue),
+    "FrameCutter": (P.CutterParams, lambda df, p: tables.cut_frames(df, p.frame_size, p.hop_size, silent=p.silent_frames, pad=p.pad)),
+    "Windowing": (P.CutterParams, lambda df, p: dsp.windowed(df, p.frame_size)),
+    "Spectrum": (P.NoParams, lambda df, p: dsp.spectrum(df)),
+    "MelBands": (P.MelParams, lambda df, p: dsp.mel_bands(df, p.bands, p.sample_rate)),
+    "MFCC": (P.MelParams, lambda df, p: dsp.mfcc(df, p.coefficients)),
+    "InstrumentSum": (P.MaskParams, lambda df, p: df.withColumn("sums", arrays.instrument_sum(F.col("bands"), p))),
+    "SumRange": (P.RangeParams, lambda df, p: df.withColumn("sum", arrays.sum_range(F.col("bands"), p.low, p.high))),
+    "VectorIndex": (P.IndexParams, lambda df, p: df.withColumn("value", arrays.vector_index(F.col("bands"), p.index))),
+    "VectorPack5": (P.NoParams, lambda df, p: df.withColumn("gates", arrays.pack5(*[F.col(n) for n in P.INSTRUMENTS]))),
+    "PoolAggregator": (P.NoParams, lambda df, p: aggregates.pool_stats(df)),
+    "BufferedPublisher": (P.BufferParams, lambda df, p: aggregates.buffered_messages(df, "gate", p)),
+    "HitLogger": (P.CutterParams, lambda df, p: messages.hit_log(df, p.hop_size, p.sample_rate)),
+    "PredictionLogger": (P.NoParams, lambda df, p: messages.prediction_log(df)),
 }
 
 

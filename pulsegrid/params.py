@@ -140,3 +140,42 @@ class QueueParams:
 def describe(params) -> dict:
     """Names and values of a parameter object."""
     return {f.name: getattr(params, f.name) for f in fields(params)}
+
+
+@dataclass(frozen=True)
+class NoParams:
+    """Operators without parameters."""
+
+
+@dataclass(frozen=True)
+class CutterParams:
+    frame_size: int = 1024
+    hop_size: int = 256
+    sample_rate: float = 44100.0
+    silent_frames: str = "keep"
+    pad: bool = False
+
+    def __post_init__(self):
+        _check(self, frame_size=(1, 1e9), hop_size=(1, 1e9), sample_rate=(1e-9, 1e9))
+        _choice(self, "silent_frames", ("keep", "drop"))
+
+
+@dataclass(frozen=True)
+class MelParams:
+    bands: int = 64
+    sample_rate: float = 44100.0
+    coefficients: int = 13
+
+    def __post_init__(self):
+        _check(self, bands=(1, 1e6), sample_rate=(1e-9, 1e9), coefficients=(1, 1e6))
+
+
+@dataclass(frozen=True)
+class RangeParams:
+    low: int = 0
+    high: int = 0
+
+
+@dataclass(frozen=True)
+class IndexParams:
+    index: int = 0

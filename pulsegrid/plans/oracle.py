@@ -31,6 +31,7 @@ P = (
         t + k * period_median - 1.96 * greatest(0.001, period_mad) as ci_low_sec, t + k * period_median + 1.96 * greatest(0.001, period_mad) as ci_high_sec,
         greatest(0.0, least(1.0, 1 - period_mad / period_median)) as confidence from i, unnest([1, 2]) as u(k) where period_median is not null)"""
 )
+P4 = P.replace("unnest([1, 2])", "unnest([1, 2, 3, 4])")
 _EVENT_ID = "instrument || '_' || printf('%.2f', round(t_pred_sec, 2))"
 _FIRST = f"row_number() over (partition by stream_id, {_EVENT_ID} order by frame_idx, {_INDEX}, hit_index) = 1"
 C = (
@@ -113,8 +114,8 @@ ORACLE_SQL = {
     "vector_index": f"with {B} select vec_id, round(bands[1], 6) as below, round(bands[4], 6) as inside, 0.0::double as beyond from b",
     "sum_range": f"with {B} select vec_id, round(list_sum(bands[2:11]), 6) as inside, round(list_sum(bands[61:64]), 6) as clamped, 0.0::double as empty from b",
     "instrument_sum": f"with {B} select vec_id, {_sums} from b",
-    "vector_pack5": f"with {F} select stream_id, frame_idx, {', '.join(f'cast(instrument = {n!r} as double) as {n}' for n in INSTRUMENTS)}, 1.0::double as any_hit from f",
-    "instrument_map": f"with {F} select event_id, instrument, cast({_INDEX} as integer) as idx, instrument as back, cast(instrument = 'kick' as integer) as r, cast(instrument = 'snare' as integer) as g, cast(instrument not in ('kick', 'snare') as integer) as b, cast(null as integer) as unknown from f",
+    "vector_pack5": f"with {F} select stream_id, frame_idx, {', '.join(f'cast(instrument = {n!r} as double) as {n}' for n in INSTRUMENTS)}, true as any_hit from f",
+    "instrument_map": f"with {F} select event_id, instrument, cast({_INDEX} as integer) as idx, instrument as back, cast(instrument = 'kick' as integer) as r, cast(instrument = 'snare' as integer) as g, cast(instrument not in ('kick', 'snare') as integer) as b, cast({_INDEX} as integer) as feature_idx, cast(null as integer) as unknown from f",
     "silence_gate": f"with {B}, c as (select stream_id, frame_idx as chunk_idx, sqrt(list_sum(list_transform(bands, lambda v: v * v)) / 64) as rms from b) select stream_id, chunk_idx, round(rms, 6) as rms from c where rms > 0.125 or chunk_idx < 9",
     "threshold_filter": f"with {F} select stream_id, count(*) as always, count(*) filter (x >= 50) as above, count(*) filter (x <= 50) as below from f group by 1",
     "hit_filter": f"with {F} select stream_id, frame_idx, instrument, 1.0::double as value from f",
@@ -189,18 +190,37 @@ ORACLE_SQL = {
     "message_routing": f"""with {F} select stream_id, count(*) as n, cast(sum(frame_idx) as bigint) as frames, count(*) as named, 'gates' as channel from f where event_type not in ('error', 'view') group by 1
     union all select stream_id, count(*), cast(sum(frame_idx) as bigint), 0, 'predictions' from f where event_type = 'view' group by 1""",
     "run_summary": f"with {F}, s as (select stream_id, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 as sec, count(*) as frames from f group by 1) select stream_id, round(sec, 6) as seconds, frames, round(case when sec > 0 then frames / sec else 0 end, 9)::double as fps from s",
-    "beat_dedup": f"with {P} select stream_id, round(t_pred_sec, 2) as beat_time, hit_index as event_type, min(frame_idx) as frame_idx from p group by 1, 2, 3",
+    "beat_dedup": f"with {P} select stream_id, round_even(round(t_pred_sec, 6), 2) as beat_time, hit_index as event_type, min(frame_idx) as frame_idx from p group by 1, 2, 3",
     "beat_log": f"""with {P}, q as (select stream_id, instrument, frame_idx, round(now, 6) as t, round(t_pred_sec, 6) as p from p where hit_index = 1)
     select stream_id, instrument, frame_idx, printf('%.3f', t) || ' +' || printf('%.3f', round(p - t, 3)) || 's ±12ms' as line, printf('%.6f', t) || ',' || printf('%.6f', p) || ',0.012500' as csv from q""",
     "scalar_functions": f"""with {F}, z as (select *, x / 1000 as s from f) select event_id, round(2595 * log10(1 + x / 700), 6) as mel, round(700 * (pow(10, x / 2595) - 1), 6) as hz, greatest(10.0::double, least(x, 90.0::double)) as clamped,
         round(x / 7 - floor(x / 7), 6) as unit, round(x / 7 + 0.5 - floor(x / 7 + 0.5) - 0.5, 6) as half,
         round(case when x < 20 or x > 80 then 0 when x < 29 then 0.7 * 0.5 * (1 - cos(pi() * (x - 20) / 9)) when x > 71 then 0.7 * 0.5 * (1 - cos(pi() * (80 - x) / 9)) else 0.7 end, 6)::double as lobe,
         round(frame_idx * 256.0::double / 44100.0::double, 6) as audio_time, round(2 * (30 * s**2 - 60 * s**3 + 30 * s**4), 6) as velocity, round(2 * (60 * s - 180 * s**2 + 120 * s**3), 6) as acceleration, round(2 * (60 - 360 * s + 360 * s**2), 6) as jerk,
-        1000000 + (frame_idx - 5) * 1000000 + (frame_idx * 10 - 250) as tick, cast({_INDEX} * 200 as integer) as lane, 'beats_' || strftime(ts, '%Y%m%d_%H%M%S') || '.log' as log_file from z""",
+        1000000 + (frame_idx - 5) * 1000000 + (frame_idx * 10 - 250) as tick, cast({_INDEX} * 200 as integer) as lane, 'beats_' || strftime(ts, '%Y%m%d_%H%M%S') || '.log' as log_file,
+        frame_idx * 7 as ntp_offset, cast(frame_idx % 2 as integer) as flag, frame_idx * 1001 as ms from z""",
     "time_windows": f"""with {F}, w as (select cast(epoch(date_trunc('hour', ts)) as bigint) - 3600 * k as start, instrument, x from f, unnest([0, 1]) as u(k))
     select start, instrument, count(*) as hits, cast(sum(cast(round(x * 100) as bigint)) as bigint) as energy_cents from w group by 1, 2""",
     "sine_frames": f"""with s as (select list(sin(i * (2 * 3.141592653589793 * 440.0::double / 44100.0::double)) order by i) as v from range(4096) as r(i)), w as (select [{_window}] as w),
     fr as (select cast(k as bigint) as frame_idx, v[k * 256 + 1 : k * 256 + 1024] as a from s, range(13) as r(k))
     select frame_idx, round(list_sum(list_transform(a, lambda z: z * z)), 6) as energy, round(list_sum(list_transform(range(1, 1025), lambda i: pow(a[i] * w.w[i], 2))) * 1e6, 4) as windowed_energy from fr, w""",
+    "beat_log_formats": f"""with {P4}, q as (select stream_id, instrument, frame_idx, round(any_value(now), 6) as t, list(round(t_pred_sec, 6) order by t_pred_sec) as p from p group by 1, 2, 3),
+        d as (select *, list_transform(p, lambda x: round(x - t, 6)) as a from q)
+    select stream_id, instrument, frame_idx, 'BEAT EVENT | Time: ' || printf('%.3f', t) || 's | Next4: ' || array_to_string(list_transform(a, lambda x: printf('%+.3fs', x)), ', ') || ' (±12ms)' as detailed,
+        'BEAT at ' || printf('%.3f', t) || 's' as simple, printf('%.3f', t) || ',12.5,' || array_to_string(list_transform(a, lambda x: printf('%.3f', x)), ',') as csv from d""",
+    "beat_intervals": f"""with {H}, k as (select stream_id, frame_idx, row_number() over ({_BY}) as beat_no, round(t - lag(t) over ({_BY}), 9) as ibi from h where instrument = 'kick'),
+        v as (select *, coalesce(ibi between 0.2 and 1.5, false) as ibi_valid from k)
+    select stream_id, frame_idx, beat_no, ibi, ibi_valid, coalesce(array_to_string(list_transform((list(ibi) filter (ibi_valid) over ({_BY}))[-8:], lambda x: cast(cast(round(x * 10) as bigint) as varchar)), ','), '') as recent_ibis from v""",
+    "delayed_shows": f"""with {P}, q as (select stream_id || '/' || instrument || '/' || frame_idx as beat, cast(row_number() over (partition by stream_id, instrument, frame_idx order by t_pred_sec) - 1 as integer) as index, now + 0.5 as moment, round(t_pred_sec, 6) as show_at from p)
+    select beat, index, show_at, round(show_at - moment, 6) as delay from q where show_at - moment > 0""",
+    "bounded_queues": f"""with {F}, e as (select stream_id, frame_idx // 10 as trigger, frame_idx, event_id, row_number() over (partition by stream_id, frame_idx // 10 order by frame_idx) as a, row_number() over (partition by stream_id, frame_idx // 10 order by frame_idx desc) as z from f)
+    select stream_id, trigger, frame_idx, event_id, policy from e, (values ('drop_newest'), ('drop_oldest'), ('keep_latest')) as p(policy) where case policy when 'drop_newest' then a <= 3 when 'drop_oldest' then z <= 3 else z = 1 end""",
+    "event_patterns": """with b as (select 3000 + i as event_id, 1700000012250000 + i * 500000 as us, (i % 2 = 0)::integer as r, (i % 2 = 1)::integer as g, 0 as b from range(8) as x(i)
+        union all select 4000 + i, 1700000020000000 + i * 500000, (i in (0, 3, 4, 6))::integer, (i in (1, 3, 5, 6))::integer, (i in (2, 4, 5, 6))::integer from range(7) as x(i)),
+        n as (select n_nationkey::bigint as run, b.*, us + n_nationkey::bigint * 300000 as t from nation, b)
+    select run, cast(event_id as integer) as event_id, t // 1000000 as unix_time, t % 1000000 as microseconds, r, g, b from n""",
+    "prediction_payloads": f"with recursive {F}, {state_sql.predictor(Q.PREDICTOR)} select frame_idx, round(now, 6) as now, inst as instrument, round(period, 6) as period_sec, round(phase, 6) as phase, warm as warmup_complete, cast((select count(*) from forecast c where c.stream_id = t.stream_id and c.frame_idx = t.frame_idx and c.inst = t.inst) as integer) as n_hits from told t",
+    "canvas_places": f"""with {P} select stream_id, instrument, frame_idx, hit_index, cast(420 + (hit_index - 1) * 120 as integer) as horizontal_x, cast(({_INDEX} + 1) * 116 as integer) as horizontal_y,
+        cast(({_INDEX} + 1) * 200 as integer) as vertical_x, cast(244 + (hit_index - 1) * 70 as integer) as vertical_y, true as feature_kept from p""",
     "test_patterns": "select r_regionkey::bigint as event_id, cast(1700000000 + r_regionkey // 2 as bigint) as unix_time, cast(r_regionkey % 2 * 500000 as bigint) as microseconds, (r_regionkey % 3 = 0)::integer as r, (r_regionkey % 3 = 1)::integer as g, (r_regionkey % 3 = 2)::integer as b from region",
 }

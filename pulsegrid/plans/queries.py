@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import scalars as S
-from ..operators import aggregates, device, dsp, gates, lighting, tracking
+from ..operators import aggregates, beats, device, dsp, gates, lighting, tracking
 from ..params import INSTRUMENTS, BufferParams, LightingParams, MultiFrameParams, OnsetParams, OnsetVectorParams, PredictorParams, QuantileParams, QueueParams
-from ..sources import messages
+from ..sources import channels, messages
 from ..sources.tables import band_frames, cut_frames, event_frames, gate_frames, read, sine
 
 HOP, RATE = 4096, 40960.0
@@ -67,11 +67,11 @@ def instrument_sum(spark, sf_dir):
 
 @query
 def vector_pack5(spark, sf_dir):
-    """Five aligned gate streams zipped into one row a frame."""
-    long = gate_frames(spark, sf_dir).select("stream_id", "frame_idx", F.posexplode("gates").alias("i", "g"))
-    packed = long.groupBy("stream_id", "frame_idx").agg(*[F.max(F.when(F.col("i") == i, F.col("g"))).alias(n) for i, n in enumerate(INSTRUMENTS)])
+    """Gate streams of the five instruments zipped into one row a frame: missing values are 0."""
+    long = event_frames(spark, sf_dir).select("stream_id", "frame_idx", "instrument", F.lit(1.0).alias("g"))
+    packed = long.groupBy("stream_id", "frame_idx").agg(*[F.coalesce(F.max(F.when(F.col("instrument") == n, F.col("g"))), F.lit(0.0)).alias(n) for n in INSTRUMENTS])
     v = A.pack5(*map(F.col, INSTRUMENTS))
-    return packed.select("stream_id", "frame_idx", *INSTRUMENTS, A.total(v).alias("any_hit"))
+    return packed.select("stream_id", "frame_idx", *INSTRUMENTS, A.any_hit(v).alias("any_hit"))
 
 
 @query
@@ -79,7 +79,7 @@ def instrument_map(spark, sf_dir):
     """Names, indices and colours of the events' instruments."""
     c = S.colour(F.col("instrument"))
     index = S.instrument_index(F.col("instrument"))
-    return event_frames(spark, sf_dir).select("event_id", "instrument", index.alias("idx"), S.instrument_name(index).alias("back"), c["r"].alias("r"), c["g"].alias("g"), c["b"].alias("b"), S.feature_index(F.concat(F.lit("gate."), F.col("event_type"))).alias("unknown"))
+    return event_frames(spark, sf_dir).select("event_id", "instrument", index.alias("idx"), S.instrument_name(index).alias("back"), c["r"].alias("r"), c["g"].alias("g"), c["b"].alias("b"), S.feature_index(F.concat(F.lit("gate."), F.col("instrument"))).alias("feature_idx"), S.feature_index(F.concat(F.lit("gate."), F.col("event_type"))).alias("unknown"))
 
 
 @query
@@ -90,8 +90,8 @@ def silence_gate(spark, sf_dir):
 
 @query
 def threshold_filter(spark, sf_dir):
-    x = F.col("x")
-    return event_frames(spark, sf_dir).groupBy("stream_id").agg(F.count(F.lit(1)).alias("always"), F.count(F.when(x >= 50, 1)).alias("above"), F.count(F.when(x <= 50, 1)).alias("below"))
+    modes = {m: aggregates.passes(F.col("x"), BufferParams(threshold=50.0, threshold_mode=m)) for m in ("always", "above", "below")}
+    return event_frames(spark, sf_dir).groupBy("stream_id").agg(*[F.count(F.when(c, 1)).alias(m) for m, c in modes.items()])
 
 
 @query
@@ -395,9 +395,9 @@ def run_summary(spark, sf_dir):
 
 @query
 def beat_dedup(spark, sf_dir):
-    """First beat of each time rounded to hundredths and type."""
-    b = forecast_of(spark, sf_dir).select("stream_id", F.round("t_pred_sec", 2).alias("beat_time"), F.col("hit_index").alias("event_type"), "frame_idx")
-    return b.groupBy("stream_id", "beat_time", "event_type").agg(F.min("frame_idx").alias("frame_idx"))
+    """First beat of each time rounded to hundredths (half to even) and type."""
+    b = forecast_of(spark, sf_dir).select("stream_id", r6("t_pred_sec").alias("t"), F.col("hit_index").alias("event_type"), "frame_idx")
+    return beats.first_of_each_beat(b)
 
 
 @query
@@ -407,6 +407,65 @@ def beat_log(spark, sf_dir):
     return b.select("stream_id", "instrument", "frame_idx", messages.beat_log_line(F.col("t"), F.col("p"), std).alias("line"), messages.beat_csv(F.col("t"), F.col("p"), std).alias("csv"))
 
 
+@query
+def beat_log_formats(spark, sf_dir):
+    """The logger's detailed, simple and csv lines of every beat with its next four."""
+    b = tracking.simple_forecast(tracking.hit_intervals(hits_of(spark, sf_dir)), 4).groupBy("stream_id", "instrument", "frame_idx").agg(F.first("now").alias("t"), F.array_sort(F.collect_list(r6("t_pred_sec"))).alias("p"))
+    p, std = F.transform("p", lambda x: F.round(x - r6("t"), 6)), F.lit(0.0125)
+    return b.select("stream_id", "instrument", "frame_idx", *[messages.beat_line(r6("t"), p, std, f).alias(f) for f in ("detailed", "simple", "csv")])
+
+
+@query
+def beat_intervals(spark, sf_dir):
+    """Intervals between kicks, their guard, counter and the last eight valid ones."""
+    out = beats.intervals(beats_of(spark, sf_dir))
+    return out.select("stream_id", "frame_idx", "beat_no", "ibi", "ibi_valid", F.array_join(F.transform("recent_ibis", lambda x: F.round(x * 10).cast("long").cast("string")), ",").alias("recent_ibis"))
+
+
+@query
+def delayed_shows(spark, sf_dir):
+    """The first two forecast beats that are still to come half a second later."""
+    f = forecast_of(spark, sf_dir).groupBy("stream_id", "instrument", "frame_idx", "now").agg(F.array_sort(F.collect_list(r6("t_pred_sec"))).alias("predicted"))
+    out = beats.delayed_shows(f.select(F.concat_ws("/", "stream_id", "instrument", "frame_idx").alias("stream_id"), (F.col("now") + 0.5).alias("now"), "predicted"))
+    return out.select(F.col("stream_id").alias("beat"), "index", "show_at", r6("delay").alias("delay"))
+
+
+@query
+def bounded_queues(spark, sf_dir):
+    """Events that bounded queues of each stream and ten-frame trigger leave: drop newest, drop oldest, keep the latest."""
+    e = event_frames(spark, sf_dir).select("stream_id", F.expr("frame_idx div 10").alias("trigger"), "frame_idx", "event_id")
+    kept = lambda df, policy: df.select("stream_id", "trigger", "frame_idx", "event_id", F.lit(policy).alias("policy"))
+    newest, oldest = (beats.bounded(e, ["stream_id", "trigger"], "frame_idx", 3, d) for d in ("newest", "oldest"))
+    return kept(newest, "drop_newest").unionByName(kept(oldest, "drop_oldest")).unionByName(kept(beats.keep_latest(e, ["stream_id"], "trigger", "frame_idx"), "keep_latest"))
+
+
+@query
+def event_patterns(spark, sf_dir):
+    """The beat pattern and the colour pattern, shifted to a start a nation."""
+    start = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("run"))
+    both = beats.beat_pattern(spark, 1_700_000_012.25).unionByName(beats.colour_pattern(spark, 1_700_000_020.0))
+    sec, us = beats.relative_time(F.col("unix_time"), F.col("microseconds"), F.col("run") * 0.3)
+    return start.join(F.broadcast(both)).select("run", "event_id", sec.alias("unix_time"), us.alias("microseconds"), "r", "g", "b")
+
+
+@query
+def prediction_payloads(spark, sf_dir):
+    """Predictor outputs as JSON texts with six digits: sizes, and what reading them back gives."""
+    out = tracking.instrument_predictor(gate_frames(spark, sf_dir), PREDICTOR)
+    texts = channels.prediction_payloads(out).select("topic", "payload")
+    back = channels.prediction_stream(texts).select("timestamp_sec", "frame_idx", F.explode("predictions").alias("p"))
+    return back.select("frame_idx", r6("timestamp_sec").alias("now"), "p.instrument", r6("p.period_sec").alias("period_sec"), r6("p.phase").alias("phase"), "p.warmup_complete", F.size("p.hits").alias("n_hits"))
+
+
+@query
+def canvas_places(spark, sf_dir):
+    """Where hits and forecasts are drawn, in rows and in columns."""
+    f = forecast_of(spark, sf_dir)
+    i = S.instrument_index(F.col("instrument"))
+    out = f.select("stream_id", "instrument", "frame_idx", "hit_index", *[S.place(i, F.col("hit_index"), 1200, 700, layout)[k].alias(f"{layout}_{k}") for layout in ("horizontal", "vertical") for k in "xy"])
+    return out.withColumn("feature_kept", S.is_gate(F.concat(F.lit("gate."), F.col("instrument"))) & ~S.is_gate(F.col("instrument")))
+
+
 @query
 def scalar_functions(spark, sf_dir):
     x, k = F.col("x"), F.col("frame_idx")
@@ -415,6 +474,7 @@ def scalar_functions(spark, sf_dir):
         "event_id", r6(S.hz_to_mel(x)).alias("mel"), r6(S.mel_to_hz(x)).alias("hz"), S.clamp(x, 10.0, 90.0).alias("clamped"), r6(S.wrap_unit(x / 7)).alias("unit"), r6(S.wrap_half(x / 7)).alias("half"),
         r6(S.lobe_weight(x, 20.0, 80.0, 0.7, 0.15)).alias("lobe"), r6(S.audio_time(k)).alias("audio_time"), r6(j["velocity"]).alias("velocity"), r6(j["acceleration"]).alias("acceleration"), r6(j["jerk"]).alias("jerk"),
         S.tick_us(k, k * 10, F.lit(5), F.lit(250), F.lit(1_000_000)).alias("tick"), S.lane(S.instrument_index(F.col("instrument")), 1000).alias("lane"), S.log_file_name("beats_", F.col("ts"), ".log").alias("log_file"),
+        S.ntp_offset(k * 10, k * 3).alias("ntp_offset"), S.query_flag(F.concat(F.lit("/led?r="), (k % 2).cast("string"), F.lit("&g=1")), "r").alias("flag"), F.unix_millis(S.ms_to_timestamp(k * 1001)).alias("ms"),
     )
 
 
@@ -442,7 +502,8 @@ def spectral_peak(spark, sf_dir):
     spec = dsp.spectrum(dsp.windowed(cut_frames(chunk, 1024, 256), 1024))
     peak = (F.array_position("spectrum", F.array_max("spectrum")) - 1).alias("peak_bin")
     cep = dsp.mfcc(dsp.mel_bands(spec.withColumn("peak_bin", peak)))
-    return cep.select("frame_idx", "peak_bin", (F.array_position("bands", F.array_max("bands")) - 1).alias("peak_band"), F.size("mfcc").alias("n_mfcc"))
+    top = F.array_max("bands")
+    return cep.select("frame_idx", "peak_bin", (F.array_position("bands", top) - 1).alias("peak_band"), F.size("mfcc").alias("n_mfcc"), F.round(top, 9).alias("top_band"), F.round(F.get("mfcc", F.lit(0)), 4).alias("c0"), F.round(F.get("mfcc", F.lit(1)), 4).alias("c1"))
 
 
 @query

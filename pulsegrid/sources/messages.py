@@ -78,3 +78,18 @@ def beat_log_line(t, predicted, std):
 def beat_csv(t, predicted, std):
     first = F.coalesce(F.format_string("%.6f", F.get(predicted, F.lit(0))), F.lit(""))
     return F.concat_ws(",", F.format_string("%.6f", t), first, F.format_string("%.6f", std))
+
+
+def beat_line(t, predicted, std, log_format: str = "detailed"):
+    """One logger's line of a beat at ``t`` with predicted delays (numbers): detailed, simple or csv; unknown formats count as detailed."""
+    if log_format == "simple":
+        return F.format_string("BEAT at %.3fs", t)
+    if log_format == "csv":
+        listed = F.array_join(F.transform(F.slice(predicted, 1, 4), lambda p: F.format_string("%.3f", p)), ",")
+        return F.concat_ws(",", F.format_string("%.3f", t), F.format_string("%.1f", std * 1000), F.when(F.size(predicted) > 0, listed).otherwise(F.lit(",,")))
+    listed = F.array_join(F.transform(predicted, lambda p: F.format_string("%+.3fs", p)), ", ")
+    ahead = F.when(F.size(predicted) > 0, listed).otherwise(F.lit("n/a"))
+    return F.concat(F.format_string("BEAT EVENT | Time: %.3fs | Next4: ", t), ahead, F.lit(" (±"), F.floor(std * 1000).cast("int").cast("string"), F.lit("ms)"))
+
+
+CSV_HEADER = "timestamp,confidence_ms,prediction_1,prediction_2,prediction_3,prediction_4"

@@ -40,9 +40,23 @@ def sine(spark: SparkSession, n: int, hz: float = 440.0, sample_rate: float = 44
     return spark.range(n).select(F.lit(0).cast("long").alias("stream_id"), F.col("id").alias("sample_idx"), F.sin(F.col("id") * (2 * 3.141592653589793 * hz / sample_rate)).alias("sample"))
 
 
-def cut_frames(chunks: DataFrame, frame_size: int, hop: int, samples: Column | str = "samples") -> DataFrame:
-    """Overlapping frames of each row's sample array; a last short one is left out."""
+def cut_frames(chunks: DataFrame, frame_size: int, hop: int, samples: Column | str = "samples", silent: str = "keep", pad: bool = False) -> DataFrame:
+    """Overlapping frames of each row's sample array. A last short one is left out, or filled with zeros with ``pad``.
+
+    ``silent`` "drop" leaves out frames of zeros only; the frames kept are numbered as they lie.
+    """
+    if silent not in ("keep", "drop") or frame_size < 1 or hop < 1:
+        raise ValueError("silent must be keep or drop, frame_size and hop positive")
     v = F.col(samples) if isinstance(samples, str) else samples
-    count = F.floor((F.size(v) - frame_size) / hop) + 1
-    starts = F.when(F.size(v) >= frame_size, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), count - 1)), lambda i: i * hop)).otherwise(F.array().cast("array<bigint>"))
-    return chunks.select(*[c for c in chunks.columns if c not in ("samples", "frame")], F.posexplode(F.transform(starts, lambda s: F.slice(v, (s + 1).cast("int"), frame_size))).alias("frame_idx", "frame")).withColumn("frame_idx", F.col("frame_idx").cast("long"))
+    zero = F.lit(0).cast("long")
+    if pad:
+        count = F.ceil(F.size(v) / hop)
+        frame = lambda s: F.concat(F.slice(v, (s + 1).cast("int"), frame_size), F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), frame_size - (F.size(v) - s)).cast("int")))
+        some = F.size(v) > 0
+    else:
+        count = F.floor((F.size(v) - frame_size) / hop) + 1
+        frame = lambda s: F.slice(v, (s + 1).cast("int"), frame_size)
+        some = F.size(v) >= frame_size
+    starts = F.when(some, F.transform(F.sequence(zero, F.greatest(zero, count - 1)), lambda i: i * hop)).otherwise(F.array().cast("array<bigint>"))
+    out = chunks.select(*[c for c in chunks.columns if c not in ("samples", "frame")], F.posexplode(F.transform(starts, frame)).alias("frame_idx", "frame")).withColumn("frame_idx", F.col("frame_idx").cast("long"))
+    return out if silent == "keep" else out.where(F.exists("frame", lambda x: x != 0))
