@@ -45,7 +45,7 @@ class LanguageParams:
     epochs: int = 300
     learning_rate: float = 0.5
     l2: float = 1e-5
-    odds: float = 2.0
+    odds: float = 1.25
     seed: int = 7
 
     def __post_init__(self):
@@ -171,7 +171,7 @@ def fit(x: np.ndarray, labels: np.ndarray, languages: list[str], params: Languag
     model = LanguageModel(languages, code.astype(np.float32), w, b, np.clip(right, 0.5, 1) ** 2, 1.0, params)
     if held.any():
         margins, rows = x[held] @ w + b, np.arange(int(held.sum()))
-        likely = [(float(np.log(np.maximum(model.chances(margins, s)[rows, labels[held]], 1e-12)).mean()), s) for s in (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0)]
+        likely = [(float(np.log(np.maximum(model.chances(margins, s)[rows, labels[held]], 1e-12)).mean()), s) for s in (0.0625, 0.125, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0)]
         model.sharpness = max(likely)[1]
     return model
 
