@@ -21,7 +21,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -409,7 +409,7 @@ def candidate_edges(docs: DataFrame, width: int, percent: int, total: int, text_
 
 
 def verified_links(candidates: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b: doc_id of every set of (cell, doc_id, set_id, text) and the smallest one that links reach in its cell."""
+    """a, b: every set of (cell, doc_id, set_id, text) by its set_id and the smallest one that links reach in its cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         comp, sets, names = None, [], []
@@ -419,15 +419,15 @@ def verified_links(candidates: DataFrame, width: int, percent: int) -> DataFrame
                 return
             group = link_groups(sets, percent)
             low: dict[int, int] = {}
-            for g, doc in zip(group, names):
-                low[g] = min(low.get(g, doc), doc)
-            pairs = [(doc, low[g]) for g, doc in zip(group, names) if doc != low[g]]
+            for g, name in zip(group, names):
+                low[g] = min(low.get(g, name), name)
+            pairs = [(name, low[g]) for g, name in zip(group, names) if name != low[g]]
             if pairs:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*pairs)], names=["a", "b"])
 
         for batch in batches:
             data, off = bk.buffers(batch.column(3))
-            comps, docs, ids = (batch.column(i).to_pylist() for i in range(3))
+            comps, ids = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for lo, hi, chunk, o in bk.chunks(data, off):
                 flat, n, found, _ = distinct_sets(chunk, o, width)
                 ends, found = np.cumsum(n), found.view(np.int64)
@@ -437,22 +437,22 @@ def verified_links(candidates: DataFrame, width: int, percent: int) -> DataFrame
                         comp, sets, names = comps[i], [], []
                     if int(found[k]) == ids[i]:  # an id may come with several texts
                         sets.append(flat[ends[k] - n[k] : ends[k]].copy())
-                        names.append(docs[i])
+                        names.append(ids[i])
         yield from close()
 
     dealt = candidates.select("cell", "doc_id", "set_id", "text").repartition("cell").sortWithinPartitions("cell", "doc_id")
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def spread_join(rows: DataFrame, key: str, by: str, value: Column, name: str) -> DataFrame:
-    """``rows`` with ``value`` aggregated over all rows of one ``key`` as a column ``name``.
+def spread_join(rows: DataFrame, key: str, by: str, fold: Callable[[Column], Column], value: Column, name: str) -> DataFrame:
+    """``rows`` with ``value`` folded (sum, min, ...) over all rows of one ``key`` as a column ``name``.
 
     A key may hold any share of the rows: they are dealt by the key and a salt from ``by``, and only the aggregates
     of the salts, SALTS a key at most, meet by the key alone.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
-    parts = salted.groupBy(key, "_salt").agg(value.alias(name))
-    whole = parts.groupBy(key).agg(F.sum(name).alias(name))
+    parts = salted.groupBy(key, "_salt").agg(fold(value).alias(name))
+    whole = parts.groupBy(key).agg(fold(F.col(name)).alias(name))
     return salted.join(parts.select(key, "_salt").join(whole, key).hint("shuffle_merge"), [key, "_salt"]).drop("_salt")
 
 
@@ -460,7 +460,7 @@ def search_cells(members: DataFrame) -> DataFrame:
     """cell, doc_id and set_id of (comp, doc_id, set_id, n_shingles): one cell for each component, or one for each pair of
     its blocks if it has more nodes or shingles than one search holds."""
     weight = F.greatest(F.lit(1.0 / MAX_GROUP), F.col("n_shingles") / F.lit(float(CELL_SHINGLES)))
-    sized = spread_join(members, "comp", "set_id", F.sum(weight), "load")
+    sized = spread_join(members, "comp", "set_id", F.sum, weight, "load")
     at = sized.withColumn("blocks", F.ceil("load").cast("int")).withColumn("mine", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     other = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # With several blocks a block is searched together with every other one.
@@ -488,7 +488,10 @@ def labelled_rows(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFra
     links = written(verified_links(texts, width, percent), "jaccard-links")
     labels = components(links, "jaccard-labels")
     drop(cells, links)
-    groups = classes.join(labels.withColumnRenamed("node", "first_id"), "first_id", "left").select("set_id", "set_check", "n_shingles", F.coalesce("label", "first_id").alias("component_id"))
+    # The smallest id of every component of classes; a class without links is one of its own.
+    linked_classes = classes.join(labels.withColumnRenamed("node", "set_id"), "set_id").select("set_id", "set_check", "n_shingles", "label", "first_id")
+    lowest = written(spread_join(linked_classes, "label", "set_id", F.min, F.col("first_id"), "lowest").select("set_id", "set_check", "n_shingles", "lowest"), "jaccard-lowest")
+    groups = classes.join(lowest, ["set_id", "set_check", "n_shingles"], "left").select("set_id", "set_check", "n_shingles", F.coalesce("lowest", "first_id").alias("component_id"))
     # A class of equal sets may hold any share of the rows: AQE splits its rows' side, a class has one row on the other.
     return some.join(groups, ["set_id", "set_check", "n_shingles"]).select("doc_id", "text_hash", "n_shingles", "component_id").unionByName(alone)
 
