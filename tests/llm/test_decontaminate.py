@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from pulsegrid.llm import decontaminate as D
 
@@ -42,7 +43,7 @@ def test_myers():
 def edited(rng, text, k):
     out = list(text)
     for _ in range(k):
-        i = rng.randrange(len(out))
+        i = rng.randrange(max(1, len(out)))
         out[i : i + rng.choice([0, 1])] = rng.choice(["", "q", "zz"])
     return "".join(out)
 
@@ -68,7 +69,7 @@ def test_against_brute_force(spark):
             p, x = norm(s).strip(), norm(t)
             if not p:
                 continue
-            k = max(0, min(int(0.1 * len(p) + 1e-9), len(p) // 8 - 1))
+            k = min(int(0.1 * len(p) + 1e-9), len(p) - 1)
             if len(x) > 10_000:
                 e = 0 if p in x else k + 1
             else:
@@ -85,9 +86,50 @@ def test_against_brute_force(spark):
 def test_item_blocks(spark, monkeypatch):
     b = spark.createDataFrame([(i, f"item number {i} with some text of its own") for i in range(40)], "item_id long, text string")
     blocks = list(D.item_blocks(b, block_bytes=300))
-    assert len(blocks) > 2 and sorted(i for x in blocks for i, _ in x) == list(range(40))
+    assert len(blocks) > 2 and sorted(i for x in blocks for i, _, _ in x) == list(range(40))
 
 
 def test_windows():
     data = np.frombuffer(b"abcdefghij", np.uint8)
     assert int(D.windows(data)[1]).to_bytes(8, "little") == b"bcdefghi"
+
+
+def test_short_items_keep_their_budget(spark):
+    """Items of 10 to 40 bytes with as many edits as 10 % allow, and one more."""
+    rng = random.Random(8)
+    items, docs, want = [], [], []
+    for i, m in enumerate((10, 15, 20, 23, 30, 31, 35, 40)):
+        text = "".join(rng.choice("abcdefghij") for _ in range(m))
+        items.append((i, text))
+        for extra in (0, 1):
+            out = list(text)
+            for at in rng.sample(range(m), int(0.1 * m) + extra):
+                out[at] = "z"
+            docs.append((len(docs), "qq " + "".join(out) + " vv"))
+            e = distance(text.encode(), docs[-1][1].encode())
+            if e <= int(0.1 * m):
+                want.append((docs[-1][0], i, e))
+    got = D.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"], r["distance"]) for r in got.collect()) == sorted(want) and len(want) >= 8
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.3])
+def test_error_rates(rate):
+    rng = random.Random(int(rate * 10))
+    word = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    items = [(i, word(rng.randint(1, 30)).encode(), 1) for i in range(25)]
+    texts = ["".join(word(5) + edited(rng, rng.choice(items)[1].decode(), rng.randint(0, 4)) for _ in range(3)).encode() for _ in range(25)]
+    index = D.PieceIndex(items, D.MatchParams(rate))
+    off = np.cumsum([0, *map(len, texts)])
+    got = {(r, i): d for r, i, d, *_ in index.search(np.frombuffer(b"".join(texts), np.uint8), off)}
+    want = {(r, i): distance(p, t) for r, t in enumerate(texts) for i, (_, p, _) in enumerate(items) if distance(p, t) <= min(int(rate * len(p) + 1e-9), len(p) - 1)}
+    assert got == want
+
+
+def test_repeated_items_and_null_ids(spark):
+    text = "this is the benchmark item that repeats itself"
+    b = spark.createDataFrame([(5, text), (5, text), (None, text), (6, text)], "item_id long, text string")
+    d = spark.createDataFrame([(1, "x " + text), (None, text)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["item_id"]) for r in D.matches(d, b).collect()), key=str)
+    assert got == sorted([(x, y) for x in (1, None) for y in (5, 5, 6, None)], key=str)
+    assert D.without_matches(d, b.where("item_id is null")).count() == 0

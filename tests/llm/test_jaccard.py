@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pulsegrid.llm import bytekernel as bk
 from pulsegrid.llm import jaccard as J
@@ -116,3 +117,63 @@ def test_span_hashes_follow_content():
     s, e, c = bk.words(data, np.array([0, 6, len(data)]))
     h = bk.span_hashes(data, s, e)
     assert c.tolist() == [2, 2] and h[1] == h[3] and h[0] != h[2]
+
+
+def thue_morse(n):
+    out = "a"
+    while len(out) < n:
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out
+
+
+def test_words_of_one_arithmetic_sum_differ(spark):
+    """The Thue-Morse word and its complement defeat every polynomial hash modulo 2 ** 64."""
+    word = thue_morse(2048)
+    other = word.translate(str.maketrans("ab", "ba"))
+    for n in (8, 64, 65, 1024, 2048):
+        data = np.frombuffer((word[:n] + " " + other[:n]).encode(), np.uint8)
+        h = bk.span_hashes(data, *bk.words(data, np.array([0, len(data)]))[:2])
+        assert h[0] != h[1]
+    rows = [(1, word), (2, other), (3, word)]
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == {(1, 1, 1), (2, 1, 2), (3, 1, 1)}
+
+
+def test_span_hashes_at_every_length():
+    rng = np.random.default_rng(1)
+    base = rng.integers(97, 123, 200).astype(np.uint8)
+    seen = {}
+    for n in range(1, 140):
+        for at in (None, 0, n // 2, n - 1):
+            span = base[:n].copy()
+            if at is not None:
+                span[at] ^= 1
+            data = np.concatenate((np.frombuffer(b"zz", np.uint8), span, np.frombuffer(b"q", np.uint8)))
+            h = int(bk.span_hashes(data, np.array([2]), np.array([2 + n]))[0])
+            assert seen.setdefault(h, span.tobytes()) == span.tobytes()
+
+
+def test_one_of_each_group(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text.replace("w30 ", "x30 ")
+    rows = [(5, text), (3, near), (3, near), (7, "quite another text of its own"), (7, text + " more"), (None, text), (None, "nobody else has this one"), (None, "nobody else has this one"), (8, None), (9, "")]
+    df = spark.createDataFrame([(*r, "x", i) for i, r in enumerate(rows)], "doc_id long, text string, set_id string, comp int")
+    out = J.one_of_each_group(df)
+    assert out.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(3, near), (7, rows[3][1]), (None, rows[6][1]), (8, None), (9, "")], key=str)
+
+
+def test_hot_component_is_spread(spark):
+    df = spark.createDataFrame([(i % 3 and 1, i, 10) for i in range(300)], "comp long, set_id long, n_shingles long")
+    out = J.spread_join(df, "comp", "set_id", F.sum, F.lit(1), "k").groupBy("comp", "k").count().collect()
+    assert sorted(tuple(r) for r in out) == [(0, 100, 100), (1, 200, 200)]
+
+
+def test_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(("a", "B", "c\td", "é")) for _ in range(rng.randint(0, 9)))) for i in range(60)] + [(100, None), (101, "A b"), (102, "a B")]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    assert {(r[0], r[1], r[2]) for r in con.sql(J.oracle_sql()).fetchall()} == brute(rows) == joined(spark.createDataFrame(rows, "doc_id long, text string"))

@@ -14,10 +14,34 @@ def test_codewords_differ():
         assert least >= {2: 1, 3: 2, 4: 4, 7: 32}.get(n, 10)
 
 
-def test_features_do_not_depend_on_pieces():
-    text = np.frombuffer(("Ein Satz, zwei Sätze. " * 70_000).encode(), np.uint8)
+def test_features_do_not_depend_on_pieces(monkeypatch):
+    """Counted run by run or at once: the same grams, as many as there are."""
+    text = np.frombuffer(("Ein Satz,  zwei Sätze. 12 " * 700).encode(), np.uint8)
     whole = L.features(text, 1 << 10)
     assert whole.shape == (1 << 10,) and np.isclose((whole**2).sum(), 1, atol=1e-4)
+    seen = L._collapsed(text)
+    for run in (100, 999, len(seen)):
+        monkeypatch.setattr(L, "GRAM_RUN", run)
+        assert np.array_equal(L.features(text, 1 << 10), whole)
+        assert sum(len(g) for n in range(1, 5) for g in L._grams(seen, n, 1 << 10)) == 4 * len(seen) - 6
+
+
+def test_model_travels_whole():
+    rng = np.random.default_rng(1)
+    x, y = rng.random((40, 16)).astype(np.float32), np.arange(40) % 3
+    p = L.LanguageParams(features=16, epochs=5)
+    model = L.fit(x, y, ["a", "b", "c"], p)
+    again = L.LanguageModel.from_bytes(model.to_bytes(), ["a", "b", "c"], p)
+    m = x @ model.weights + model.bias
+    assert all(np.array_equal(u, v) for u, v in zip(model.decode(m), again.decode(m)))
+    tie = model.decode(np.zeros((1, model.code.shape[1])))
+    assert 0 <= tie[1][0] <= 1 and tie[2][0]
+
+
+def test_many_labels_are_all_learned(spark):
+    rows = [(i, f"word{i % 70} " * 5, f"l{i % 70:02d}") for i in range(280)]
+    model = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), L.LanguageParams(features=256, epochs=3))
+    assert len(model.languages) == 70
 
 
 @pytest.fixture(scope="module")

@@ -96,3 +96,25 @@ def test_tree_keeps_quotas(spark):
         assert r["blocks"] >= 0
     assert dict(by_source) == {k: v for k, v in quotas.items()} and len(by_shard) == 8
     assert max(by_shard.values()) - min(by_shard.values()) <= 2
+
+
+def test_repeated_and_null_ids(spark):
+    """Rows are mixed one by one: equal ones each as often as the other, rows without an id like any."""
+    rows = [(1, "a b c d", "s")] * 2 + [(1, "other text of this id", "s"), (None, "no id here", "s"), (None, "no id here", "t"), (2, "e f", "t"), (None, None, None)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, source string, place int")
+    want = {}
+    for r in M.mix(df).collect():
+        want.setdefault((r["doc_id"], r["size"], r["source"]), []).append(len(r["draws"]))
+    assert all(len(set(v)) == 1 for v in want.values())
+    out = Counter((r["doc_id"], len((r["text"] or "").split()), r["source"]) for r in M.mixed_documents(df).collect())
+    assert out == Counter({k: sum(v) for k, v in want.items() if sum(v)}) and max(out.values()) <= 6
+    assert any(k[0] is None for k in out)
+
+
+def test_plan_has_no_shard_arrays(spark, sf):
+    """Rows carry the few places of their block, whatever the number of shards."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plan = M.plan_mix(docs, M.MixParams(block_docs=4, shard_words=100), "doc_id", "text", "source")
+    assert plan.placement.select(F.max(F.size("at"))).first()[0] <= M.MAX_EPOCHS + 1
+    shards = plan.placement.select(F.explode("at.shard").alias("s")).distinct().count()
+    assert shards > 100 and not {"ends", "shards"} & set(M.with_draws(plan.sized, plan, 17).columns)

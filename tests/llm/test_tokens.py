@@ -65,3 +65,38 @@ def test_many_segments(spark, sf, monkeypatch):
     want = sorted(tuple(r) for r in T.token_table(docs, PATH).collect())
     monkeypatch.setattr(T, "SEGMENT_IDS", 5000)
     assert sorted(tuple(r) for r in T.token_table(docs.repartition(5), PATH).collect()) == want
+
+
+def plain(texts):
+    from tokenizers import Tokenizer
+
+    return [Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def encoded(enc, texts):
+    raw = [t.encode() for t in texts]
+    ids, counts = enc.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    ends = np.cumsum(counts)
+    return [ids[e - n : e].tolist() for e, n in zip(ends.tolist(), counts.tolist())]
+
+
+def test_special_token_as_the_library_does():
+    some = ["<|endoftext|> a", "a  <|endoftext|>  b   ", "<|endoftext|", "|><|endoftext|>", "x   ", "y", "<|end", "oftext|>"]
+    assert encoded(T.WordEncoder(PATH), some) == plain(some)
+    assert plain(some)[0] == [50256, 257]
+
+
+def test_words_with_equal_hashes_keep_their_ids(monkeypatch):
+    """Whatever the hash, words are compared: with a hash that is always equal, ids are still right."""
+    some = ["one two", "two one three", "a" * 100]
+    enc = T.WordEncoder(PATH)
+    monkeypatch.setattr(T.bk, "span_hashes", lambda data, starts, ends: np.full(len(starts), 7, np.uint64))
+    assert encoded(enc, some) == plain(some)
+
+
+def test_thue_morse_words():
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    some = [word, word.translate(str.maketrans("ab", "ba"))]
+    assert encoded(T.WordEncoder(PATH), some) == plain(some) and plain(some)[0] != plain(some)[1]
