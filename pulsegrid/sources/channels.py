@@ -19,7 +19,7 @@ SCHEDULE, SINGLE, TIME_SYNC = "beat/events/schedule", "beat/events/single", "bea
 
 def message_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
     """topic and payload of every message of a channel, as a stream."""
-    return spark.readStream.schema("value string, topic string").option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "false").text(path + "/batch=*").select("topic", F.col("value").alias("payload"))
+    return spark.readStream.schema("value string, batch long, topic string").option("maxFilesPerTrigger", files_per_trigger).text(path).select("topic", F.col("value").alias("payload"))
 
 
 def gate_stream(messages: DataFrame) -> DataFrame:
