@@ -222,5 +222,15 @@ ORACLE_SQL = {
     "prediction_payloads": f"with recursive {F}, {state_sql.predictor(Q.PREDICTOR)} select frame_idx, round(now, 6) as now, inst as instrument, round(period, 6) as period_sec, round(phase, 6) as phase, warm as warmup_complete, cast((select count(*) from forecast c where c.stream_id = t.stream_id and c.frame_idx = t.frame_idx and c.inst = t.inst) as integer) as n_hits from told t",
     "canvas_places": f"""with {P} select stream_id, instrument, frame_idx, hit_index, cast(420 + (hit_index - 1) * 120 as integer) as horizontal_x, cast(({_INDEX} + 1) * 116 as integer) as horizontal_y,
         cast(({_INDEX} + 1) * 200 as integer) as vertical_x, cast(244 + (hit_index - 1) * 70 as integer) as vertical_y, true as feature_kept from p""",
+    "spectral_peak": f"""with s as (select list(sin(i * (2 * 3.141592653589793 * 440.0::double / 44100.0::double)) order by i) as v from range(4096) as r(i)), w as (select [{_window}] as w),
+    fr as (select cast(k as bigint) as frame_idx, list_transform(range(1, 1025), lambda i: v[k * 256 + i] * w[i]) as a from s, w, range(13) as r(k)),
+    turns as (select list(cos(2 * pi() * i / 1024) order by i) as c, list(sin(2 * pi() * i / 1024) order by i) as z from range(1024) as r(i)),
+    sp as (select frame_idx, k, pow(list_sum(list_transform(range(1, 1025), lambda i: a[i] * c[k * (i - 1) % 1024 + 1])), 2) + pow(list_sum(list_transform(range(1, 1025), lambda i: a[i] * z[k * (i - 1) % 1024 + 1])), 2) as power from fr, turns, range(513) as r(k)),
+    e as (select i, 700 * (pow(10, i * (2595 * log10(1 + 22050.0::double / 700)) / 65 / 2595) - 1) as hz from range(66) as r(i)),
+    m as (select frame_idx, l.i as band, sum(greatest(0.0, least((k * 22050.0::double / 512 - l.hz) / (c.hz - l.hz), (h.hz - k * 22050.0::double / 512) / (h.hz - c.hz))) * 2 / (h.hz - l.hz) * power) as energy
+        from sp, e l join e c on c.i = l.i + 1 join e h on h.i = l.i + 2 group by 1, 2),
+    peak as (select frame_idx, arg_max(k, power) as peak_bin from sp group by 1),
+    cep as (select frame_idx, arg_max(band, energy) as peak_band, max(energy) as top_band, sum(10 * log10(greatest(1e-10, energy))) / 8 as c0, sum(10 * log10(greatest(1e-10, energy)) * cos(pi() * (2 * band + 1) / 128)) * sqrt(2 / 64) as c1 from m group by 1)
+    select frame_idx, peak_bin, peak_band, 13 as n_mfcc, round(top_band, 9) as top_band, round(c0, 4) as c0, round(c1, 4) as c1 from peak join cep using (frame_idx)""",
     "test_patterns": "select r_regionkey::bigint as event_id, cast(1700000000 + r_regionkey // 2 as bigint) as unix_time, cast(r_regionkey % 2 * 500000 as bigint) as microseconds, (r_regionkey % 3 = 0)::integer as r, (r_regionkey % 3 = 1)::integer as g, (r_regionkey % 3 = 2)::integer as b from region",
 }
