@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard, reputation
+from . import chat, jaccard, merkle, phrases, reputation, sharding
 from .storage import table
 
 
@@ -73,6 +73,18 @@ def op5_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_report(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -84,10 +96,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_url_reputation": op9_url_reputation,
     "op10_chat_format": op10_chat_format,
+    "op11_phrases": op11_phrases,
+    "op12_jump_shards": op12_jump_shards,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_jaccard_join": jaccard.oracle_sql(),
     "op9_url_reputation": reputation.oracle_sql(),
     "op10_chat_format": chat.oracle_sql(),
+    "op11_phrases": phrases.oracle_sql(),
+    "op12_jump_shards": sharding.oracle_sql(),
+    "op13_merkle": merkle.oracle_sql(),
 }
