@@ -4,8 +4,8 @@ Every shard of a task's texts becomes one sequence of word ids. Prefix doubling
 phrase reaches; runs of suffixes with a common prefix of n words (LCP intervals) are the n-grams and their counts. Spark
 adds up the shards' counts by language and phrase, and scores what is frequent.
 
-A phrase is no more frequent than any part of it. So two earlier passes count words, then pairs of words, in hashed buckets;
-where a bucket stays below the least count, the sequence is cut, and shards report no n-gram across a cut. A filter is one
+A phrase is no more frequent than any part of it. So three earlier passes count words, then pairs, then triples of words, in hashed
+buckets; shards report no n-gram that holds a word, pair or triple whose bucket stays below the least count. A filter is one
 bit a bucket, of a size that doesn't grow with the data, and lets whole buckets pass: it spares work and never changes a count.
 """
 
@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytekernel as bk
-from .storage import drop, written
+from .storage import written
 
 UNKNOWN = "und"
 #: Words of one suffix array, and of one piece of bytes that is cut into words at once.
-SHARD_WORDS, PIECE_BYTES = 1 << 20, 1 << 23
-#: Bucket counts that a task gathers before it sends them on.
-GATHERED = 1 << 22
+SHARD_WORDS, PIECE_BYTES = 1 << 20, 1 << 22
+#: Bucket counts, and phrase counts, that a task gathers before it sends them on.
+GATHERED, GATHERED_PHRASES = 1 << 22, 1 << 19
 #: First ranking by salted keys, so that no task sees all phrases of a language.
 SALTS = 64
 
@@ -39,7 +39,7 @@ _WORD[[0x20, 0x09]] = False
 
 @dataclass(frozen=True)
 class PhraseParams:
-    """``bits``: log2 of the buckets of each of the two filters (2 ** bits / 8 bytes, held by every task)."""
+    """``bits``: log2 of the buckets of each of the three filters (2 ** bits / 8 bytes, held by every task)."""
 
     longest: int = 5
     min_count: int = 100
@@ -115,6 +115,15 @@ def pair_hashes(s: Sequence, at: np.ndarray) -> np.ndarray:
     return bk.mix(s.hashes[s.ids[at]] * np.uint64(0x9E3779B97F4A7C15) ^ s.hashes[s.ids[at + 1]])
 
 
+def triple_places(s: Sequence) -> np.ndarray:
+    """Places where three words stand without a cut between them."""
+    return np.flatnonzero((s.ids[:-2] >= 0) & (s.ids[1:-1] >= 0) & (s.ids[2:] >= 0))
+
+
+def triple_hashes(s: Sequence, at: np.ndarray) -> np.ndarray:
+    return bk.mix(pair_hashes(s, at) * np.uint64(0xC2B2AE3D27D4EB4F) ^ s.hashes[s.ids[at + 2]])
+
+
 class Filter:
     """Which buckets reach the least count; every bucket does where there is no filter yet."""
 
@@ -219,50 +228,94 @@ def suffix_array(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.minimum(lcp, depth)
 
 
-def grams(ids: np.ndarray, longest: int, counted: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(n, one place of each n-gram, its count) for n from 2: n-grams without a cut that begin at the first ``counted`` places."""
+def _run_lengths(holds: np.ndarray) -> np.ndarray:
+    """How many places in a row hold, from each one on."""
+    at = np.arange(len(holds))
+    ends = np.flatnonzero(np.append(~holds, True))
+    return ends[np.searchsorted(ends, at)] - at
+
+
+def grams(ids: np.ndarray, longest: int, counted: int, triples: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, one place of each n-gram, its count) for n from 2: n-grams without a cut that begin at the first ``counted`` places, of
+    which all three words in a row begin at places of ``triples`` (default: any)."""
     n_ids = len(ids)
     if not n_ids:
         return
     order, lcp = suffix_array(ids, longest)
-    cut = np.flatnonzero(np.append(ids, -1) < 0)
-    left = (cut[np.searchsorted(cut, np.arange(n_ids))] - np.arange(n_ids))[order]
+    left = _run_lengths(ids >= 0)
+    if triples is not None:
+        left = np.minimum(left, np.maximum(_run_lengths(triples) + 2, 2))
+    left = left[order]
     counts = (order < counted).astype(np.int64)
     for n in range(2, longest + 1):
         heads = np.flatnonzero(lcp < n)  # intervals: all suffixes in one share n values
         total = np.add.reduceat(counts, heads)
-        whole = (left[heads] >= n) & (total > 0)
+        whole = (left[heads] >= n) & (total > 0)  # equal n-grams have equal words, so these hold for all of an interval
         yield n, order[heads[whole]], total[whole]
 
 
-def shard_counts(docs: DataFrame, words: Filter, pairs: Filter, params: PhraseParams) -> DataFrame:
-    """lang, n, phrase, f of every n-gram in every shard; n = 0: how many words the shard has of a language in all."""
+class Gathered:
+    """Phrase counts of a task's shards, added up until they are many different ones."""
+
+    def __init__(self):
+        self.parts: list[pa.Table] = []
+        self.rows = 0
+
+    def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        self.parts.append(pa.Table.from_batches([batch]))
+        self.rows += batch.num_rows
+        if self.rows >= GATHERED_PHRASES:
+            self._merge()
+            if self.rows >= GATHERED_PHRASES // 2:
+                yield from self.flush()
+
+    def _merge(self) -> None:
+        merged = pa.concat_tables(self.parts).group_by(["lang", "n", "phrase"]).aggregate([("f", "sum")])
+        self.parts = [merged.rename_columns(["lang", "n", "phrase", "f"])]
+        self.rows = merged.num_rows
+        pa.default_memory_pool().release_unused()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            self._merge()
+            yield from self.parts[0].combine_chunks().to_batches(max_chunksize=1 << 16)
+        self.parts, self.rows = [], 0
+
+
+def shard_counts(docs: DataFrame, words: Filter, pairs: Filter, triples: Filter, params: PhraseParams) -> DataFrame:
+    """lang, n, phrase, f of every n-gram that the filters leave in the shards of each task; n = 0: how many words of a language in all."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((words, pairs))  # two times 2 ** bits / 8 bytes
+    shared = spark.sparkContext.broadcast((words, pairs, triples))  # three times 2 ** bits / 8 bytes
     longest = params.longest
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_word, by_pair = shared.value
+        by_word, by_pair, by_triple = shared.value
 
         def rows(s: Sequence, n: int, at: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
             parts = [s.words.take(pa.array(s.ids[at + k])) for k in range(n)]
             phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if n > 1 else parts[0]
             return pa.record_batch([s.langs.take(pa.array(s.ids[at])), pa.array(np.full(len(at), n, np.int32)), phrase.cast(pa.string()), pa.array(f)], names=["lang", "n", "phrase", "f"])
 
+        gathered = Gathered()
         for batch in batches:
             for s in sequences(batch):
                 seen = np.bincount(s.ids[s.ids >= 0], minlength=len(s.hashes))
                 langs = s.langs.dictionary_encode()
                 total = np.bincount(langs.indices.to_numpy(), seen, minlength=len(langs.dictionary)).astype(np.int64)
-                yield pa.record_batch([langs.dictionary, pa.array(np.zeros(len(total), np.int32)), pa.array([""] * len(total)), pa.array(total)], names=["lang", "n", "phrase", "f"])
+                yield from gathered.add(pa.record_batch([langs.dictionary, pa.array(np.zeros(len(total), np.int32)), pa.array([""] * len(total)), pa.array(total)], names=["lang", "n", "phrase", "f"]))
                 common = np.flatnonzero(by_word.passes(s.hashes) & (seen > 0))
-                yield rows(s.with_ids(common), 1, np.arange(len(common)), seen[common])
+                yield from gathered.add(rows(s.with_ids(common), 1, np.arange(len(common)), seen[common]))
                 s = joined_runs(without_rare_words(s, by_word), by_pair)
+                triples = np.zeros(len(s.ids), bool)
+                at = triple_places(s)
+                triples[at[by_triple.passes(triple_hashes(s, at))]] = True
                 for a in range(0, len(s.ids), SHARD_WORDS):
-                    part = s.with_ids(s.ids[a : a + SHARD_WORDS + longest - 1])
-                    for n, at, f in grams(part.ids, longest, SHARD_WORDS):
+                    whole = slice(a, a + SHARD_WORDS + longest - 1)
+                    part = s.with_ids(s.ids[whole])
+                    for n, at, f in grams(part.ids, longest, SHARD_WORDS, triples[whole]):
                         if len(at):
-                            yield rows(part, n, at, f)
+                            yield from gathered.add(rows(part, n, at, f))
+        yield from gathered.flush()
 
     return docs.mapInArrow(count, "lang string, n int, phrase string, f long")
 
@@ -284,9 +337,18 @@ def frequent_phrases(docs: DataFrame, params: PhraseParams | None = None, text_c
         return pair_hashes(s, pair_places(s)), None
 
     pairs = _bucket_counts(texts, of_pairs, params)
-    counts = shard_counts(texts, words, pairs, params).groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f"))
+    both = texts.sparkSession.sparkContext.broadcast((words, pairs))
+
+    def of_triples(s: Sequence):
+        by_word, by_pair = both.value
+        s = joined_runs(without_rare_words(s, by_word), by_pair)
+        return triple_hashes(s, triple_places(s)), None
+
+    triples = _bucket_counts(texts, of_triples, params)
+    counts = shard_counts(texts, words, pairs, triples, params).groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f"))
     out = written(counts.where((F.col("f") >= params.min_count) | (F.col("n") == 0)), "phrases")
     known.unpersist()
+    both.unpersist()
     return out
 
 

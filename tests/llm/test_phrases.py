@@ -91,6 +91,25 @@ def test_suffix_array_order_and_lcp():
             assert k == min(same, len(a), len(b))
 
 
+def test_gathered_counts_are_whole(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(P, "GATHERED_PHRASES", 10)
+    rng, want, got, g = np.random.default_rng(2), Counter(), Counter(), P.Gathered()
+    for _ in range(60):
+        keys = [(f"l{rng.integers(2)}", int(rng.integers(3)), f"p{rng.integers(12)}", int(rng.integers(1, 9))) for _ in range(int(rng.integers(0, 9)))]
+        for *k, f in keys:
+            want[tuple(k)] += f
+        batch = pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*keys)) or [[]] * 4, (pa.string(), pa.int32(), pa.string(), pa.int64()))], names=["lang", "n", "phrase", "f"])
+        for out in g.add(batch):
+            for r in out.to_pylist():
+                got[r["lang"], r["n"], r["phrase"]] += r["f"]
+    for out in g.flush():
+        for r in out.to_pylist():
+            got[r["lang"], r["n"], r["phrase"]] += r["f"]
+    assert got == want
+
+
 def test_filters_only_save_work(spark):
     """A filter of few buckets lets rare words through, and the rows are the same."""
     rows = some_rows(9, 80)
