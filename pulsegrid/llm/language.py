@@ -30,6 +30,8 @@ _SEEN[65:91] = np.arange(1, 27)
 _SEEN[128:] = np.arange(27, 155)
 
 
+#: Places that a hash gives rows to choose a sample by.
+SPREAD = 1 << 30
 #: Grams whose hashes are held at once; longer texts are counted run by run, with the same result.
 GRAM_RUN = 1 << 20
 
@@ -177,24 +179,27 @@ def fit(x: np.ndarray, labels: np.ndarray, languages: list[str], params: Languag
 
 
 def train(docs: DataFrame, params: LanguageParams | None = None, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id") -> LanguageModel:
-    """Fit on the ``docs_per_language`` rows of smallest id hash of each language (fewer if ``examples`` forces it). Null
-    texts and null or empty labels are left out; a text without letters counts as one gap.
+    """Fit on the ``docs_per_language`` rows of each language (fewer if ``examples`` forces it) whose id and text have the smallest
+    hashes; equal rows count as one. Ids may be null or repeated. Null texts and null or empty labels are left out; a text without
+    letters counts as one gap.
 
     The sample's features meet in one task, which fits and returns the weights alone; the driver holds no row.
     No labelled row at all gives a model without languages, which answers ``und``.
     """
     params = params or LanguageParams()
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("label is not null and label != '' and text is not null")
-    found = named.groupBy("label").count().orderBy("label").collect()  # one row a language
+    # Rows are chosen by a hash of id and text, so those without an id or of one id are told apart.
+    place = F.pmod(F.xxhash64(F.col("id").cast("string"), "text", F.lit(params.seed)), F.lit(SPREAD))
+    placed = named.withColumn("place", place)
+    found = placed.groupBy("label").agg(F.count(F.lit(1)).alias("count"), F.min("place").alias("least")).orderBy("label").collect()  # one row a language
     languages = [r["label"] for r in found]
     if not found:
         return LanguageModel([], np.zeros((0, 1)), np.zeros((params.features, 1)), np.zeros(1), np.ones(1), 1.0, params)
     each = max(1, min(params.docs_per_language, params.examples // len(languages)))
-    # A hash bound per language keeps about twice the rows wanted, so that few rows are ranked.
-    spread = 1 << 30
-    place = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(params.seed)), F.lit(spread))
-    bound = F.create_map(*[F.lit(v) for r in found for v in (r["label"], min(spread, -(-spread * 2 * (each + 20) // r["count"])))])
-    chosen = named.withColumn("place", place).where(F.col("place") < bound[F.col("label")])
+    # A bound per language keeps about twice the rows wanted, so that few rows are ranked; the row of least place always stays.
+    bound = F.create_map(*[F.lit(v) for r in found for v in (r["label"], max(r["least"] + 1, min(SPREAD, -(-SPREAD * 2 * (each + 20) // r["count"]))))])
+    # Equal rows are one before they are ranked, however many there are.
+    chosen = placed.where(F.col("place") < bound[F.col("label")]).select("label", "place", "id", "text").distinct()
     ranked = chosen.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("place", "id", "text"))).where(F.col("rank") <= each)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,3 +67,58 @@ def test_edges(spark, result):
     assert empty.count() == 0
     untrained = L.train(df.withColumn("lang", F.lit(None).cast("string")))
     assert {r["lang_pred"] for r in L.identify(df, untrained).collect()} == {"und"}
+
+
+def made_texts(n=300):
+    en = "the quick brown fox jumps over the lazy dog and runs away from it"
+    es = "el rápido zorro marrón salta sobre el perro perezoso y huye de él"
+    return [(f"{en} {i} {en[i % 9:]}", "en") for i in range(n)] + [(f"{es} {i} {es[i % 9:]}", "es") for i in range(n)]
+
+
+def test_null_and_repeated_ids(spark):
+    """Whatever the ids are, every labelled language is learned: all null, null for one language, all equal, all rows equal."""
+    texts = made_texts()
+    for id_of in (lambda i, lang: None, lambda i, lang: None if lang == "en" else i, lambda i, lang: 5, lambda i, lang: i):
+        df = spark.createDataFrame([(id_of(i, lang), t, lang) for i, (t, lang) in enumerate(texts)], "doc_id long, text string, lang string")
+        model = L.train(df, L.LanguageParams(docs_per_language=40, epochs=60))
+        out = L.identify(df, model, keep=("lang",)).toPandas()
+        assert model.languages == ["en", "es"] and (out.lang == out.lang_pred).mean() > 0.99
+    copies = spark.createDataFrame([(None, texts[0][0], "en")] * 500 + [(None, texts[-1][0], "es")] * 3, "doc_id long, text string, lang string")
+    model = L.train(copies, L.LanguageParams(docs_per_language=5, epochs=60))
+    out = L.identify(copies, model, keep=("lang",)).toPandas()
+    assert (out.lang == out.lang_pred).all()
+
+
+def test_decoder_against_plain_python(result):
+    """Nearest codeword by weighted logistic losses, its softmax chance and near ties, computed word by word."""
+    import math
+
+    model = result[0]
+    rng = np.random.default_rng(0)
+    margins = rng.normal(size=(200, model.code.shape[1])).astype(np.float32) * 3  # as texts' margins are
+    first, score, near = model.decode(margins)
+    for k, m in enumerate(margins):
+        weights = model.bit_weights.tolist()
+        loss = [sum(w * math.log1p(math.exp(-c * v)) for w, c, v in zip(weights, word, m.tolist())) / sum(weights) for word in model.code.tolist()]
+        raw = [math.exp(-model.sharpness * len(m) * (x - min(loss))) for x in loss]
+        chance = sorted((r / sum(raw) for r in raw), reverse=True)
+        assert first[k] == loss.index(min(loss)) and score[k] == pytest.approx(chance[0], rel=1e-4)
+        odds = chance[0] / chance[1] / model.params.odds
+        assert near[k] == (odds < 1) or abs(odds - 1) < 1e-4
+
+
+def test_features_against_plain_counts():
+    """Roots of the counts of hashed grams: as many grams as there are windows of each length, case and gaps folded."""
+    text = "Ab, c--D é"
+    codes = [0, 1, 2, 0, 3, 0, 4, 0, 26 + 195 - 127, 26 + 169 - 127, 0]
+    got = L.features(np.frombuffer(text.encode(), np.uint8), 1 << 13)
+    want = np.zeros(1 << 13)
+    for n in range(1, 5):
+        for i in range(len(codes) - n + 1):
+            h = 0
+            for c in codes[i : i + n]:
+                h = (h * 155 + c) % 2**32
+            h = (h * 2654435761 + n * 0x9E3779B9) % 2**32 * 0x85EBCA6B % 2**32
+            want[h >> (32 - 13)] += 1
+    want = np.sqrt(want)
+    assert np.allclose(got, want / np.sqrt((want**2).sum()), atol=1e-6)
