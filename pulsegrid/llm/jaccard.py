@@ -409,7 +409,7 @@ def candidate_edges(docs: DataFrame, width: int, percent: int, total: int, text_
 
 
 def verified_links(candidates: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b: every set of (cell, doc_id, set_id, text) by its set_id and the smallest one that links reach in its cell."""
+    """a, b: every set of (cell, key, set_id, text) by its set_id and the smallest one that links reach in its cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         comp, sets, names = None, [], []
@@ -440,7 +440,7 @@ def verified_links(candidates: DataFrame, width: int, percent: int) -> DataFrame
                         names.append(ids[i])
         yield from close()
 
-    dealt = candidates.select("cell", "doc_id", "set_id", "text").repartition("cell").sortWithinPartitions("cell", "doc_id")
+    dealt = candidates.select("cell", "key", "set_id", "text").repartition("cell").sortWithinPartitions("cell", "key")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -457,7 +457,7 @@ def spread_join(rows: DataFrame, key: str, by: str, fold: Callable[[Column], Col
 
 
 def search_cells(members: DataFrame) -> DataFrame:
-    """cell, doc_id and set_id of (comp, doc_id, set_id, n_shingles): one cell for each component, or one for each pair of
+    """cell, no_id, key and set_id of (comp, no_id, key, set_id, n_shingles): one cell for each component, or one for each pair of
     its blocks if it has more nodes or shingles than one search holds."""
     weight = F.greatest(F.lit(1.0 / MAX_GROUP), F.col("n_shingles") / F.lit(float(CELL_SHINGLES)))
     sized = spread_join(members, "comp", "set_id", F.sum, weight, "load")
@@ -465,58 +465,77 @@ def search_cells(members: DataFrame) -> DataFrame:
     other = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # With several blocks a block is searched together with every other one.
     useful = other.where("blocks = 1 or mine != other")
-    return useful.select(F.xxhash64("comp", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "doc_id", "set_id")
+    return useful.select(F.xxhash64("comp", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "no_id", "key", "set_id")
+
+
+def keyed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cell, key, set_id and text for wanted (no_id, key, set_id, cells): the texts of rows with that id, or, of rows without one, one text
+    of that hash.
+
+    Each wanted text is fetched once and travels with the list of its cells. The hints keep one plan at every size.
+    """
+    wanted = wanted.hint("shuffle_merge")
+    named = docs.where("doc_id is not null").join(wanted.where("not no_id").withColumnRenamed("key", "doc_id"), "doc_id").select("cells", F.col("doc_id").alias("key"), "set_id", "text")
+    # Copies without an id become one before they move, however many there are.
+    nameless = docs.where("doc_id is null").groupBy(text_hash(F.col("text")).alias("key")).agg(F.min("text").alias("text"))
+    others = nameless.join(wanted.where("no_id"), "key").select("cells", "key", "set_id", "text")
+    return named.unionByName(others).select(F.explode("cells").alias("cell"), "key", "set_id", "text")
 
 
 def labelled_rows(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, text_hash, n_shingles and component_id of every row of (doc_id, text); see ``jaccard_components``."""
+    """doc_id, text_hash, n_shingles, component_id and leads (whether the row's id, or without any id its hash, is the smallest of its component)
+    of every row of (doc_id, text); see ``jaccard_components``."""
     sets = written(document_sets(docs, width, percent), "jaccard-sets")
     some = sets.where("n_shingles > 0")
     total = some.agg(F.sum("n_shingles")).first()[0]
-    alone = sets.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
+    alone = sets.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("leads"))
     if total is None:
         return alone
     edges = written(candidate_edges(docs, width, percent, total), "jaccard-edges")
     comps = components(edges, "jaccard-components")
-    classes = written(some.groupBy("n_shingles", "set_id", "set_check", "node0", "node1").agg(F.min("doc_id").alias("first_id")), "jaccard-classes")
-    nodes = classes.where("first_id is not null").select(F.explode(F.array("node0", "node1")).alias("node"), F.col("first_id").alias("doc_id"), "set_id", "n_shingles")
-    cells = written(search_cells(nodes.join(comps.withColumnRenamed("label", "comp"), "node").select("comp", "doc_id", "set_id", "n_shingles")), "jaccard-cells")
+    classes = written(some.groupBy("n_shingles", "set_id", "set_check", "node0", "node1").agg(F.min("doc_id").alias("first_id"), F.min("text_hash").alias("first_hash")), "jaccard-classes")
+    # A class's text is found by its first id, or by a hash of it if none of its rows has an id.
+    nodes = classes.select(F.explode(F.array("node0", "node1")).alias("node"), F.col("first_id").isNull().alias("no_id"), F.coalesce("first_id", "first_hash").alias("key"), "set_id", "n_shingles")
+    cells = written(search_cells(nodes.join(comps.withColumnRenamed("label", "comp"), "node").select("comp", "no_id", "key", "set_id", "n_shingles")), "jaccard-cells")
     drop(edges, comps)
-    # Each wanted text is fetched once and travels with the list of its cells. The hint keeps one plan at every size.
-    wanted = cells.groupBy("doc_id", "set_id").agg(F.collect_set("cell").alias("cells"))
-    texts = docs.join(wanted.hint("shuffle_merge"), "doc_id").select(F.explode("cells").alias("cell"), "doc_id", "set_id", "text")
+    texts = keyed_texts(docs, cells.groupBy("no_id", "key", "set_id").agg(F.collect_set("cell").alias("cells")))
     links = written(verified_links(texts, width, percent), "jaccard-links")
     labels = components(links, "jaccard-labels")
     drop(cells, links)
-    # The smallest id of every component of classes; a class without links is one of its own.
-    linked_classes = classes.join(labels.withColumnRenamed("node", "set_id"), "set_id").select("set_id", "set_check", "n_shingles", "label", "first_id")
-    lowest = written(spread_join(linked_classes, "label", "set_id", F.min, F.col("first_id"), "lowest").select("set_id", "set_check", "n_shingles", "lowest"), "jaccard-lowest")
-    groups = classes.join(lowest, ["set_id", "set_check", "n_shingles"], "left").select("set_id", "set_check", "n_shingles", F.coalesce("lowest", "first_id").alias("component_id"))
+    # The smallest id of every component of classes, or hash where none has an id; a class without links is one of its own.
+    first = F.struct(F.col("first_id").isNull().alias("no_id"), F.coalesce("first_id", "first_hash").alias("key"))
+    named = classes.select("set_id", "set_check", "n_shingles", first.alias("first"))
+    linked_classes = named.join(labels.withColumnRenamed("node", "set_id"), "set_id")
+    lowest = written(spread_join(linked_classes, "label", "set_id", F.min, F.col("first"), "lowest").select("set_id", "set_check", "n_shingles", "lowest"), "jaccard-lowest")
+    groups = named.join(lowest, ["set_id", "set_check", "n_shingles"], "left").select("set_id", "set_check", "n_shingles", F.coalesce("lowest", "first").alias("lead"))
+    component, no_id = F.when(~F.col("lead.no_id"), F.col("lead.key")), F.col("lead.no_id")
+    leads = F.when(no_id, F.col("text_hash") == F.col("lead.key")).otherwise(F.coalesce(F.col("doc_id") == F.col("lead.key"), F.lit(False)))
     # A class of equal sets may hold any share of the rows: AQE splits its rows' side, a class has one row on the other.
-    return some.join(groups, ["set_id", "set_check", "n_shingles"]).select("doc_id", "text_hash", "n_shingles", "component_id").unionByName(alone)
+    return some.join(groups, ["set_id", "set_check", "n_shingles"]).select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), leads.alias("leads")).unionByName(alone)
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row.
 
     Null texts and texts without words have no shingles and link with nothing: component_id is their
-    own id. Rows of one id count as documents of their own that share it; rows without an id take part
-    only as copies of others. Sets are known by their sizes and two independent 64-bit hashes, shingles
+    own id. Rows of one id count as documents of their own that share it; so do rows without an id, which link like any
+    and are never the smallest (a component of such rows alone has none). Sets are known by their sizes and two independent 64-bit hashes, shingles
     by one. Other columns are ignored. An empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return labelled_rows(docs, width, percent).drop("text_hash")
+    return labelled_rows(docs, width, percent).drop("text_hash", "leads")
 
 
 def one_of_each_group(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that lead their group of ``jaccard_components``.
 
-    Rows are judged one by one: of an id that comes with several texts only those go that follow another id. A row
-    without an id goes if a row with one has the same set. Rows of one id and text count as one, which stays once.
+    Rows are judged one by one: of an id that comes with several texts only those go that follow another id. A row without an
+    id goes if its group has a row with one; of a group of such rows alone the one of smallest text hash stays. Rows of one id
+    and text count as one, which stays once.
     """
     rows = labelled_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), width, percent)
     keys = {"_id": F.coalesce(F.col("doc_id"), F.lit(0).cast("long")), "_hash": F.xxhash64(F.col("doc_id").isNull(), "text_hash")}
-    others = rows.where("not (doc_id <=> component_id)").select(*[c.alias(k) for k, c in keys.items()]).distinct()
+    others = rows.where("not leads").select(*[c.alias(k) for k, c in keys.items()]).distinct()
     known = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long"))).withColumn("_hash", F.xxhash64(F.col(id_col).isNull(), text_hash(F.col(text_col))))
     return known.join(others.hint("shuffle_merge"), ["_id", "_hash"], "left_anti").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
 
@@ -525,13 +544,13 @@ def oracle_sql(width: int = 4, percent: int = 85) -> str:
     """DuckDB SQL for ``jaccard_components`` over documents: all pairs that share a shingle, and the links' closure."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
-    with recursive split_words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') as w from documents),
-    sets as (select doc_id, case when len(w) = 0 then [] else list_distinct(list_transform(range(1, greatest(len(w) - {width - 1}, 1) + 1), lambda i: array_to_string(w[i:i + {width - 1}], ' '))) end as s from split_words),
-    sized as (select doc_id, len(s)::bigint as n from sets),
-    held as (select doc_id, unnest(s) as x from sets),
-    shared as (select a.doc_id as a, b.doc_id as b, count(*) as k from held a join held b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
-    links as (select a, b from shared join sized p on p.doc_id = a join sized q on q.doc_id = b where 100 * k >= {percent} * (p.n + q.n - k)),
+    with recursive split_words as (select row_number() over () as row_no, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+    sets as (select row_no, doc_id, case when len(w) = 0 then [] else list_distinct(list_transform(range(1, greatest(len(w) - {width - 1}, 1) + 1), lambda i: array_to_string(w[i:i + {width - 1}], ' '))) end as s from split_words),
+    sized as (select row_no, doc_id, len(s)::bigint as n from sets),
+    held as (select row_no, unnest(s) as x from sets),
+    shared as (select a.row_no as a, b.row_no as b, count(*) as k from held a join held b on a.x = b.x and a.row_no < b.row_no group by 1, 2),
+    links as (select a, b from shared join sized p on p.row_no = a join sized q on q.row_no = b where 100 * k >= {percent} * (p.n + q.n - k)),
     edges as (select a, b from links union select b, a from links),
-    reach(node, seen) as (select doc_id, doc_id from sized union select reach.node, edges.b from reach join edges on edges.a = reach.seen)
-    select z.doc_id, z.n as n_shingles, c.component_id from sized z join (select node, min(seen) as component_id from reach group by 1) c on c.node = z.doc_id
+    reach(node, seen) as (select row_no, row_no from sized union select reach.node, edges.b from reach join edges on edges.a = reach.seen)
+    select z.doc_id, z.n as n_shingles, c.component_id from sized z join (select node, min(doc_id) as component_id from reach join sized on row_no = seen group by 1) c on c.node = z.row_no
     """

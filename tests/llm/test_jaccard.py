@@ -177,3 +177,30 @@ def test_sql(spark, tmp_path):
     con.execute("create table documents (doc_id bigint, text varchar)")
     con.executemany("insert into documents values (?, ?)", rows)
     assert {(r[0], r[1], r[2]) for r in con.sql(J.oracle_sql()).fetchall()} == brute(rows) == joined(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_links_through_rows_without_an_id(spark):
+    """A chain whose middle has no id links its ends; rows without ids link with each other and have no smallest id."""
+    words = [f"w{i}" for i in range(80)]
+    text = lambda a, b: " ".join(words[a:b])
+    rows = [(1, text(0, 60)), (None, text(4, 64)), (2, text(8, 68)), (None, "x " + text(70, 80)), (None, "x " + text(70, 80) + " y"), (None, "x " + text(70, 80)), (None, "unlike all others here")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        out = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.jaccard_components(df).collect()), key=str)
+        assert out == sorted([(1, 57, 1), (None, 57, 1), (2, 57, 1), (None, 8, None), (None, 9, None), (None, 8, None), (None, 1, None)], key=str)
+        kept = [r["text"] for r in J.one_of_each_group(df).collect()]
+        assert len(kept) == 3 and text(0, 60) in kept and rows[6][1] in kept
+
+
+def test_sql_links_through_rows_without_an_id(spark):
+    import duckdb
+
+    words = [f"w{i}" for i in range(80)]
+    rows = [(1, " ".join(words[:60])), (None, " ".join(words[4:64])), (2, " ".join(words[8:68])), (2, "another text of that id"), (None, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in J.jaccard_components(df).collect())
+    con = duckdb.connect()
+    con.sql("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [list(r) for r in rows])
+    want = sorted((str(a), n, str(c)) for a, n, c in con.sql(J.oracle_sql()).fetchall())
+    assert got == want
