@@ -112,9 +112,9 @@ def test_repeated_and_null_ids(spark):
 
 
 def test_plan_has_no_shard_arrays(spark, sf):
-    """Rows carry the few places of their block, whatever the number of shards."""
+    """Rows carry the few places of their block, whatever the number of shards; blocks are the least that a shard holds."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    plan = M.plan_mix(docs, M.MixParams(block_docs=4, shard_words=100), "doc_id", "text", "source")
+    plan = M.plan_mix(docs, M.MixParams(block_docs=1, shard_words=100), "doc_id", "text", "source")
     assert plan.placement.select(F.max(F.size("at"))).first()[0] <= M.MAX_EPOCHS + 1
     shards = plan.placement.select(F.explode("at.shard").alias("s")).distinct().count()
     assert shards > 100 and not {"ends", "shards"} & set(M.with_draws(plan.sized, plan, 17).columns)
