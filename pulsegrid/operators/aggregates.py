@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import BufferParams
+from .moments import covariance, inverse_covariance
+from .quantiles import running_quantiles
+
+__all__ = ["accuracy", "buffered_messages", "covariance", "frame_arrays", "inverse_covariance", "passes", "pool_stats", "run_summary", "running_median_mad", "running_quantiles", "silence_gate", "trailing_counts", "trailing_rate", "trajectory"]
 
 
 def pool_stats(values: DataFrame) -> DataFrame:
@@ -19,55 +23,6 @@ def frame_arrays(values: DataFrame) -> DataFrame:
     return values.groupBy("stream_id", "feature").agg(F.transform(rows, lambda r: r["value"]).alias("frames"))
 
 
-def covariance(vectors: DataFrame, column: str = "bands") -> DataFrame:
-    """Population covariance of every pair (i <= j) of positions, over all rows of a stream.
-
-    Every task sums the products of its own rows as one matrix a stream, so a shuffle carries one row a pair, stream and
-    task. A task's vectors of one stream count up to the shortest of them.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def sums(batches):
-        state: dict = {}
-        for batch in batches:
-            for stream, part in batch.groupby("stream_id", sort=False, dropna=False)[column]:
-                rows = [np.asarray(v, float) for v in part if v is not None and len(v)]
-                if not rows:
-                    continue
-                width = min(map(len, rows)) if stream not in state else min(len(state[stream][1]), *map(len, rows))
-                x = np.stack([r[:width] for r in rows])
-                n, total, gram = state.get(stream, (0, np.zeros(width), np.zeros((width, width))))
-                state[stream] = (n + len(x), total[:width] + x.sum(0), gram[:width, :width] + x.T @ x)
-        for stream, (n, total, gram) in state.items():
-            i, j = np.triu_indices(len(total))
-            yield pd.DataFrame({"stream_id": stream, "i": i.astype("int32"), "j": j.astype("int32"), "n": n, "x": total[i], "y": total[j], "xy": gram[i, j]})
-
-    parts = vectors.select("stream_id", column).mapInPandas(sums, "stream_id long, i int, j int, n long, x double, y double, xy double")
-    n, x, y = F.sum("n"), F.sum("x"), F.sum("y")
-    return parts.groupBy("stream_id", "i", "j").agg((F.sum("xy") / n - x / n * (y / n)).alias("cov"))
-
-
-def inverse_covariance(vectors: DataFrame, column: str = "bands") -> DataFrame:
-    """Pseudo-inverse of each stream's covariance, as rows (i, j, icov); the matrix has a vector's width.
-
-    Streams of fewer frames than values have a singular covariance; eigenvalues below 1e-10 of the largest are
-    rounding errors of its sums and count as 0."""
-    import numpy as np
-    import pandas as pd
-
-    def invert(rows: pd.DataFrame) -> pd.DataFrame:
-        n = int(rows["j"].max()) + 1
-        m = np.zeros((n, n))
-        m[rows["i"], rows["j"]] = rows["cov"]
-        m[rows["j"], rows["i"]] = rows["cov"]
-        inv = np.linalg.pinv(m, rcond=1e-10, hermitian=True)
-        i, j = np.indices((n, n)).reshape(2, -1)
-        return pd.DataFrame({"stream_id": rows["stream_id"].iloc[0], "i": i, "j": j, "icov": inv.ravel()})
-
-    return covariance(vectors, column).groupBy("stream_id").applyInPandas(invert, "stream_id long, i int, j int, icov double")
-
-
 def running_median_mad(frames: DataFrame, window: int = 64) -> DataFrame:
     """median and raw MAD of the last ``window`` x of every frame."""
     from ..functions.arrays import mad_of
@@ -77,12 +32,6 @@ def running_median_mad(frames: DataFrame, window: int = 64) -> DataFrame:
     return rows.select("stream_id", "frame_idx", "median", mad_of(F.col("_w"), F.col("median")).alias("mad"))
 
 
-def running_quantiles(frames: DataFrame, q_hi: float = 0.98, q_lo: float = 0.8) -> DataFrame:
-    """Exact quantiles of all x so far."""
-    by = Window.partitionBy("stream_id").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0)
-    return frames.select("stream_id", "frame_idx", F.percentile("x", F.lit(q_hi)).over(by).alias("hi"), F.percentile("x", F.lit(q_lo)).over(by).alias("lo"))
-
-
 def trailing_rate(hits: DataFrame, seconds: int = 10) -> DataFrame:
     """total so far, hits in the last ``seconds`` (lower end excluded) and their rate, for (stream_id, instrument, t_us)."""
     by = Window.partitionBy("stream_id", "instrument").orderBy("t_us")
@@ -91,6 +40,15 @@ def trailing_rate(hits: DataFrame, seconds: int = 10) -> DataFrame:
     return hits.select("stream_id", "instrument", "t_us", total.alias("total"), recent.alias("recent"), (recent / seconds).alias("rate"))
 
 
+def trailing_counts(events: DataFrame, seconds: int = 10) -> DataFrame:
+    """total so far, recent (of the last ``seconds``, lower end excluded) and its rate at every row of (stream_id, instrument, t_us, n), where
+    a row stands for n hits or predictions; rows of one moment see each other."""
+    by = Window.partitionBy("stream_id", "instrument").orderBy("t_us")
+    recent = F.sum("n").over(by.rangeBetween(-(seconds * 1_000_000 - 1), 0))
+    total = F.sum("n").over(by.rangeBetween(Window.unboundedPreceding, 0))
+    return events.select("stream_id", "instrument", "t_us", total.cast("long").alias("total"), recent.cast("long").alias("recent"), (recent / seconds).alias("rate"))
+
+
 def passes(x: Column, params: BufferParams) -> Column:
     """Whether a value passes the threshold in the mode of ``params``."""
     return {"always": F.lit(True), "above": x >= params.threshold, "below": x <= params.threshold}[params.threshold_mode]
@@ -119,10 +77,11 @@ def silence_gate(chunks: DataFrame, least: float = 0.001, free: int = 9) -> Data
 
 
 def accuracy(predictions: DataFrame, hits: DataFrame) -> DataFrame:
-    """For every prediction the next hit of its instrument at or after it (as-of by one sorted window, no range join),
+    """For every prediction the next hit of its instrument at or after it (as-of by sorted windows, no range join),
     the last one before it, the smaller absolute error, and whether a hit lies in its interval.
 
-    Containment needs the first hit from ci_low on, so each prediction enters the sort twice.
+    Containment needs the first hit from ci_low on, so each prediction enters the sorts twice. Both windows only grow: one looks
+    back over ascending, one over descending times, so a key's work is linear in its rows once they are sorted.
     """
     key = ["stream_id", "instrument"]
     p = predictions.select(*key, "frame_idx", "hit_index", "t_pred_sec", "ci_low_sec", "ci_high_sec")
@@ -130,9 +89,9 @@ def accuracy(predictions: DataFrame, hits: DataFrame) -> DataFrame:
     hit_rows = hits.select(*key, F.col("t").alias("at"), F.lit(1).alias("kind"), F.col("t").alias("hit_t"), none("long").alias("frame_idx"), none("int").alias("hit_index"), none("double").alias("t_pred_sec"), none("double").alias("ci_low_sec"), none("double").alias("ci_high_sec"))
     as_row = lambda at, kind: p.select(*key, F.col(at).alias("at"), F.lit(kind).alias("kind"), none("double").alias("hit_t"), "frame_idx", "hit_index", "t_pred_sec", "ci_low_sec", "ci_high_sec")
     rows = hit_rows.unionByName(as_row("t_pred_sec", 0)).unionByName(as_row("ci_low_sec", -1))
-    by = Window.partitionBy(*key).orderBy("at", "kind")
-    after = F.first("hit_t", ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
-    before = F.last("hit_t", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    sofar = (Window.unboundedPreceding, Window.currentRow)
+    after = F.last("hit_t", ignorenulls=True).over(Window.partitionBy(*key).orderBy(F.desc("at"), F.desc("kind")).rowsBetween(*sofar))
+    before = F.last("hit_t", ignorenulls=True).over(Window.partitionBy(*key).orderBy("at", "kind").rowsBetween(*sofar))
     seen = rows.select("*", after.alias("next_hit"), before.alias("last_hit")).where("kind <= 0")
     merged = seen.groupBy(*key, "frame_idx", "hit_index", "t_pred_sec").agg(
         F.max(F.when(F.col("kind") == 0, F.col("next_hit"))).alias("next_hit"),

@@ -149,15 +149,19 @@ class NoParams:
 
 @dataclass(frozen=True)
 class CutterParams:
+    """``chunk_size``: samples of every chunk but a stream's last, if they are all alike; 0 if not."""
+
     frame_size: int = 1024
     hop_size: int = 256
     sample_rate: float = 44100.0
     silent_frames: str = "keep"
     pad: bool = False
+    seed: int = 0
+    chunk_size: int = 0
 
     def __post_init__(self):
         _check(self, frame_size=(1, 1e9), hop_size=(1, 1e9), sample_rate=(1e-9, 1e9))
-        _choice(self, "silent_frames", ("keep", "drop"))
+        _choice(self, "silent_frames", ("keep", "drop", "noise"))
 
 
 @dataclass(frozen=True)

@@ -234,3 +234,7 @@ ORACLE_SQL = {
     select frame_idx, peak_bin, peak_band, 13 as n_mfcc, round(top_band, 9) as top_band, round(c0, 4) as c0, round(c1, 4) as c1 from peak join cep using (frame_idx)""",
     "test_patterns": "select r_regionkey::bigint as event_id, cast(1700000000 + r_regionkey // 2 as bigint) as unix_time, cast(r_regionkey % 2 * 500000 as bigint) as microseconds, (r_regionkey % 3 = 0)::integer as r, (r_regionkey % 3 = 1)::integer as g, (r_regionkey % 3 = 2)::integer as b from region",
 }
+
+from . import front_sql  # noqa: E402  (its SQL uses what stands above)
+
+ORACLE_SQL |= front_sql.ORACLE_SQL

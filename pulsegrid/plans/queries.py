@@ -530,3 +530,8 @@ def predictor_states(spark, sf_dir):
     out = tracking.instrument_predictor(gate_frames(spark, sf_dir), PREDICTOR)
     each = out.select("stream_id", "frame_idx", F.explode("predictions").alias("p"))
     return each.select("stream_id", "frame_idx", "p.instrument", r6("p.tempo_bpm").alias("tempo_bpm"), r6("p.period_sec").alias("period_sec"), r6("p.phase").alias("phase"), "p.warmup_complete", F.size("p.hits").alias("n_hits"))
+
+
+from . import front  # noqa: E402  (its queries use what stands above)
+
+QUERIES |= front.QUERIES

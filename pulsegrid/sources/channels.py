@@ -1,7 +1,8 @@
 """Channels of messages: streams of JSON texts by topic in, publishers out, over Spark's own file source and sinks.
 
-A channel is a folder of text files below ``topic=<name>``. Publishing is idempotent: each micro-batch owns one folder, which
-a repeated batch overwrites, so readers see every message once however often a batch is retried.
+A channel is a folder of text files below ``topic=<name>``. Each micro-batch owns one folder; one that was written to its end is never
+written again, so a batch that is retried then doubles nothing, whether readers have been there or not. A batch that failed half-way is
+written anew, and readers may have seen some of it: ``sources/exchange.py`` has channels whose readers only see what is committed.
 """
 
 from __future__ import annotations
@@ -39,6 +40,10 @@ def publisher(path: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that publishes rows of (topic, payload); null payloads are left out."""
 
     def write(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={batch_id}/_SUCCESS")
+        if mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+            return
         rows.where("payload is not null").select(F.col("payload").alias("value"), "topic").write.mode("overwrite").partitionBy("topic").text(f"{path}/batch={batch_id}")
 
     return write

@@ -1,12 +1,14 @@
 """Audio samples as a Spark data source: ``spark.read.format("pulsegrid_samples")`` and ``readStream`` with the same rows.
 
-Files hold little-endian float32 samples of one channel. A row is one chunk of ``chunk`` samples: path, stream_id (the
-file's place in the sorted list), chunk_idx and samples; a trailing shorter chunk comes last in a batch and waits in a stream.
+Files hold little-endian float32 samples of one channel. A row is one chunk of ``chunk`` samples: path, stream_id (a hash of the
+path), chunk_idx and samples; a trailing shorter chunk comes last in a batch and waits in a stream. What else lies in the folder, or
+comes later, never changes a file's id.
 """
 
 from __future__ import annotations
 
 import glob
+import hashlib
 import os
 from collections.abc import Iterator
 
@@ -16,6 +18,11 @@ SCHEMA = "stream_id long, path string, chunk_idx long, samples array<float>"
 _BYTES = 4
 
 
+def stream_id(path: str) -> int:
+    """63 bits of the path's SHA-256: the same in every query, batch or stream."""
+    return int.from_bytes(hashlib.sha256(path.encode()).digest()[:8], "big") >> 1
+
+
 class Chunks(InputPartition):
     """Chunks ``first`` to ``last`` (exclusive) of one file."""
 
@@ -66,9 +73,9 @@ class _Batch(DataSourceReader):
 
     def partitions(self) -> list[Chunks]:
         out = []
-        for i, path in enumerate(sorted(glob.glob(self.path))):
+        for path in sorted(glob.glob(self.path)):
             n = -(-(os.path.getsize(path) // _BYTES) // self.chunk)
-            out += [Chunks(i, path, a, min(n, a + self.per_task)) for a in range(0, n, self.per_task)]
+            out += [Chunks(stream_id(path), path, a, min(n, a + self.per_task)) for a in range(0, n, self.per_task)]
         return out
 
     def read(self, partition: Chunks) -> Iterator[tuple]:
@@ -94,9 +101,9 @@ class _Stream(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Chunks]:
         self.reached = {**self.reached, **{p: max(n, self.reached.get(p, 0)) for p, n in end.items()}}
         out = []
-        for i, path in enumerate(sorted(end)):
+        for path in sorted(end):
             first, last = start.get(path, 0), end[path]
-            out += [Chunks(i, path, a, min(last, a + self.per_task)) for a in range(first, last, self.per_task)]
+            out += [Chunks(stream_id(path), path, a, min(last, a + self.per_task)) for a in range(first, last, self.per_task)]
         return out
 
     def read(self, partition: Chunks) -> Iterator[tuple]:
