@@ -10,7 +10,16 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..functions import arrays
 from ..sources import messages, tables
-from . import aggregates, device, dsp, gates, lighting, tracking
+from . import aggregates, device, dsp, frames, gates, lighting, tracking
+
+
+def _cut(df: DataFrame, p: P.CutterParams) -> DataFrame:
+    """Frames across numbered chunks of a stream, or of each row's samples alone."""
+    if "chunk_idx" in df.columns:
+        return frames.chunk_frames(df, p)
+    out = tables.cut_frames(df, p.frame_size, p.hop_size, silent="drop" if p.silent_frames == "drop" else "keep", pad=p.pad)
+    return frames.with_noise(out, p.hop_size, p.seed) if p.silent_frames == "noise" else out
+
 
 REGISTRY: dict[str, tuple[type, Callable[..., DataFrame]]] = {
     "HitGateOnset": (P.OnsetParams, gates.onset_gate),
@@ -21,7 +30,7 @@ REGISTRY: dict[str, tuple[type, Callable[..., DataFrame]]] = {
     "LightingEngine": (P.LightingParams, lighting.commands),
     "BeatPredictorKF": (P.BeatParams, tracking.beat_kalman),
     "DeviceQueue": (P.QueueParams, device.device_queue),
-    "FrameCutter": (P.CutterParams, lambda df, p: tables.cut_frames(df, p.frame_size, p.hop_size, silent=p.silent_frames, pad=p.pad)),
+    "FrameCutter": (P.CutterParams, lambda df, p: _cut(df, p)),
     "Windowing": (P.CutterParams, lambda df, p: dsp.windowed(df, p.frame_size)),
     "Spectrum": (P.NoParams, lambda df, p: dsp.spectrum(df)),
     "MelBands": (P.MelParams, lambda df, p: dsp.mel_bands(df, p.bands, p.sample_rate)),

@@ -88,7 +88,7 @@ def onset_gate_segments(spark, sf_dir):
 @query
 def p2_quantiles(spark, sf_dir):
     """The two running quantiles by five moving markers each."""
-    return quantiles.running_quantiles(event_frames(spark, sf_dir), exact=False).select("stream_id", "frame_idx", r6("hi").alias("hi"), r6("lo").alias("lo"))
+    return quantiles.running_quantiles(event_frames(spark, sf_dir), exact=False).select("stream_id", "frame_idx", F.round("hi", 9).alias("hi"), F.round("lo", 9).alias("lo"))
 
 
 @query

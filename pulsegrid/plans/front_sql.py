@@ -91,7 +91,7 @@ ORACLE_SQL = {
     "quantile_gate_segments": oracle.ORACLE_SQL["quantile_gate"],
     "clock_offset_segments": oracle.ORACLE_SQL["clock_offset"],
     "onset_gate_segments": f"with recursive {oracle.onset(Q.SEGMENT_ONSET)} select stream_id, frame_idx, hit from gated",
-    "p2_quantiles": f"with recursive {F}, numbered as (select stream_id, frame_idx, frame_idx + 1 as c, x from f), {p2(0.98, 'hi')}, {p2(0.8, 'lo')} select stream_id, frame_idx, round(a.v, 6) as hi, round(b.v, 6) as lo from hi_value a join lo_value b using (stream_id, frame_idx)",
+    "p2_quantiles": f"with recursive {F}, numbered as (select stream_id, frame_idx, frame_idx + 1 as c, x from f), {p2(0.98, 'hi')}, {p2(0.8, 'lo')} select stream_id, frame_idx, round(a.v, 9) as hi, round(b.v, 9) as lo from hi_value a join lo_value b using (stream_id, frame_idx)",
     "quantile_sketch": f"with {F} select event_type, count(x) as n, true as median_near, true as high_near from f group by 1",
     "hit_matches": f"with recursive {_MATCHED} select stream_id, instrument, t_pred, t_hit, frame_idx, hit_index from matched",
     "match_report": f"""with recursive {_MATCHED}, c as (select stream_id, instrument, count(t_pred) as n_predictions, count(t_hit) as n_hits, count(t_pred + t_hit) as n_pairs, avg(t_hit - t_pred) as e, avg(abs(t_hit - t_pred)) as ae from matched group by 1, 2)

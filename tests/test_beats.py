@@ -76,7 +76,9 @@ def test_registry_knows_every_operator(spark):
     assert len(cut.first()["spectrum"]) == 3
     for name in registry.REGISTRY:
         assert callable(registry.create(name))
-    for bad in ({"frame_size": 0}, {"silent_frames": "noise"}):
+    silent = spark.createDataFrame([(1, 0, [0.0] * 3), (1, 1, [0.0] * 5)], "stream_id long, chunk_idx long, samples array<double>").transform(registry.create("FrameCutter", frame_size=4, hop_size=4, silent_frames="noise"))
+    assert sorted(r["frame_idx"] for r in silent.collect()) == [0, 1] and all(any(r["frame"]) for r in silent.collect())
+    for bad in ({"frame_size": 0}, {"silent_frames": "loud"}):
         with pytest.raises(ValueError):
             registry.create("FrameCutter", **bad)
 

@@ -124,11 +124,12 @@ def test_sample_source(spark, tmp_path):
     (x[:300] + 0.5).astype("<f4").tofile(tmp_path / "b.f32")
     samples.register(spark)
     load = lambda r: r.format("pulsegrid_samples").option("path", str(tmp_path / "*.f32")).option("chunk", 256).option("chunks_per_task", 2)
-    got = {(r["stream_id"], r["chunk_idx"]): r["samples"] for r in load(spark.read).load().collect()}
+    name = {samples.stream_id(str(tmp_path / f)): i for i, f in enumerate(("a.f32", "b.f32"))}
+    got = {(name[r["stream_id"]], r["chunk_idx"]): r["samples"] for r in load(spark.read).load().collect()}
     assert sorted(got) == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 0), (1, 1)] and got[0, 3] == x[768:].tolist() and len(got[1, 1]) == 44
     (tmp_path / "w").mkdir()
     streamed = drained(load(spark.readStream).option("max_chunks_per_trigger", 2).load(), tmp_path / "w")
-    assert sorted((r[0], r[2]) for r in streamed) == [(0, 0), (0, 1), (0, 2), (1, 0)] and all(len(r[3]) == 256 for r in streamed)
+    assert sorted((name[r[0]], r[2]) for r in streamed) == [(0, 0), (0, 1), (0, 2), (1, 0)] and all(len(r[3]) == 256 for r in streamed)
     with pytest.raises(Exception, match="positive"):
         spark.read.format("pulsegrid_samples").option("path", "x").option("chunk", 0).load().collect()
 
