@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytekernel as bk
+from .storage import drop, written
 
 U = np.uint64
 PIECE = 8
@@ -212,11 +213,20 @@ class HeadIndex:
         return row, self.item[piece], at - self.start[piece]
 
 
-def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int | None, bytes, int]]]:
-    """(id, normalised text, repeats) of all items in blocks of bounded size; items whose normal form is empty are left out."""
-    named = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").groupBy("id", "text").agg(F.count(F.lit(1)).alias("n"))
-    total = named.agg(F.sum(F.octet_length("text") + ITEM_BYTES)).first()[0] or 0
-    n = -(-int(total) // block_bytes)
+def _named_items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").groupBy("id", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+def block_count(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = 0) -> int:
+    """How many blocks of ``block_bytes`` (default: BLOCK_BYTES) the items fill."""
+    total = _named_items(benchmark, id_col, text_col).agg(F.sum(F.octet_length("text") + ITEM_BYTES)).first()[0] or 0
+    return -(-int(total) // (block_bytes or BLOCK_BYTES))
+
+
+def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = 0, n: int | None = None) -> Iterator[list[tuple[int | None, bytes, int]]]:
+    """(id, normalised text, repeats) of all items in ``n`` blocks (default: ``block_count``); items whose normal form is empty are left out."""
+    n = block_count(benchmark, id_col, text_col, block_bytes) if n is None else n
+    named = _named_items(benchmark, id_col, text_col)
     for b in range(n):
         rows = (named if n == 1 else named.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b)).collect()
         data, off = normalised(pa.array([r["text"] for r in rows], pa.string()))
@@ -245,10 +255,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, params: MatchParams | None =
 
     Null and empty texts and items match nothing; repeated documents and items each give their row, those
     without an id a row with null. Of equally good matches the first counts. Other columns are ignored.
+    A benchmark of several blocks is searched block by block: each one's matches are written and its index is
+    destroyed before the next one is built, so driver and executors hold one block at a time.
     """
     params = params or MatchParams()
-    spark, out = docs.sparkSession, None
-    for items in item_blocks(benchmark):
+    spark, out, n = docs.sparkSession, None, block_count(benchmark)
+    for items in item_blocks(benchmark, n=n):
         index = spark.sparkContext.broadcast(PieceIndex(items, params))  # at most BLOCK_BYTES of items
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
@@ -258,16 +270,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, params: MatchParams | None =
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "distance", "match_end"])
 
         part = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, item_id long, distance long, match_end long")
+        if n > 1:
+            part = written(part, "matches")
+            index.destroy()
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, distance long, match_end long")
 
 
 def without_matches(docs: DataFrame, benchmark: DataFrame, params: MatchParams | None = None, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no item; nothing is shuffled."""
+    """The rows of ``docs``, all columns, that hold no item; nothing is shuffled. What a block of several leaves is written, as in ``matches``."""
     params = params or MatchParams()
     spark, schema = docs.sparkSession, T.StructType(docs.schema.fields)
-    at = docs.columns.index(text_col)
-    for items in item_blocks(benchmark):
+    at, n, ours = docs.columns.index(text_col), block_count(benchmark), []
+    for items in item_blocks(benchmark, n=n):
         index = spark.sparkContext.broadcast(PieceIndex(items, params))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
@@ -277,4 +292,9 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, params: MatchParams |
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, schema)
+        if n > 1:
+            docs = written(docs, "unmatched")
+            index.destroy()
+            drop(*ours)
+            ours = [docs]
     return docs

@@ -89,6 +89,21 @@ def test_item_blocks(spark, monkeypatch):
     assert len(blocks) > 2 and sorted(i for x in blocks for i, _, _ in x) == list(range(40))
 
 
+def test_several_blocks_give_the_rows_of_one(spark, monkeypatch):
+    """Block by block: same matches, same rows left, and the caller's own table stays."""
+    rng = random.Random(9)
+    items = [(i, " ".join("".join(rng.choice("abcdefg") for _ in range(6)) for _ in range(8))) for i in range(12)]
+    docs = [(i, "before " + edited(rng, items[i % 12][1], 3) + " after" if i % 3 else "nothing of the kind in here") for i in range(40)]
+    b, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    own = D.written(d, "own-documents")
+    want, left = sorted(map(tuple, D.matches(d, b).collect())), sorted(map(tuple, D.without_matches(own, b).collect()))
+    monkeypatch.setattr(D, "BLOCK_BYTES", 4_000)
+    assert D.block_count(b) > 2 and len(want) > 20
+    assert sorted(map(tuple, D.matches(d, b).collect())) == want
+    assert sorted(map(tuple, D.without_matches(own, b).collect())) == left
+    assert own.count() == 40
+
+
 def test_windows():
     data = np.frombuffer(b"abcdefghij", np.uint8)
     assert int(D.windows(data)[1]).to_bytes(8, "little") == b"bcdefghi"
