@@ -20,7 +20,7 @@ from .storage import written
 RULES = (
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
-    ("block", "net", "/de/"),
+    ("allow", "net", "/de/"),
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
