@@ -15,18 +15,17 @@ import pickle
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..params import OnsetParams, QuantileParams
 from .gates import OnsetGate
-from .scan import ordered_scan
+from .scan import ordered_scan, sliding_mean
 
 LENGTH = 1 << 16
 _MAP = T.StructType([T.StructField("stream_id", T.LongType()), T.StructField("segment", T.LongType()), T.StructField("map", T.BinaryType())])
-_ENTRY = "stream_id long, segment long, entry binary"
+_ENTRY = T.StructType([*_MAP.fields[:2], T.StructField("entry", T.BinaryType())])
 _D, _L = T.DoubleType(), T.LongType()
 
 
@@ -194,16 +193,16 @@ class _Gathered:
     """Rows of one segment as arrays, handed over when the segment ends; a segment is bounded."""
 
     def __init__(self, columns: tuple[str, ...]):
-        self.columns, self.parts, self.key = columns, [], None
+        self.columns, self.parts = columns, []
 
-    def process(self, rows: pd.DataFrame) -> None:
-        if len(rows):
-            self.key = (int(rows["stream_id"].iloc[0]), int(rows["segment"].iloc[0]))
-            self.parts.append(rows)
+    def scan(self, rows: dict[str, np.ndarray]) -> None:
+        self.parts.append(rows)
 
-    def rows(self) -> tuple[pd.DataFrame, dict[str, np.ndarray]]:
-        whole = pd.concat(self.parts, ignore_index=True)
-        return whole, {c: whole[c].to_numpy(float) for c in self.columns}
+    def whole(self, name: str) -> np.ndarray:
+        return self.parts[0][name] if len(self.parts) == 1 else np.concatenate([p[name] for p in self.parts])
+
+    def rows(self) -> dict[str, np.ndarray]:
+        return {c: self.whole(c).astype(float, copy=False) for c in self.columns}
 
 
 class _Summaries(_Gathered):
@@ -211,12 +210,26 @@ class _Summaries(_Gathered):
         super().__init__(recurrence.columns)
         self.recurrence = recurrence
 
-    def process(self, rows):
-        super().process(rows)
-        return pd.DataFrame(columns=_MAP.names)
+    def ends(self) -> dict:
+        first = self.parts[0]
+        return {"stream_id": first["stream_id"][:1], "segment": first["segment"][:1], "map": [pickle.dumps(self.recurrence.summary(self.rows()))]}
+
+
+class _Entries:
+    """States that a stream's segments start in, from their maps in order."""
 
-    def finish(self) -> pd.DataFrame:
-        return pd.DataFrame([(*self.key, pickle.dumps(self.recurrence.summary(self.rows()[1])))], columns=_MAP.names)
+    def __init__(self, recurrence):
+        self.recurrence, self.state = recurrence, recurrence.start()
+
+    def scan(self, rows: dict[str, np.ndarray]) -> dict:
+        entries = []
+        for made in rows["map"]:
+            entries.append(pickle.dumps(self.state))
+            self.state = self.recurrence.after(pickle.loads(made), self.state)
+        return {"stream_id": rows["stream_id"], "segment": rows["segment"], "entry": entries}
+
+    def ends(self) -> None:
+        return None
 
 
 class _Runs(_Gathered):
@@ -224,14 +237,9 @@ class _Runs(_Gathered):
         super().__init__(recurrence.columns)
         self.recurrence = recurrence
 
-    def process(self, rows):
-        super().process(rows)
-        return pd.DataFrame(columns=["stream_id", "frame_idx", *self.recurrence.outputs])
-
-    def finish(self) -> pd.DataFrame:
-        whole, columns = self.rows()
-        made = self.recurrence.run(columns, pickle.loads(whole["entry"].iloc[0]))
-        return whole[["stream_id", "frame_idx"]].assign(**made)
+    def ends(self) -> dict:
+        made = self.recurrence.run(self.rows(), pickle.loads(self.parts[0]["entry"][0]))
+        return {"stream_id": self.whole("stream_id"), "frame_idx": self.whole("frame_idx"), **made}
 
 
 def _segmented(frames: DataFrame, length: int) -> DataFrame:
@@ -247,14 +255,7 @@ def segmented_scan(frames: DataFrame, recurrence, length: int = LENGTH) -> DataF
     key = ["stream_id", "segment"]
     maps = ordered_scan(rows, key, ["frame_idx"], lambda: _Summaries(recurrence), _MAP)
 
-    def enter(made: pd.DataFrame) -> pd.DataFrame:
-        state, out = recurrence.start(), []
-        for r in made.sort_values("segment").itertuples():
-            out.append((r.stream_id, r.segment, pickle.dumps(state)))
-            state = recurrence.after(pickle.loads(r.map), state)
-        return pd.DataFrame(out, columns=["stream_id", "segment", "entry"])
-
-    entries = maps.groupBy("stream_id").applyInPandas(enter, _ENTRY)
+    entries = ordered_scan(maps, ["stream_id"], ["segment"], lambda: _Entries(recurrence), _ENTRY)
     schema = T.StructType([T.StructField("stream_id", _L), T.StructField("frame_idx", _L), *[T.StructField(n, t) for n, t in recurrence.outputs.items()]])
     return ordered_scan(rows.join(entries, key), key, ["frame_idx"], lambda: _Runs(recurrence), schema)
 
@@ -266,15 +267,10 @@ class _Halo(_Gathered):
         super().__init__(columns)
         self.fn, self.outputs = fn, outputs
 
-    def process(self, rows):
-        super().process(rows)
-        return pd.DataFrame(columns=["stream_id", "frame_idx", *self.outputs])
-
-    def finish(self) -> pd.DataFrame:
-        whole, columns = self.rows()
-        own = whole["own"].to_numpy(bool)
-        made = self.fn(columns, whole["frame_idx"].to_numpy())
-        return whole.loc[own, ["stream_id", "frame_idx"]].assign(**{n: v[own] for n, v in made.items()})
+    def ends(self) -> dict:
+        own, at = self.whole("own").astype(bool), self.whole("frame_idx")
+        made = self.fn(self.rows(), at)
+        return {"stream_id": self.whole("stream_id")[own], "frame_idx": at[own], **{n: v[own] for n, v in made.items()}}
 
 
 def halo_scan(frames: DataFrame, columns: tuple[str, ...], before: int, fn: Callable[[dict, np.ndarray], dict], outputs: dict[str, T.DataType], length: int = LENGTH) -> DataFrame:
@@ -337,8 +333,6 @@ def onset_gate(frames: DataFrame, params: OnsetParams = OnsetParams(), length: i
     def edges(c: dict, at: np.ndarray) -> dict:
         gate = OnsetGate(params)  # a new one: its windows fill from the halo
         joined, before = gate.odf_tail.extend(c["odf"])
-        from .scan import sliding_mean
-
         smoothed = sliding_mean(joined, before, p.smooth_window)
         return {"candidate": gate.edges(smoothed, gate.thresholds(smoothed)).astype(float)}
 
