@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,30 +34,29 @@ class Sweep:
     def _expired(self, item) -> tuple:
         return self._row(None, item) if self.kind == _HIT else self._row(item, None)
 
-    def process(self, rows: pd.DataFrame) -> pd.DataFrame:
+    def scan(self, rows: dict[str, np.ndarray]) -> dict[str, list] | None:
         out = []
-        if len(rows):
-            self.key = tuple(rows[c].iloc[0] for c in ("stream_id", "instrument"))
+        stream, instrument = rows["stream_id"][0], rows["instrument"][0]
+        self.key = (None if stream != stream else int(stream), instrument)
         at = lambda item: item if self.kind == _HIT else item[0]
         for t, kind, frame, index in zip(rows["at"].tolist(), rows["kind"].tolist(), rows["frame_idx"].tolist(), rows["hit_index"].tolist()):
             while self.open and t - at(self.open[0]) > self.tolerance:
                 out.append(self._expired(self.open.popleft()))
-            item = t if kind == _HIT else (t, frame, index)
+            item = t if kind == _HIT else (t, int(frame), int(index))
             if self.open and self.kind != kind:
                 other = self.open.popleft()
                 out.append(self._row(other, t) if kind == _HIT else self._row(item, other))
             else:
                 self.kind = kind
                 self.open.append(item)
-        return self._frame(out)
+        return self._columns(out)
 
-    def finish(self) -> pd.DataFrame:
-        return self._frame([self._expired(item) for item in self.open])
+    def ends(self) -> dict[str, list] | None:
+        return self._columns([self._expired(item) for item in self.open])
 
     @staticmethod
-    def _frame(rows: list) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=MATCH.names)
-        return out.astype({"t_pred": float, "t_hit": float, "frame_idx": "Int64", "hit_index": "Int32"})
+    def _columns(rows: list) -> dict[str, list] | None:
+        return dict(zip(MATCH.names, map(list, zip(*rows)))) if rows else None
 
 
 def matches(predictions: DataFrame, hits: DataFrame, tolerance: float = 0.05) -> DataFrame:
