@@ -53,12 +53,11 @@ def noise_frames(spark, sf_dir):
 @query
 def front_end(spark, sf_dir):
     """Spectrum, mel bands and cepstrum of frames across chunks: strongest bin and band, and the first two cepstral terms."""
-    spec = dsp.spectrum(dsp.windowed(frames.chunk_frames(chunks_of(spark, sf_dir), FRONT), FRONT.frame_size))
+    cep = dsp.front(dsp.windowed(frames.chunk_frames(chunks_of(spark, sf_dir), FRONT), FRONT.frame_size), FRONT_BANDS, FRONT.sample_rate)
     peak = (F.array_position("spectrum", F.array_max("spectrum")) - 1).alias("peak_bin")
-    cep = dsp.mfcc(dsp.mel_bands(spec.withColumn("peak_bin", peak), FRONT_BANDS, FRONT.sample_rate))
     top = F.array_max("bands")
     term = lambda i: F.round(F.get("mfcc", F.lit(i)), 4)
-    return cep.select("stream_id", "frame_idx", "peak_bin", (F.array_position("bands", top) - 1).alias("peak_band"), F.round(top, 9).alias("top_band"), term(0).alias("c0"), term(1).alias("c1"))
+    return cep.select("stream_id", "frame_idx", peak, (F.array_position("bands", top) - 1).alias("peak_band"), F.round(top, 9).alias("top_band"), term(0).alias("c0"), term(1).alias("c1"))
 
 
 @query
