@@ -60,7 +60,8 @@ class GateBank:
         self.gates = [OnsetGate(p) for p in params]
 
     def process(self, rows: pd.DataFrame) -> dict:
-        x = np.array([list(v) if v is not None and len(v) == len(self.gates) else [0.0] * len(self.gates) for v in rows["_sums"]], float).reshape(len(rows), len(self.gates))
+        none = np.zeros(len(self.gates))
+        x = np.array([v if v is not None and len(v) == len(self.gates) else none for v in rows["_sums"]], float).reshape(len(rows), len(self.gates))
         hits = np.stack([g.process(pd.DataFrame({"x": x[:, i]}))["hit"] for i, g in enumerate(self.gates)], axis=1)
         return {"_gates": hits.astype(float).tolist()}
 
@@ -164,8 +165,13 @@ class Graph:
         readers += [lies[p] for p in wanted or ()]
         tables: list[DataFrame] = [rows.select(*ROW, *self.source)]
         kept: set[int] = set()
-        for n, at, to in plan:
+        for i, (n, at, to) in enumerate(plan):
             operator, inputs = self.nodes[n]
+            # Only ports that are still to be read go on: a scan would carry frames and spectra through Python else.
+            read = {p for m, _, _ in plan[i:] for p in self.nodes[m][1].values()} | set(lies if wanted is None else wanted)
+            for k in at:
+                if k not in kept:
+                    tables[k] = tables[k].select(*ROW, *[c for c in tables[k].columns if c in {_column(p) for p in read}])
             if to == len(tables):
                 for k in at:
                     if keep and k not in kept and readers.count(k) > 1:

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import aggregates, frames, gates, graph, matching, moments, quantiles, segments, tracking
+from pulsegrid.operators import aggregates, dsp, frames, gates, graph, matching, moments, quantiles, segments, tracking
 from pulsegrid.params import CutterParams, OnsetParams, PredictorParams, QuantileParams
 
 CHUNKS = "stream_id long, chunk_idx long, samples array<double>"
@@ -347,3 +347,32 @@ def test_ports_on_different_rows_meet(spark):
     g = graph.Graph(("s",)).add("thin", thin, a="s").add("twice", graph.column_operator(("a",), "b", lambda a: a * 2), a="s").add("sum", add, l="thin.b", r="twice.b")
     rows = spark.range(6).selectExpr("1L as stream_id", "id as frame_idx", "id as s")
     assert sorted((r[1], r[2]) for r in g.build(rows, ("sum.sum",))["sum.sum"].collect()) == [(0, 0), (2, 6), (4, 12)]
+
+
+def test_front_end_in_one_pass(spark):
+    """Spectra, bands and cepstra together are those of numpy row by row; null and empty frames give empty ones; one Python step."""
+    rng = np.random.default_rng(3)
+    given = [rng.random(128).tolist(), None, [], rng.random(64).tolist(), [0.0] * 128, rng.random(128).tolist()]
+    df = spark.createDataFrame(list(enumerate(given)), "frame_idx long, frame array<double>").coalesce(1)
+    made = dsp.front(df, 20, 44100.0)
+    assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    for i, spec, bands, cep in made.select("frame_idx", "spectrum", "bands", "mfcc").collect():
+        if not given[i]:
+            assert spec == bands == cep == []
+            continue
+        want = np.abs(np.fft.rfft(given[i]))
+        band = dsp.mel_filters(20, len(want), 44100.0) @ want**2
+        basis = np.cos(np.pi * np.arange(13)[:, None] * (2 * np.arange(20) + 1) / 40) * np.sqrt(2 / 20) / np.where(np.arange(13) == 0, np.sqrt(2), 1)[:, None]
+        assert np.allclose(spec, want, rtol=1e-12, atol=1e-12) and np.allclose(bands, band, rtol=1e-12, atol=1e-12)
+        assert np.allclose(cep, basis @ (10 * np.log10(np.maximum(1e-10, band))), rtol=1e-9, atol=1e-9)
+    assert dsp.mel_bands(dsp.spectrum(df), 20).where("size(bands) = 20").count() == 4
+
+
+def test_scans_of_a_graph_carry_only_what_is_read(spark, monkeypatch):
+    """The gates' scan gets sums; frames, spectra and bands, which nothing reads behind it, stay out of Python."""
+    seen, real = [], graph.ordered_scan
+    monkeypatch.setattr(graph, "ordered_scan", lambda rows, *a: seen.append(rows.schema) or real(rows, *a))
+    rows = spark.createDataFrame([(1, 0, [0.5] * 64)], "stream_id long, frame_idx long, samples array<double>")
+    ports = graph.live_graph().build(rows, ("pack.gates", "instruments.sums"))
+    assert [f.name for f in seen[0]["_kept"].dataType] == ["instruments_sums"]
+    assert {p: set(df.columns) for p, df in ports.items()} == {"pack.gates": {"stream_id", "frame_idx", "pack_gates"}, "instruments.sums": {"stream_id", "frame_idx", "instruments_sums"}}
