@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +17,8 @@ from ..params import INSTRUMENTS, BeatParams, PredictorParams
 from .scan import ordered_scan
 
 MAD_SCALE = 1.4826
+#: Rows whose messages are in Python at a time.
+ROWS = 1024
 
 
 def _median(values: list[float]) -> float:
@@ -77,22 +82,27 @@ class Tracker:
         self.confidence = min(1.0, max(0.0, 0.4 * locked + 0.3 * steady + 0.3 * fresh))
         return self.confidence
 
+    def tempo(self) -> float:
+        return 60.0 / self.period if self.period > 1e-6 else 0.0
+
     def sigma(self) -> float:
         s = math.hypot(self.phase * math.sqrt(max(0.0, self.p00)), self.period * math.sqrt(max(0.0, self.p11)))
         if self.mad > 0:
             s = math.sqrt(s * s + 0.25 * self.mad**2)
         return max(0.001, s)
 
-    def forecast(self, now: float) -> list[dict]:
-        hits: list[dict] = []
+    def forecast(self, now: float) -> list[tuple]:
+        hits: list[tuple] = []
         if not self.warm or self.period < 1e-6:
             return hits
-        t, index = now + (1 - self.phase) * self.period, 1
-        while index <= self.p.max_predictions and t <= now + self.p.horizon_seconds:
-            belief = self.belief(now)
+        t, index, end = now + (1 - self.phase) * self.period, 1, now + self.p.horizon_seconds
+        if self.p.max_predictions < 1 or not t <= end:
+            return hits
+        belief = self.belief(now)  # one for all hits of a message, like their spread
+        s = 1.96 * self.sigma()
+        while index <= self.p.max_predictions and t <= end:
             if belief >= self.p.confidence_min:
-                s = 1.96 * self.sigma()
-                hits.append({"t_pred_sec": t, "ci_low_sec": t - s, "ci_high_sec": t + s, "confidence": belief, "hit_index": index})
+                hits.append((t, t - s, t + s, belief, index))
             t, index = t + self.period, index + 1
         return hits
 
@@ -112,34 +122,73 @@ class InstrumentPredictor:
         self.p, self.frame, self.last_emit = params, 0, None
         self.trackers = [Tracker(params) for _ in INSTRUMENTS]
 
+    def step(self, gates) -> tuple[float, list[list[tuple]]] | None:
+        """Time and each tracker's forecast if a frame of gates makes a message."""
+        now, any_hit = self.frame * self.trackers[0].dt, False
+        self.frame += 1
+        for tracker, gate in zip(self.trackers, gates):
+            tracker.predict()
+            if gate >= 0.5:
+                tracker.update(now)
+                any_hit = True
+        if not any_hit and now - (self.last_emit or 0.0) < self.p.periodic_interval:
+            return None
+        self.last_emit = now
+        return now, [t.forecast(now) for t in self.trackers]
+
     def process(self, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for stream, frame, gates in zip(rows["stream_id"], rows["frame_idx"], rows["gates"]):
-            if gates is None or len(gates) < len(INSTRUMENTS):
-                continue
-            now, any_hit = self.frame * self.trackers[0].dt, False
-            self.frame += 1
-            for tracker, gate in zip(self.trackers, gates):
-                tracker.predict()
-                if gate >= 0.5:
-                    tracker.update(now)
-                    any_hit = True
-            if self.last_emit is not None and not any_hit and now - self.last_emit < self.p.periodic_interval:
-                continue
-            if self.last_emit is None and not any_hit and now < self.p.periodic_interval:
+            made = None if gates is None or len(gates) < len(INSTRUMENTS) else self.step(gates)
+            if made is None:
                 continue
-            self.last_emit = now
-            made = []
-            for name, t in zip(INSTRUMENTS, self.trackers):
-                hits = t.forecast(now)
-                made.append({"instrument": name, "tempo_bpm": 60.0 / t.period if t.period > 1e-6 else 0.0, "period_sec": t.period, "phase": t.phase, "confidence_global": t.confidence, "warmup_complete": t.warm, "hits": hits})
-            out.append({"stream_id": stream, "frame_idx": frame, "timestamp_sec": now, "predictions": made})
+            told = [
+                {"instrument": name, "tempo_bpm": t.tempo(), "period_sec": t.period, "phase": t.phase, "confidence_global": t.confidence, "warmup_complete": t.warm, "hits": [dict(zip(HIT.names, h)) for h in hits]}
+                for name, t, hits in zip(INSTRUMENTS, self.trackers, made[1])
+            ]
+            out.append({"stream_id": stream, "frame_idx": frame, "timestamp_sec": made[0], "predictions": told})
         return pd.DataFrame(out, columns=OUTPUT.names)
 
 
+def _predicted(batch: pa.RecordBatch, machine: InstrumentPredictor, params: PredictorParams) -> tuple[pa.RecordBatch, InstrumentPredictor]:
+    """Messages of a batch's rows and the machine behind the last: columns of numbers, which Arrow nests."""
+    nth, lists = batch.column("_nth").to_pylist(), batch.column("gates")
+    rows, nows, states, hits, counts = [], [], [], [], []
+    for i, gates in enumerate(lists.to_pylist()):
+        if nth[i] == 1:
+            machine = InstrumentPredictor(params)
+        made = None if gates is None or len(gates) < len(INSTRUMENTS) else machine.step([g if g is not None else 0.0 for g in gates])
+        if made is None:
+            continue
+        rows.append(i)
+        nows.append(made[0])
+        for t, told in zip(machine.trackers, made[1]):
+            states.append((t.tempo(), t.period, t.phase, t.confidence, t.warm))
+            hits += told
+            counts.append(len(told))
+    columns = lambda tuples, n: list(zip(*tuples)) if tuples else [()] * n
+    place = lambda sizes: pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), pa.int32())
+    doubles = lambda values: pa.array(values, pa.float64())
+    h, s = columns(hits, 5), columns(states, 5)
+    inner = pa.ListArray.from_arrays(place(counts), pa.StructArray.from_arrays([*map(doubles, h[:4]), pa.array(h[4], pa.int32())], HIT.names))
+    told = pa.StructArray.from_arrays([pa.array(list(INSTRUMENTS) * len(rows), pa.string()), *map(doubles, s[:4]), pa.array(s[4], pa.bool_()), inner], PREDICTION.names)
+    taken = pa.array(rows, pa.int64())
+    outer = pa.ListArray.from_arrays(place([len(INSTRUMENTS)] * len(rows)), told)
+    return pa.RecordBatch.from_arrays([batch.column("stream_id").take(taken), batch.column("frame_idx").take(taken), doubles(nows), outer], OUTPUT.names), machine
+
+
 def instrument_predictor(frames: DataFrame, params: PredictorParams = PredictorParams()) -> DataFrame:
     """PredictionOutput rows (stream_id, frame_idx, timestamp_sec, predictions) of gate frames."""
-    return ordered_scan(frames.select("stream_id", "frame_idx", "gates"), ["stream_id"], ["frame_idx"], lambda: InstrumentPredictor(params), OUTPUT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = InstrumentPredictor(params)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                made, machine = _predicted(batch.slice(at, ROWS), machine, params)
+                yield made
+
+    nth = F.row_number().over(Window.partitionBy("stream_id").orderBy("frame_idx")).alias("_nth")
+    return frames.select(F.col("stream_id").cast("long"), F.col("frame_idx").cast("long"), F.col("gates").cast("array<double>"), nth).mapInArrow(run, OUTPUT)
 
 
 class BeatKalman:

@@ -66,7 +66,8 @@ def prediction_payloads(outputs: DataFrame, topic: str = "predictions") -> DataF
         pair("warmup_complete", p["warmup_complete"].cast("string")), pair("hits", listed(F.transform(p["hits"], hit))),
     )
     payload = obj(pair("timestamp_sec", six(F.col("timestamp_sec"))), pair("frame_idx", F.col("frame_idx").cast("string")), pair("predictions", listed(F.transform("predictions", prediction))))
-    return outputs.select(F.lit(topic).alias("topic"), payload.alias("payload"))
+    # A generator of one row: conditions on a text would write it again for each of them else.
+    return outputs.select(F.lit(topic).alias("topic"), F.explode(F.array(payload)).alias("payload"))
 
 
 def command_payloads(events: DataFrame, topic: str = SINGLE) -> DataFrame:

@@ -16,7 +16,8 @@ LOG_LINE = "frame long, audio_time double, wall_time_ms long, wall_time_rel doub
 
 def parsed(texts: DataFrame, schema: str, column: str = "payload") -> DataFrame:
     """Fields of JSON texts; texts that are no JSON object are dropped."""
-    rows = texts.withColumn("_json", F.from_json(F.col(column), schema, {"mode": "PERMISSIVE"}))
+    # A generator of one row: conditions and fields read its result instead of parsing the text again.
+    rows = texts.select("*", F.explode(F.array(F.from_json(F.col(column), schema, {"mode": "PERMISSIVE"}))).alias("_json"))
     whole = F.get_json_object(F.col(column), "$").isNotNull() & F.ltrim(column).startswith("{")
     return rows.where(F.col("_json").isNotNull() & whole).select(*[c for c in texts.columns if c != column], "_json.*")
 

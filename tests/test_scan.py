@@ -33,3 +33,30 @@ def test_matches_of_many_short_keys(spark):
     assert out["stream_id"].isna().sum() == 3 and (out["t_pred"].notna() & out["t_hit"].notna()).sum() == 1000
     alone = out[out["t_hit"].isna()]
     assert len(alone) == 1000 and (alone["frame_idx"] - alone["stream_id"].fillna(0) == 7).all()
+
+
+def test_payloads_are_written_and_parsed_once(spark, sf):
+    """No condition writes a prediction's text or parses it again: both stand once in the plan."""
+    from pulsegrid.plans import queries
+
+    plan = queries.QUERIES["prediction_payloads"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("timestamp_sec\": ") <= 1 and plan.count("from_json") == 1
+
+
+def test_predictor_in_batches_is_the_machine(spark, monkeypatch):
+    """Messages of the Arrow step, also across its pieces, are those of one machine walked row by row; short, null and missing gates."""
+    from pulsegrid.operators import tracking
+    from pulsegrid.params import PredictorParams
+
+    params = PredictorParams(sample_rate=40960.0, hop_size=4096)
+    rng = np.random.default_rng(5)
+    gates = [None if i % 31 == 7 else [1.0, 0.0] if i % 29 == 3 else [float(v) for v in rng.random(6) < 0.3] for i in range(300)]
+    rows = [(s, i, g) for s in (1, 2) for i, g in enumerate(gates)]
+    monkeypatch.setattr(tracking, "ROWS", 7)
+    got = tracking.instrument_predictor(spark.createDataFrame(rows, "stream_id long, frame_idx long, gates array<double>"), params).orderBy("stream_id", "frame_idx").collect()
+    want = tracking.InstrumentPredictor(params).process(pd.DataFrame({"stream_id": 1, "frame_idx": range(300), "gates": gates}))
+    assert len(got) == 2 * len(want) and sum(len(p["hits"]) for r in got for p in r["predictions"]) > 100
+    for k, r in enumerate(got):
+        w = want.iloc[k % len(want)]
+        assert (r["frame_idx"], r["timestamp_sec"]) == (w["frame_idx"], w["timestamp_sec"])
+        assert [p.asDict(True) for p in r["predictions"]] == w["predictions"]
