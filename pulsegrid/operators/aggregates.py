@@ -80,23 +80,30 @@ def accuracy(predictions: DataFrame, hits: DataFrame) -> DataFrame:
     """For every prediction the next hit of its instrument at or after it (as-of by sorted windows, no range join),
     the last one before it, the smaller absolute error, and whether a hit lies in its interval.
 
-    Containment needs the first hit from ci_low on, so each prediction enters the sorts twice. Both windows only grow: one looks
-    back over ascending, one over descending times, so a key's work is linear in its rows once they are sorted.
+    Where an interval holds its prediction, these two hits tell whether it holds any; other predictions enter the sorts twice, for
+    the first hit from ci_low on. Both windows only grow: one looks back over ascending, one over descending times, so a key's work is
+    linear in its rows once they are sorted.
     """
     key = ["stream_id", "instrument"]
-    p = predictions.select(*key, "frame_idx", "hit_index", "t_pred_sec", "ci_low_sec", "ci_high_sec")
     none = lambda kind: F.lit(None).cast(kind)
-    hit_rows = hits.select(*key, F.col("t").alias("at"), F.lit(1).alias("kind"), F.col("t").alias("hit_t"), none("long").alias("frame_idx"), none("int").alias("hit_index"), none("double").alias("t_pred_sec"), none("double").alias("ci_low_sec"), none("double").alias("ci_high_sec"))
-    as_row = lambda at, kind: p.select(*key, F.col(at).alias("at"), F.lit(kind).alias("kind"), none("double").alias("hit_t"), "frame_idx", "hit_index", "t_pred_sec", "ci_low_sec", "ci_high_sec")
-    rows = hit_rows.unionByName(as_row("t_pred_sec", 0)).unionByName(as_row("ci_low_sec", -1))
+    row = lambda at, kind, frame, index, a, b: [*key, F.col(at).alias("at"), F.lit(kind).alias("kind"), frame.cast("long").alias("frame_idx"), index.cast("int").alias("hit_index"), a.cast("double").alias("a"), b.cast("double").alias("b")]
+    told = (F.col("frame_idx"), F.col("hit_index"))
+    around = lambda lo, t, hi: F.coalesce((lo <= t) & (t <= hi), F.lit(False))
+    odd = predictions.where(~around(F.col("ci_low_sec"), F.col("t_pred_sec"), F.col("ci_high_sec")))
+    rows = hits.select(*row("t", 1, none("long"), none("int"), none("double"), none("double")))
+    rows = rows.unionByName(predictions.select(*row("t_pred_sec", 0, *told, F.col("ci_low_sec"), F.col("ci_high_sec")))).unionByName(odd.select(*row("ci_low_sec", -1, *told, F.col("t_pred_sec"), F.col("ci_high_sec"))))
     sofar = (Window.unboundedPreceding, Window.currentRow)
-    after = F.last("hit_t", ignorenulls=True).over(Window.partitionBy(*key).orderBy(F.desc("at"), F.desc("kind")).rowsBetween(*sofar))
-    before = F.last("hit_t", ignorenulls=True).over(Window.partitionBy(*key).orderBy("at", "kind").rowsBetween(*sofar))
+    hit = F.when(F.col("kind") == 1, F.col("at"))
+    after = F.last(hit, ignorenulls=True).over(Window.partitionBy(*key).orderBy(F.desc("at"), F.desc("kind")).rowsBetween(*sofar))
+    before = F.last(hit, ignorenulls=True).over(Window.partitionBy(*key).orderBy("at", "kind").rowsBetween(*sofar))
     seen = rows.select("*", after.alias("next_hit"), before.alias("last_hit")).where("kind <= 0")
-    merged = seen.groupBy(*key, "frame_idx", "hit_index", "t_pred_sec").agg(
-        F.max(F.when(F.col("kind") == 0, F.col("next_hit"))).alias("next_hit"),
-        F.max(F.when(F.col("kind") == 0, F.col("last_hit"))).alias("last_hit"),
-        F.coalesce(F.max(F.when(F.col("kind") == -1, F.col("next_hit") <= F.col("ci_high_sec"))), F.lit(False)).alias("in_interval"),
+    own = F.col("kind") == 0
+    within = F.coalesce(F.col("last_hit") >= F.col("a"), F.lit(False)) | F.coalesce(F.col("next_hit") <= F.col("b"), F.lit(False))
+    held = F.when(~own, F.col("next_hit") <= F.col("b")).when(around(F.col("a"), F.col("at"), F.col("b")), within)
+    merged = seen.groupBy(*key, "frame_idx", "hit_index", F.when(own, F.col("at")).otherwise(F.col("a")).alias("t_pred_sec")).agg(
+        F.max(F.when(own, F.col("next_hit"))).alias("next_hit"),
+        F.max(F.when(own, F.col("last_hit"))).alias("last_hit"),
+        F.coalesce(F.max(held), F.lit(False)).alias("in_interval"),
     )
     error = F.least(F.abs(F.col("next_hit") - F.col("t_pred_sec")), F.abs(F.col("t_pred_sec") - F.col("last_hit")))
     return merged.withColumn("abs_error", F.round(error, 6))

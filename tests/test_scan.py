@@ -1,5 +1,7 @@
 """Ordered scans over many short keys."""
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -60,3 +62,24 @@ def test_predictor_in_batches_is_the_machine(spark, monkeypatch):
         w = want.iloc[k % len(want)]
         assert (r["frame_idx"], r["timestamp_sec"]) == (w["frame_idx"], w["timestamp_sec"])
         assert [p.asDict(True) for p in r["predictions"]] == w["predictions"]
+
+
+def test_accuracy_sorts_a_prediction_once(spark):
+    """Intervals around their prediction, beside it and without ends against plain Python; only those beside it are sorted twice."""
+    from pulsegrid.operators import aggregates
+
+    rng = np.random.default_rng(9)
+    times = np.round(rng.random(60) * 20, 1).tolist()
+    told = []
+    for i in range(400):
+        t = round(float(rng.random() * 22 - 1), 1)
+        lo, hi = [(t - 0.1, t + 0.1), (t, t), (t + 0.2, t + 0.5), (t - 0.5, t - 0.2), (None, t), (t, None)][i % 6]
+        told.append((1, "kick", i, 1, t, lo, hi))
+    columns = "stream_id long, instrument string, frame_idx long, hit_index int, t_pred_sec double, ci_low_sec double, ci_high_sec double"
+    hits = spark.createDataFrame([(1, "kick", t) for t in times], "stream_id long, instrument string, t double")
+    got = {r["frame_idx"]: r for r in aggregates.accuracy(spark.createDataFrame(told, columns), hits).collect()}
+    for _, _, i, _, t, lo, hi in told:
+        assert got[i]["next_hit"] == min((h for h in times if h >= t), default=None) and got[i]["last_hit"] == max((h for h in times if h < t), default=None)
+        assert got[i]["in_interval"] == (hi is not None and any((lo is None or lo <= h) and h <= hi for h in times))  # as before: no lower end bounds nothing
+    plan = aggregates.accuracy(spark.createDataFrame(told, columns), hits)._jdf.queryExecution().analyzed().toString()
+    assert "Union" in plan and re.search("Filter NOT coalesce.*ci_low_sec.*t_pred_sec.*ci_high_sec", plan)
