@@ -5,8 +5,12 @@ phrase reaches; runs of suffixes with a common prefix of n words (LCP intervals)
 adds up the shards' counts by language and phrase, and scores what is frequent.
 
 A phrase is no more frequent than any part of it. So three earlier passes count words, then pairs, then triples of words, in hashed
-buckets; shards report no n-gram that holds a word, pair or triple whose bucket stays below the least count. A filter is one
+buckets; shards report no n-gram that holds a word, pair or triple whose bucket stays below the least count, and no word that
+is in no frequent pair, as only parts of phrases are looked up. A filter is one
 bit a bucket, of a size that doesn't grow with the data, and lets whole buckets pass: it spares work and never changes a count.
+
+A phrase is sent by each task that holds it. So phrases are counted by a few tasks a core, however large the input is: frequent
+phrases, and with them the rows that are sent, then grow no faster than the words.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ UNKNOWN = "und"
 SHARD_WORDS, PIECE_BYTES = 1 << 20, 1 << 22
 #: Bucket counts, and phrase counts, that a task gathers before it sends them on.
 GATHERED, GATHERED_PHRASES = 1 << 22, 1 << 19
+#: Tasks a core that count phrases.
+TASKS = 2
 #: First ranking by salted keys, so that no task sees all phrases of a language.
 SALTS = 64
 
@@ -169,8 +175,9 @@ def joined_runs(s: Sequence, pairs: Filter) -> Sequence:
     return s.with_ids(ids)
 
 
-def _bucket_counts(docs: DataFrame, hashes_of: Callable[[Sequence], tuple[np.ndarray, np.ndarray | None]], params: PhraseParams) -> Filter:
-    """Add up counts by bucket and keep the buckets of ``min_count`` or more as bits."""
+def _bucket_counts(docs: DataFrame, hashes_of: Callable[[Sequence], list[tuple[np.ndarray, np.ndarray | None]]], params: PhraseParams, kinds: int = 1) -> list[Filter]:
+    """Add up counts by bucket and keep the buckets of ``min_count`` or more as bits, for each of ``kinds`` lists of hashes (and their
+    counts, by default 1)."""
     bits = params.bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,9 +192,9 @@ def _bucket_counts(docs: DataFrame, hashes_of: Callable[[Sequence], tuple[np.nda
         sieve = Filter(bits)
         for batch in batches:
             for s in sequences(batch):
-                hashes, n = hashes_of(s)
-                gathered.append((sieve.bucket(hashes), np.ones(len(hashes)) if n is None else n))
-                size += len(hashes)
+                for kind, (hashes, n) in enumerate(hashes_of(s)):
+                    gathered.append((sieve.bucket(hashes) | kind << bits, np.ones(len(hashes)) if n is None else n))
+                    size += len(hashes)
                 if size >= GATHERED:
                     yield flush()
                     size = 0
@@ -197,7 +204,8 @@ def _bucket_counts(docs: DataFrame, hashes_of: Callable[[Sequence], tuple[np.nda
     sums = docs.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= params.min_count)
     # The bit functions count from 1: values 1 to 32768 are the bits of part 1.
     parts = sums.groupBy(F.expr("bitmap_bucket_number(bucket + 1)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bucket + 1))").alias("set"))
-    return Filter(bits, [(r["part"] - 1, bytes(r["set"])) for r in parts.collect()])  # 2 ** bits / 8 bytes at most
+    found, each = [(r["part"] - 1, bytes(r["set"])) for r in parts.collect()], 1 << bits - 15  # 2 ** bits / 8 bytes a kind at most
+    return [Filter(bits, [(number % each, part) for number, part in found if number // each == kind]) for kind in range(kinds)]
 
 
 def suffix_array(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -283,8 +291,10 @@ class Gathered:
 
 
 def shard_counts(docs: DataFrame, words: Filter, pairs: Filter, triples: Filter, params: PhraseParams) -> DataFrame:
-    """lang, n, phrase, f of every n-gram that the filters leave in the shards of each task; n = 0: how many words of a language in all."""
+    """lang, n, phrase, f of every n-gram that the filters leave in the shards of each task; n = 0: how many words of a language in all.
+    ``words``: those that frequent pairs hold."""
     spark = docs.sparkSession
+    docs = docs.coalesce(TASKS * spark.sparkContext.defaultParallelism)
     shared = spark.sparkContext.broadcast((words, pairs, triples))  # three times 2 ** bits / 8 bytes
     longest = params.longest
 
@@ -321,31 +331,33 @@ def shard_counts(docs: DataFrame, words: Filter, pairs: Filter, triples: Filter,
 
 
 def frequent_phrases(docs: DataFrame, params: PhraseParams | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang, n, phrase, f of all phrases of 1 to ``longest`` words with f >= min_count, and of all languages (n = 0): written."""
+    """lang, n, phrase, f of all phrases of 2 to ``longest`` words with f >= min_count, of their words (and a few others), and of all
+    languages (n = 0): written."""
     params = params or PhraseParams()
     texts = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
     def of_words(s: Sequence):
         seen = np.bincount(s.ids[s.ids >= 0], minlength=len(s.hashes))
-        return s.hashes, seen
+        return [(s.hashes, seen)]
 
-    words = _bucket_counts(texts, of_words, params)
+    (words,) = _bucket_counts(texts, of_words, params)
     known = texts.sparkSession.sparkContext.broadcast(words)
 
     def of_pairs(s: Sequence):
         s = without_rare_words(s, known.value)
-        return pair_hashes(s, pair_places(s)), None
+        return [(pair_hashes(s, pair_places(s)), None)]
 
-    pairs = _bucket_counts(texts, of_pairs, params)
+    (pairs,) = _bucket_counts(texts, of_pairs, params)
     both = texts.sparkSession.sparkContext.broadcast((words, pairs))
 
     def of_triples(s: Sequence):
         by_word, by_pair = both.value
         s = joined_runs(without_rare_words(s, by_word), by_pair)
-        return triple_hashes(s, triple_places(s)), None
+        seen = np.bincount(s.ids[s.ids >= 0], minlength=len(s.hashes))  # a word of a frequent pair is there as often as the pair at least
+        return [(triple_hashes(s, triple_places(s)), None), (s.hashes[seen > 0], seen[seen > 0])]
 
-    triples = _bucket_counts(texts, of_triples, params)
-    counts = shard_counts(texts, words, pairs, triples, params).groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f"))
+    triples, paired = _bucket_counts(texts, of_triples, params, 2)
+    counts = shard_counts(texts, paired, pairs, triples, params).groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f"))
     out = written(counts.where((F.col("f") >= params.min_count) | (F.col("n") == 0)), "phrases")
     known.unpersist()
     both.unpersist()

@@ -146,3 +146,17 @@ def test_sql(spark, sf):
     cols = [c[0] for c in con.sql(P.oracle_sql(p)).description]
     got = P.collocations(spark.read.parquet(f"{sf}/documents.parquet"), p)
     assert got.columns == cols and sorted(map(tuple, got.collect())) == sorted(want) and want
+
+
+def test_rows_of_counts_are_bounded(spark, monkeypatch):
+    """However many partitions the input has, a few tasks a core send each phrase; words of no frequent pair aren't sent."""
+    p = P.PhraseParams(min_count=20)
+    r = random.Random(8)
+    rows = [("en", f"new york. alone. {r.choice('abcdefgh')} {r.choice('ijklmnop')} {i}") for i in range(600)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], SCHEMA).repartition(60)
+    monkeypatch.setattr(P, "TASKS", 1, raising=False)
+    real, sent = P.shard_counts, []
+    monkeypatch.setattr(P, "shard_counts", lambda *a: sent.append(real(*a)) or sent[-1])
+    assert sorted(tuple(x) for x in P.collocations(df, p).collect()) == brute(rows, p)
+    counts = Counter(x["phrase"] for x in sent[0].collect())
+    assert 0 < counts["new york"] <= spark.sparkContext.defaultParallelism and counts["york"] and not counts["alone"]
