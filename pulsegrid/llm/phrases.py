@@ -32,6 +32,8 @@ UNKNOWN = "und"
 SHARD_WORDS, PIECE_BYTES = 1 << 20, 1 << 22
 #: Bucket counts, and phrase counts, that a task gathers before it sends them on.
 GATHERED, GATHERED_PHRASES = 1 << 22, 1 << 19
+#: Entries that become rows of one batch at once, but that a bucket's stay together.
+SENT = 1 << 16
 #: Tasks a core that count phrases.
 TASKS = 2
 #: First ranking by salted keys, so that no task sees all phrases of a language.
@@ -89,31 +91,38 @@ def sequences(batch: pa.RecordBatch) -> Iterator[Sequence]:
     lang_hash = bk.span_hashes(name_bytes, name_off[:-1], name_off[1:]) if len(names) else np.zeros(0, np.uint64)
     data, off = bk.buffers(batch.column(1))
     for lo, _, raw, o in bk.chunks(data, off, PIECE_BYTES):
-        if not len(raw):
-            continue
-        word = _WORD[raw]
-        text_start = np.zeros(len(raw) + 1, bool)
-        text_start[o] = True
-        first = word & (text_start[:-1] | np.concatenate(([True], ~word[:-1])))
-        starts = np.flatnonzero(first)
-        if not len(starts):
-            continue
-        last = word & (text_start[1:] | np.concatenate((~word[1:], [True])))
-        sizes = np.flatnonzero(last) + 1 - starts
-        piece = np.cumsum(_PIECE_END[raw])[starts]
-        row = np.searchsorted(o, starts, "right") - 1
-        opens = np.concatenate(([True], (piece[1:] != piece[:-1]) | (row[1:] != row[:-1])))
-        packed = pa.py_buffer(bk.LOWER[raw[word]])
-        ends = pa.py_buffer(np.concatenate(([0], np.cumsum(sizes))).astype(np.int64))
-        coded = pa.LargeStringArray.from_buffers(len(starts), ends, packed).dictionary_encode()
-        words, language = coded.dictionary, lang_of_row[lo + row].astype(np.int64)
-        pairs, ids = _distinct(language * len(words) + coded.indices.to_numpy(), len(names) * len(words))
-        word_bytes, word_off = bk.buffers(words)
-        hashes = bk.span_hashes(word_bytes, word_off[:-1], word_off[1:])
-        pair_lang, pair_word = pairs // len(words), pairs % len(words)
-        spaced = np.full(len(ids) + int(opens.sum()), -1, np.int64)
-        spaced[np.arange(len(ids)) + np.cumsum(opens)] = ids
-        yield Sequence(spaced, bk.mix(hashes[pair_word] ^ bk.mix(lang_hash[pair_lang] + np.uint64(1))), names.take(pa.array(pair_lang)), words.take(pa.array(pair_word)))
+        s = _sequence(raw, o, lang_of_row[lo:], names, lang_hash)
+        if s is not None:
+            yield s
+
+
+def _sequence(raw: np.ndarray, o: np.ndarray, lang_of_row: np.ndarray, names: pa.Array, lang_hash: np.ndarray) -> Sequence | None:
+    """The texts that begin at ``o`` in the bytes ``raw``; a function of its own, so that its arrays end before others use the words."""
+    if not len(raw):
+        return None
+    word = _WORD[raw]
+    text_start = np.zeros(len(raw) + 1, bool)
+    text_start[o] = True
+    first = word & (text_start[:-1] | np.concatenate(([True], ~word[:-1])))
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return None
+    last = word & (text_start[1:] | np.concatenate((~word[1:], [True])))
+    sizes = np.flatnonzero(last) + 1 - starts
+    piece = np.cumsum(_PIECE_END[raw], dtype=np.int32)[starts]
+    row = np.searchsorted(o, starts, "right") - 1
+    opens = np.concatenate(([True], (piece[1:] != piece[:-1]) | (row[1:] != row[:-1])))
+    packed = pa.py_buffer(bk.LOWER[raw[word]])
+    ends = pa.py_buffer(np.concatenate(([0], np.cumsum(sizes))).astype(np.int64))
+    coded = pa.LargeStringArray.from_buffers(len(starts), ends, packed).dictionary_encode()
+    words, language = coded.dictionary, lang_of_row[row].astype(np.int64)
+    pairs, ids = _distinct(language * len(words) + coded.indices.to_numpy(), len(names) * len(words))
+    word_bytes, word_off = bk.buffers(words)
+    hashes = bk.span_hashes(word_bytes, word_off[:-1], word_off[1:])
+    pair_lang, pair_word = pairs // len(words), pairs % len(words)
+    spaced = np.full(len(ids) + int(opens.sum()), -1, np.int64)
+    spaced[np.arange(len(ids)) + np.cumsum(opens)] = ids
+    return Sequence(spaced, bk.mix(hashes[pair_word] ^ bk.mix(lang_hash[pair_lang] + np.uint64(1))), names.take(pa.array(pair_lang)), words.take(pa.array(pair_word)))
 
 
 def pair_hashes(s: Sequence, at: np.ndarray) -> np.ndarray:
@@ -175,6 +184,19 @@ def joined_runs(s: Sequence, pairs: Filter) -> Sequence:
     return s.with_ids(ids)
 
 
+def _bucket_sums(entries: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """bucket and n of entries that hold a bucket in their upper 32 bits and a count in their lower ones; sorts ``entries``."""
+    entries.sort()
+    half, low, lo = np.uint64(32), np.uint64((1 << 32) - 1), 0
+    while lo < len(entries):
+        hi = int(np.searchsorted(entries, entries[min(lo + SENT, len(entries)) - 1] | low, "right"))
+        buckets = entries[lo:hi] >> half
+        heads = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1])))
+        n = np.add.reduceat((entries[lo:hi] & low).astype(np.int64), heads)
+        yield pa.record_batch([pa.array(buckets[heads].astype(np.int64)), pa.array(n)], names=["bucket", "n"])
+        lo = hi
+
+
 def _bucket_counts(docs: DataFrame, hashes_of: Callable[[Sequence], list[tuple[np.ndarray, np.ndarray | None]]], params: PhraseParams, kinds: int = 1) -> list[Filter]:
     """Add up counts by bucket and keep the buckets of ``min_count`` or more as bits, for each of ``kinds`` lists of hashes (and their
     counts, by default 1)."""
@@ -183,23 +205,25 @@ def _bucket_counts(docs: DataFrame, hashes_of: Callable[[Sequence], list[tuple[n
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered, size = [], 0
 
-        def flush() -> pa.RecordBatch:
-            buckets, place = np.unique(np.concatenate([b for b, _ in gathered]), return_inverse=True)
-            n = np.bincount(place, np.concatenate([n for _, n in gathered])).astype(np.int64)
+        def flush() -> Iterator[pa.RecordBatch]:
+            entries = np.concatenate(gathered)
             gathered.clear()
-            return pa.record_batch([pa.array(buckets), pa.array(n)], names=["bucket", "n"])
+            return _bucket_sums(entries)
 
         sieve = Filter(bits)
         for batch in batches:
             for s in sequences(batch):
                 for kind, (hashes, n) in enumerate(hashes_of(s)):
-                    gathered.append((sieve.bucket(hashes) | kind << bits, np.ones(len(hashes)) if n is None else n))
-                    size += len(hashes)
+                    entries = (sieve.bucket(hashes) | kind << bits).astype(np.uint64) << np.uint64(32)
+                    entries |= np.uint64(1) if n is None else n.astype(np.uint64)
+                    gathered.append(entries)
+                    size += len(entries)
+                del hashes, n, entries
                 if size >= GATHERED:
-                    yield flush()
+                    yield from flush()
                     size = 0
         if gathered:
-            yield flush()
+            yield from flush()
 
     sums = docs.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= params.min_count)
     # The bit functions count from 1: values 1 to 32768 are the bits of part 1.

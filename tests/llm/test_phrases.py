@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -160,3 +161,31 @@ def test_rows_of_counts_are_bounded(spark, monkeypatch):
     assert sorted(tuple(x) for x in P.collocations(df, p).collect()) == brute(rows, p)
     counts = Counter(x["phrase"] for x in sent[0].collect())
     assert 0 < counts["new york"] <= spark.sparkContext.defaultParallelism and counts["york"] and not counts["alone"]
+
+
+def test_bucket_counts_take_bounded_memory(monkeypatch):
+    """What a task gathers is added up in a few bytes an entry, and goes on in batches of bounded size; sums are exact."""
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(0, 1 << 63, 1 << 21, dtype=np.uint64) << np.uint64(1)
+    hashes[::3] = hashes[0]
+    monkeypatch.setattr(P, "GATHERED", 1 << 21)
+    monkeypatch.setattr(P, "sequences", lambda batch: iter([hashes[i : i + (1 << 18)] for i in range(0, len(hashes), 1 << 18)]))
+
+    class Docs:
+        def mapInArrow(self, fn, schema):
+            self.fn = fn
+            raise InterruptedError
+
+    docs = Docs()
+    with pytest.raises(InterruptedError):
+        P._bucket_counts(docs, lambda s: [(s, None), (s[:1000], np.full(1000, 5))], P.PhraseParams(bits=20), 2)
+    tracemalloc.start()
+    got, most = np.zeros(2 << 20, np.int64), 0
+    for batch in docs.fn([None]):
+        np.add.at(got, batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        most = max(most, batch.num_rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.bincount((hashes >> np.uint64(44)).astype(np.int64), minlength=1 << 20)
+    assert (got[: 1 << 20] == want).all() and got[1 << 20 :].sum() == 8 * 5000
+    assert most <= 1 << 16 and peak - got.nbytes < 40 * len(hashes)
